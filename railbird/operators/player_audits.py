@@ -113,12 +113,13 @@ def net_winnings(events: DataFrame, *, split: Column | None = None, player_colum
     )
 
 
-def hand_flags(events: DataFrame, *keys: str) -> DataFrame:
+def hand_flags(events: DataFrame, *keys: str, also: list[Column] | None = None) -> DataFrame:
     """One row per (keys, hand): did the player put chips in, did they raise, before the flop."""
     preflop = F.col("street") == "preflop"
     return events.groupBy(*keys, "hand_id").agg(
         F.max(flag(preflop & F.col("action_type").isin(VOLUNTARY))).alias("vpip"),
         F.max(flag(preflop & F.col("action_type").isin(AGGRESSIVE))).alias("pfr"),
+        *(also or []),
     )
 
 
