@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from railbird.session import ensure_checkpoint_dir
+from railbird.session import written
 
-_SPLIT = "__split"
+_SPLIT, _LANE = "__split", "__lane"
 
 
 def parse_schema(text: str) -> T.StructType:
@@ -26,73 +27,77 @@ def fold_rows(step: Callable, state: dict, rows: list[dict]) -> list[dict]:
     return out
 
 
-def _sorted_rows(table: pa.Table, order: list[str]) -> list[dict]:
-    return table.sort_by([(o, "ascending") for o in order]).to_pylist()
-
-
 def fold_pieces(
     df: DataFrame, keys: list[str], order: list[str], split: Column, step: Callable,
-    state_schema: str, output_schema: str, max_rounds: int,
+    state_schema: str, output_schema: str, max_rounds: int, lanes: int,
 ) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    part = [*keys, _SPLIT]
-    pieces = df.withColumn(_SPLIT, split)
+    # Keys share a lane so that many small pieces travel as one batch; a hot key
+    # still comes in pieces, one split at a time.
+    lane = F.pmod(F.xxhash64(*keys), F.lit(lanes)).cast("int")
+    pieces = df.withColumn(_SPLIT, split).withColumn(_LANE, lane)
+    piece, batch = [*keys, _SPLIT], [_LANE, _SPLIT]
     state_type = parse_schema(state_schema)
     names = state_type.fieldNames()
-    key_type = T.StructType([pieces.schema[k] for k in part])
-    ends_type = T.StructType([*key_type.fields, T.StructField("end", state_type)])
+    ends_type = T.StructType([*[pieces.schema[k] for k in piece], T.StructField("end", state_type)])
     out_type = parse_schema(output_schema)
-    ends_arrow = to_arrow_schema(ends_type)
-    out_arrow = to_arrow_schema(out_type)
-
-    def entry_state(entry: pa.Table) -> dict:
-        if entry.num_rows and entry.column("entry")[0].is_valid:
-            return dict(entry.column("entry")[0].as_py())
-        return dict.fromkeys(names)
-
-    def end_of_first_guess(table: pa.Table) -> pa.Table:
-        state = dict.fromkeys(names)
-        first = table.slice(0, 1).select(part).to_pylist()[0]
-        fold_rows(step, state, _sorted_rows(table, order))
-        return pa.Table.from_pylist([{**first, "end": state}], schema=ends_arrow)
-
-    def end_of_piece(entry: pa.Table, table: pa.Table) -> pa.Table:
-        if table.num_rows == 0 or entry.num_rows == 0:
-            return ends_arrow.empty_table()
-        state = entry_state(entry)
-        first = table.slice(0, 1).select(part).to_pylist()[0]
-        fold_rows(step, state, _sorted_rows(table, order))
-        return pa.Table.from_pylist([{**first, "end": state}], schema=ends_arrow)
-
-    def emit_piece(entry: pa.Table, table: pa.Table) -> pa.Table:
-        if table.num_rows == 0:
-            return out_arrow.empty_table()
-        rows = fold_rows(step, entry_state(entry), _sorted_rows(table, order))
-        return pa.Table.from_pylist(rows, schema=out_arrow)
+    ends_arrow, out_arrow = to_arrow_schema(ends_type), to_arrow_schema(out_type)
+
+    def by_key(table: pa.Table) -> Iterator[tuple[tuple, list[dict]]]:
+        rows = table.sort_by([(c, "ascending") for c in [*keys, *order]]).to_pylist()
+        for key, run in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
+            yield key, list(run)
+
+    def entry_states(entries: pa.Table) -> dict[tuple, dict]:
+        return {tuple(r[k] for k in keys): r["entry"] for r in entries.to_pylist()}
+
+    def end_row(key: tuple, rows: list[dict], state: dict) -> dict:
+        return {**dict(zip(keys, key)), _SPLIT: rows[0][_SPLIT], "end": state}
+
+    def first_ends(table: pa.Table) -> pa.Table:
+        out = []
+        for key, rows in by_key(table):
+            state = dict.fromkeys(names)
+            fold_rows(step, state, rows)
+            out.append(end_row(key, rows, state))
+        return pa.Table.from_pylist(out, schema=ends_arrow)
+
+    def corrected_ends(entries: pa.Table, table: pa.Table) -> pa.Table:
+        known, out = entry_states(entries), []
+        for key, rows in by_key(table):
+            if key in known:
+                state = dict(known[key])
+                fold_rows(step, state, rows)
+                out.append(end_row(key, rows, state))
+        return pa.Table.from_pylist(out, schema=ends_arrow)
+
+    def emitted(entries: pa.Table, table: pa.Table) -> pa.Table:
+        known, out = entry_states(entries), []
+        for key, rows in by_key(table):
+            out += fold_rows(step, dict(known[key]), rows)
+        return pa.Table.from_pylist(out, schema=out_arrow)
 
     empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in state_type])
     before = Window.partitionBy(*keys).orderBy(F.col(_SPLIT))
+    laned = lambda states: states.withColumn(_LANE, lane).groupBy(*batch)
 
-    ends = pieces.groupBy(*part).applyInArrow(end_of_first_guess, ends_type)
-    states = ends.select(*part, empty.alias("assumed"), "end").checkpoint()
+    ends = pieces.groupBy(*batch).applyInArrow(first_ends, ends_type)
+    states = written(ends.select(*piece, empty.alias("assumed"), "end"))
     for _ in range(max_rounds):
         linked = states.withColumn("entry", F.coalesce(F.lag("end").over(before), empty))
-        wrong = linked.where(~F.col("entry").eqNullSafe(F.col("assumed"))).select(*part, "entry").checkpoint()
+        wrong = linked.where(~F.col("entry").eqNullSafe(F.col("assumed"))).select(*piece, "entry")
         if wrong.isEmpty():
             break
-        todo = pieces.join(wrong.select(*part), part, "left_semi")
+        todo = pieces.join(wrong.select(*piece), piece, "left_semi")
         redone = (
-            wrong.groupBy(*part).cogroup(todo.groupBy(*part)).applyInArrow(end_of_piece, ends_type)
+            laned(wrong).cogroup(todo.groupBy(*batch)).applyInArrow(corrected_ends, ends_type)
             .withColumnRenamed("end", "new_end")
         )
-        states = (
-            linked.join(redone, part, "left")
-            .select(*part, F.col("entry").alias("assumed"), F.coalesce("new_end", "end").alias("end"))
-            .checkpoint()
+        states = written(
+            linked.join(redone, piece, "left")
+            .select(*piece, F.col("entry").alias("assumed"), F.coalesce("new_end", "end").alias("end"))
         )
     else:
         raise RuntimeError("fold pieces did not settle")
 
-    entries = states.select(*part, F.col("assumed").alias("entry"))
-    return entries.groupBy(*part).cogroup(pieces.groupBy(*part)).applyInArrow(emit_piece, out_type)
+    entries = states.select(*piece, F.col("assumed").alias("entry"))
+    return laned(entries).cogroup(pieces.groupBy(*batch)).applyInArrow(emitted, out_type)

@@ -58,9 +58,8 @@ def shifted(
 ) -> DataFrame:
     """Adds the previous (``forward``: the next) row's ``values`` under their names.
 
-    Values travel in a struct, so a NULL value of an existing neighbour stays
-    distinct from having no neighbour; ``<first name>__seen`` is not needed
-    because the struct itself is dropped only after unpacking.
+    Values travel in a struct, so that a neighbour whose values are NULL is not
+    taken for a missing one at a split border.
     """
     packed = F.struct(*[v.alias(n) for n, v in values.items()])
     step = F.lead if forward else F.lag
@@ -135,13 +134,10 @@ def numbered(
     return running(df, keys, order, {name: ("count", F.lit(1))}, split=split)
 
 
-Step = Callable[[dict, dict], "dict | None"]
-
-
 def carried_fold(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], split: Column, *,
     step: Callable[[dict, dict], list[dict]], state_schema: str, output_schema: str,
-    max_rounds: int = 10_000,
+    max_rounds: int = 10_000, lanes: int = 64,
 ) -> DataFrame:
     """A left fold along the order of each key, exact, and run in pieces.
 
@@ -153,9 +149,12 @@ def carried_fold(
     pieces that assumed wrongly are folded again.  The rules used here forget
     quickly, so the second pass settles nearly all of them; a rule that never
     forgot would need one round per split and still be right.  Only one state
-    row per piece moves between rounds, and it is checkpointed, so a lost
-    executor costs no more than its own pieces.
+    row per piece moves between rounds, and it is written to the checkpoint folder,
+    so a lost executor costs no more than its own pieces.
+
+    Keys must not be NULL.  Rows are batched by split and by ``lanes`` groups of
+    keys: raise it when a split holds more than a few tens of MB per lane.
     """
     from railbird.functions.fold import fold_pieces
 
-    return fold_pieces(df, list(keys), list(order), split, step, state_schema, output_schema, max_rounds)
+    return fold_pieces(df, list(keys), list(order), split, step, state_schema, output_schema, max_rounds, lanes)

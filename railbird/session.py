@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -47,3 +48,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="railbird-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared checkpoint folder.
+
+    Cuts the lineage like a reliable checkpoint, but computes the plan once: a
+    checkpoint runs its last stage a second time to write it.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
