@@ -234,5 +234,102 @@ class ShowdownGate:
         return "accepted"
 
 
-STEPS = {"segment": Segment, "debounce": Debounce, "stack_jump": StackJump, "pot_monotone": PotMonotone,
+class Changed:
+    """Passes action texts that differ from the last non-empty one (key: hand, seat)."""
+
+    state = "text string"
+    extra = "cleaned string, prev_text string"
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        text, prev = (row["text"] or "").strip(), st["text"]
+        if not text or text == prev:
+            return []
+        st["text"] = text
+        return [{**row, "cleaned": text, "prev_text": prev}]
+
+
+class Betting:
+    """Largest chip move so far on the street (key: hand, street)."""
+
+    state = "top double"
+    extra = "current_to_call double, is_first_bet_this_street boolean"
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        top, delta = st["top"], row["stack_delta"]
+        if delta is not None and delta > 2:
+            st["top"] = delta if top is None else max(top, delta)
+        return [{**row, "current_to_call": top or 0.0, "is_first_bet_this_street": top is None}]
+
+
+class Pointer:
+    """Follows the decision timer from seat to seat (key: hand)."""
+
+    state = "seat int, value int, at bigint"
+    extra = ("tag string, of_seat int, last_timer_value int, reason string, next_seat int, time_since_timer double")
+
+    def __init__(self, recent_s: float = 5.0):
+        self.recent_s = recent_s
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        seat, last, out = row["seat"], st["seat"], []
+        note = lambda tag, reason, nxt, since: out.append({
+            **row, "tag": tag, "of_seat": last, "last_timer_value": st["value"], "reason": reason,
+            "next_seat": nxt, "time_since_timer": since})
+        if seat is not None and seat != last:
+            if last is not None:
+                note("pointer.action_inferred", "timer_moved_to_next", seat, None)
+            note("pointer.timer_moved", None, seat, None)
+        elif seat is None and last is not None and (row["at"] - st["at"]) / 1e6 < self.recent_s:
+            note("pointer.action_inferred", None, None, round((row["at"] - st["at"]) / 1e6, 2))
+        st["seat"], st["value"], st["at"] = seat, row["value"], row["at"]
+        return out
+
+
+class Phase:
+    """Checks observed hand phases against the legal order (key: hand)."""
+
+    state = "phase string"
+    extra = "from_phase string, legal boolean"
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        before, phase = st["phase"] or "between_hands", row["phase"]
+        following = S.HAND_PHASES[(S.HAND_PHASES.index(before) + 1) % len(S.HAND_PHASES)]
+        early = before in S.ACTING_PHASES and phase == "settling"
+        st["phase"] = phase
+        return [{**row, "from_phase": before, "legal": phase in (before, following) or early}]
+
+
+class Board:
+    """Keeps the first clean board of every street (key: hand)."""
+
+    state = "seen string"
+    extra = "street string"
+    sizes = {3: "flop", 4: "turn"}
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        cards = [c for c in (row["board"] or "").split(",") if c]
+        street = "river" if len(cards) >= 5 else self.sizes.get(len(cards))
+        seen = (st["seen"] or "").split(",")
+        if street is None or street in seen or len(set(cards)) != len(cards):
+            return []
+        st["seen"] = ",".join([*filter(None, seen), street])
+        return [{**row, "street": street}]
+
+
+class Numbering:
+    """Numbers a hand's events after its injected posts (key: hand)."""
+
+    state = "n int"
+    extra = "sequence_number int"
+
+    def __init__(self, posted: int = 2):
+        self.posted = posted
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        st["n"] = (st["n"] or self.posted) + 1
+        return [{**row, "sequence_number": st["n"]}]
+
+
+STEPS = {"changed": Changed, "betting": Betting, "pointer": Pointer, "phase": Phase, "board": Board,
+         "numbering": Numbering, "segment": Segment, "debounce": Debounce, "stack_jump": StackJump, "pot_monotone": PotMonotone,
          "timer": Timer, "seat_lifecycle": SeatLifecycle, "showdown_gate": ShowdownGate}
