@@ -227,7 +227,7 @@ def empty_seats(readings: DataFrame) -> DataFrame:
 
 def segment_hands(
     observations: DataFrame, *, threshold: int = steps.HERO_HASH_THRESHOLD, pot_label: str | None = steps.POT_LABEL,
-    width: str = WIDTH,
+    order: tuple[str, ...] = ("ts", "tick"), width: str = WIDTH,
 ) -> DataFrame:
     """Numbers the hands of every table and names what began each one.
 
@@ -236,10 +236,9 @@ def segment_hands(
     """
     if "phash" not in observations.columns:
         observations = observations.withColumn("phash", F.lit(None).cast("bigint"))
-    marked = apply_step(observations, ["table_id"], ["ts", "tick"], steps.Segment(threshold, pot_label), width=width)
+    marked = apply_step(observations, ["table_id"], list(order), steps.Segment(threshold, pot_label), width=width)
     return running(
-        marked, ["table_id"], ["ts", "tick"], {"hand_no": ("count", F.col("boundary"))},
-        split=time_split("ts", width))
+        marked, ["table_id"], list(order), {"hand_no": ("count", F.col("boundary"))}, split=time_split("ts", width))
 
 
 def action_changes(observations: DataFrame, keys: list[str], *, width: str = WIDTH) -> DataFrame:
