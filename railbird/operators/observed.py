@@ -19,7 +19,8 @@ _READ_ORDER = {"hero": 0, "community": 1, "pot": 2}
 def observed_hands(observations: DataFrame, *, pot_label: str | None = steps.POT_LABEL, width: str = D.WIDTH) -> DataFrame:
     """Observations with their hand, street and the pot before and after their tick.
 
-    The result is written to the checkpoint folder: every later rule reads it.
+    The result is written to the checkpoint folder: every later rule reads it,
+    and a fold reads its input more than once.
     """
     rank = chain(*[(F.col("kind") == k, i) for k, i in _READ_ORDER.items()], default=3)
     split = time_split("ts", width)
@@ -32,7 +33,7 @@ def observed_hands(observations: DataFrame, *, pot_label: str | None = steps.POT
 
     ticks = rows.groupBy("hand_id", "ts", "tick").agg(F.max_by("pot_latest", "read").alias("pot_after"))
     ticks = shifted(ticks, ["hand_id"], ["ts", "tick"], {"pot_before": F.col("pot_after")}, split=split)
-    return rows.join(ticks.drop("ts"), ["hand_id", "tick"])
+    return written(rows.join(ticks.drop("ts"), ["hand_id", "tick"]))
 
 
 def _seat_actions(rows: DataFrame, width: str) -> DataFrame:
@@ -70,6 +71,7 @@ def observed_events(
     judged = D.judged_actions(facing.select(
         "*", F.coalesce("_top", F.lit(0.0)).alias("current_to_call"),
         F.col("_top").isNull().alias("is_first_bet_this_street")).drop("_top"))
+    judged = written(judged)
 
     seat = F.concat(F.lit("Player_"), F.col("seat").cast("string"))
     if players is None:

@@ -60,14 +60,9 @@ def _routed(t: Tables) -> DataFrame:
 
 
 def _event_alert_windows(t: Tables) -> DataFrame:
-    """Health windows over the event stream, here one day of diagnostics each."""
-    text = derivations.DIAGNOSTIC_EVENTS
-    schema = t.read("events").schema
-    source = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parque[t]")
-    diag = source.select(
-        F.when(F.col("event_type") == "error", "WARN").otherwise("INFO").alias("level"),
-        F.col("ts").cast("timestamp").alias("occurred_at"))
-    assert "WARN" in text
+    """Health windows over the diagnostics the events stand for, six hours each."""
+    diag = _stream(t, EVENTS).select(
+        F.when(F.col("event_type") == "error", "WARN").otherwise("INFO").alias("level"), F.col("ts").alias("occurred_at"))
     alerts = jobs.diagnostic_alerts(diag, window="6 hours", at_most=20)
     return _drain(t, alerts).select("window_start", "tag", "level", F.get_json_object("payload", "$.warn_error_count")
                                     .cast("bigint").alias("warn_error_count"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REVIEW = """event_id string, player_name string, position string, action_type string, amount double,
   confidence_score double, raw_data string"""
@@ -12,6 +14,15 @@ SHOWN_CARD = """hand_id string, seat int, side string, avatar_hamming int, captu
 LABEL = "expected struct<rank:string,suit:string>, source string, notes string"
 
 
+def _from_gbk(content: Column) -> Column:
+    """SQL's decode knows no Chinese code page."""
+    @F.pandas_udf(T.StringType())
+    def udf(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode("gbk", "replace"))
+
+    return udf(content)
+
+
 def read_sidecars(spark: SparkSession, folder: str, schema: str, *, pattern: str = "*.json") -> DataFrame:
     """Parsed sidecars with their path.
 
@@ -21,6 +32,7 @@ def read_sidecars(spark: SparkSession, folder: str, schema: str, *, pattern: str
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
         .load(folder).select("path", "content"))
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "GBK"))
+    utf8 = F.try_validate_utf8(F.col("content").cast("string"))
+    text = F.coalesce(utf8, _from_gbk(F.when(utf8.isNull(), F.col("content"))))
     return files.select("path", text.alias("text")).select("path", F.from_json("text", schema).alias("j")).select(
         "path", "j.*")
