@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SPLIT, _CARRY, _EDGE = "__split", "__carry", "__edge"
+_SPLIT, _KEY, _CARRY, _EDGE = "__split", "__key", "__carry", "__edge"
 _LAST = 9223372036854775807
 
 
@@ -40,16 +40,22 @@ def _order(order: Iterable[str]) -> list[Column]:
     return [F.col(o).asc_nulls_last() for o in order]
 
 
-def _join_carry(inner: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cond = inner[_SPLIT] == carry["__s"]
-    for i, k in enumerate(keys):
-        cond = cond & inner[k].eqNullSafe(carry[f"__k{i}"])
-    return inner.join(carry, cond, "left").drop("__s", *[f"__k{i}" for i in range(len(keys))])
+def _keyed(df: DataFrame, keys: Sequence[str], split: Column) -> tuple[DataFrame, list[str]]:
+    """Adds the split and the keys as one struct.
 
+    A struct is never NULL itself, so rows with a missing key join back by plain
+    equality, on the very columns the window has already partitioned by.
+    """
+    work = df.withColumn(_SPLIT, split)
+    if not keys:
+        return work, [_SPLIT]
+    return work.withColumn(_KEY, F.struct(*keys)), [_KEY, _SPLIT]
 
-def _as_carry(heads: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    renamed = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    return heads.select(F.col(_SPLIT).alias("__s"), *renamed, value.alias(_CARRY))
+
+def _join_carry(inner: DataFrame, heads: DataFrame, part: Sequence[str], value: Column) -> DataFrame:
+    carry = heads.select(*[F.col(c).alias(f"{c}_of") for c in part], value.alias(_CARRY))
+    cond = [inner[c] == carry[f"{c}_of"] for c in part]
+    return inner.join(carry, cond, "left").drop(*[f"{c}_of" for c in part], *part)
 
 
 def shifted(
@@ -68,18 +74,18 @@ def shifted(
         out = df.withColumn(_EDGE, step(packed).over(w))
         return _unpack(out, _EDGE, values)
 
-    work = df.withColumn(_SPLIT, split)
-    w = Window.partitionBy(*keys, _SPLIT).orderBy(*_order(order))
+    work, part = _keyed(df, keys, split)
+    w = Window.partitionBy(*part).orderBy(*_order(order))
     inner = work.withColumn(_EDGE, step(packed).over(w))
 
     # One row per (key, split): its last row for a lag, its first for a lead.
     rank = F.struct(*[F.struct(F.col(o).isNull(), F.col(o)) for o in order])
     pick = F.min_by if forward else F.max_by
-    heads = work.groupBy(*keys, _SPLIT).agg(pick(packed, rank).alias(_EDGE))
-    over = Window.partitionBy(*keys).orderBy(F.col(_SPLIT))
+    heads = work.groupBy(*part).agg(pick(packed, rank).alias(_EDGE))
+    over = Window.partitionBy(*part[:-1]).orderBy(F.col(_SPLIT))
     heads = heads.withColumn(_CARRY, step(F.col(_EDGE)).over(over)).where(F.col(_CARRY).isNotNull())
-    out = _join_carry(inner, _as_carry(heads, keys, F.col(_CARRY)), keys)
-    out = out.withColumn(_EDGE, F.coalesce(_EDGE, _CARRY)).drop(_CARRY, _SPLIT)
+    out = _join_carry(inner, heads, part, F.col(_CARRY))
+    out = out.withColumn(_EDGE, F.coalesce(_EDGE, _CARRY)).drop(_CARRY)
     return _unpack(out, _EDGE, values)
 
 
@@ -99,8 +105,7 @@ def running(
     agg = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count,
            "last": lambda c: F.last(c, ignorenulls=True)}
     end = 0 if inclusive else -1
-    part = list(keys) if split is None else [*keys, _SPLIT]
-    work = df if split is None else df.withColumn(_SPLIT, split)
+    work, part = (df, list(keys)) if split is None else _keyed(df, keys, split)
     w = Window.partitionBy(*part).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, end)
     inner = work.select("*", *[agg[k](e).over(w).alias(n) for n, (k, e) in totals.items()])
     if split is None:
@@ -112,11 +117,11 @@ def running(
         # max_by skips rows whose ordering is NULL: only non-null values compete.
         whole = F.max_by(e, F.when(e.isNotNull(), rank)) if k == "last" else agg[k](e)
         per_split.append(whole.alias(n))
-    heads = work.groupBy(*keys, _SPLIT).agg(*per_split)
-    before = Window.partitionBy(*keys).orderBy(F.col(_SPLIT)).rowsBetween(Window.unboundedPreceding, -1)
+    heads = work.groupBy(*part).agg(*per_split)
+    before = Window.partitionBy(*part[:-1]).orderBy(F.col(_SPLIT)).rowsBetween(Window.unboundedPreceding, -1)
     again = {**agg, "count": F.sum}
     packed = F.struct(*[again[k](F.col(n)).over(before).alias(n) for n, (k, _) in totals.items()])
-    out = _join_carry(inner, _as_carry(heads, keys, packed), keys)
+    out = _join_carry(inner, heads, part, packed)
     merge = {
         "sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: a + F.coalesce(b, F.lit(0)),
         "max": F.greatest, "min": F.least, "last": F.coalesce,

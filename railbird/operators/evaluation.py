@@ -89,9 +89,11 @@ def drift_report(
     aggregation; the comparison then works inside a row.  ``max_per_group``
     keeps the first samples by id, as the compared tool does.
     """
-    keys = keys or []
+    given, keys = keys or [], keys or ["_all"]
     one, two = groups
     rows = samples.where(F.col("grp").isin(one, two))
+    if not given:
+        rows = rows.withColumn("_all", F.lit(1))
     if max_per_group is not None:
         rows = _first(rows, [*keys, "grp"], F.col("sample_id"), max_per_group)
     lum = F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114
@@ -106,14 +108,14 @@ def drift_report(
     side = lambda name, p: stats.where(F.col("grp") == name).drop("grp").select(
         *keys, *[F.col(c).alias(f"{p}_{c}") for c in stats.columns if c not in [*keys, "grp"]])
     a, b = side(one, "a"), side(two, "b")
-    both = a.join(b, keys) if keys else a.crossJoin(b)  # without keys: one row each
+    both = a.join(b, keys)
     chi = F.aggregate(
         F.zip_with("a_hist", "b_hist", lambda x, y: (x - y) * (x - y) / (x + y + 2 * EPS)), F.lit(0.0), lambda s, x: s + x)
     sq = lambda c: F.pow(F.col(f"a_mean_{c}") - F.col(f"b_mean_{c}"), F.lit(2.0))
     dist = F.sqrt(sq("r") + sq("g") + sq("b"))
     gap = lambda kind, c: round_half_away(F.col(f"b_{kind}_{c}") - F.col(f"a_{kind}_{c}"), 4).alias(f"{kind}_gap_{c}")
     return both.withColumn("_chi", chi).withColumn("_dist", dist).select(
-        *keys, "a_n", "b_n", *[gap(k, c) for k in ("mean", "std") for c in CHANNELS],
+        *given, "a_n", "b_n", *[gap(k, c) for k in ("mean", "std") for c in CHANNELS],
         round_half_away("_chi", 6).alias("chi_square"), round_half_away("_dist", 4).alias("mean_distance"),
         _verdict(F.col("_chi"), F.col("_dist")).alias("verdict"))
 

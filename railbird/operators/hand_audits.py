@@ -148,14 +148,20 @@ def rake_observed(hands: DataFrame) -> DataFrame:
 
 
 def rake_baseline(hands: DataFrame, *, min_hands: int = 20) -> DataFrame:
-    """Typical rake per table over hands with an ordinary rake."""
+    """Typical rake per table over hands with an ordinary rake.
+
+    The status selects inside the aggregates: as a filter it would be pushed
+    below the projection and all sums worked out again for it.
+    """
+    normal = F.col("status") == "normal_rake"
+    share = F.when(normal, F.col("rake_pct"))
     return (
-        _rake(hands).where(F.col("status") == "normal_rake").groupBy("table_name")
+        _rake(hands).groupBy("table_name")
         .agg(
-            F.count("*").alias("n_normal_hands"),
-            round_half_away(F.avg("rake_pct"), 4).alias("avg_rake_pct"),
-            round_half_away(F.stddev_samp("rake_pct"), 4).alias("std_rake_pct"),
-            F.max("rake_observed").alias("max_rake_observed"),
+            count_if(normal).alias("n_normal_hands"),
+            round_half_away(F.avg(share), 4).alias("avg_rake_pct"),
+            round_half_away(F.stddev_samp(share), 4).alias("std_rake_pct"),
+            F.max(F.when(normal, F.col("rake_observed"))).alias("max_rake_observed"),
         )
         .where(F.col("n_normal_hands") >= min_hands)
     )

@@ -48,9 +48,10 @@ def health_metrics(
         zero(add("no_delta", inside)).alias("no_delta_recent"))
     bursts = diagnostics.where(F.col("level").isin("WARN", "ERROR") & recent("occurred_at")).agg(
         F.count("*").alias("warnings_recent"))
-    # Both sides are one row of totals.
-    return of_events.crossJoin(F.broadcast(bursts)).select(
-        F.coalesce("hands_recent", F.lit(0)).alias("hands_recent"), *of_events.columns[1:], "warnings_recent")
+    # Two rows of totals, each with its own columns, folded into one.
+    both = of_events.unionByName(bursts, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn(
+        "hands_recent", F.coalesce("hands_recent", F.lit(0)))
 
 
 def health_warnings(

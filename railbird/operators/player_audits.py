@@ -76,8 +76,10 @@ def timing_stats(events: DataFrame, *, min_timed: int = 3, snap_ms: int = 3000)
 
 def _last_stacks(events: DataFrame) -> DataFrame:
     known = events.where(F.col("raw.stack_after").isNotNull())
-    last = F.max_by(F.struct("timestamp", F.col("raw.stack_after").alias("stack_after")), "sequence_number")
-    return known.groupBy("player_name", "hand_id").agg(last.alias("l")).select("player_name", "hand_id", "l.*")
+    # Two plain columns rather than one struct: the aggregation can stay hashed.
+    last = lambda c: F.max_by(c, "sequence_number")
+    return known.groupBy("player_name", "hand_id").agg(
+        last("timestamp").alias("timestamp"), last(F.col("raw.stack_after")).alias("stack_after"))
 
 
 def hand_deltas(events: DataFrame, *, split: Column | None = None) -> DataFrame:

@@ -91,6 +91,8 @@ def sql(body: str, **extra: str) -> str:
     recursive = "recursive " if "recursive" in body else ""
     body = body.replace("with recursive ", "with ", 1) if recursive else body
     body = body.strip()
+    copies = lambda m: f"cross join (select unnest(range(0, {m[1]})) as i) s"
+    head, body = (re.sub(r"\bEACH_OF_(\d+)\b", copies, x) for x in (head, body))
     if not head:
         return body
     if body.startswith("with "):

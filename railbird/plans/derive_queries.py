@@ -20,21 +20,21 @@ KEYS = ["table_id", "seat"]
 BUTTON = """select o_orderkey as hand_id, cast(s.i as int) as seat, o_orderkey * 10 + s.i as tick,
   case when o_orderkey % 3 = 0 and s.i = o_orderkey % 6 then 'D' else '' end as text,
   cast(100 + (o_orderkey * 7 + s.i * 13) % (case when o_orderkey % 5 = 0 then 20 else 90 end) as double) as brightness
-from orders cross join (select 0 as i union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) s"""
+from orders EACH_OF_6"""
 BLINDS = """select o_orderkey as hand_id, cast(s.i as int) as seat, o_orderkey * 10 + s.i as tick,
   case when (o_orderkey + s.i) % 11 = 0 then '' when (o_orderkey + s.i) % 13 = 0 then '$100000'
        else '$' || cast((o_orderkey * 3 + s.i) % 40 as string) || '.' end as text
-from orders cross join (select 0 as i union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) s"""
+from orders EACH_OF_6"""
 BLIND_HANDS = """select o_orderkey as id, cast(o_orderkey % 6 as int) as button_seat_index,
   case when o_orderkey % 17 = 0 then 1 else 6 end as num_seats, o_orderkey % 4 = 0 as board_dealt from orders"""
 AVATARS = """select o_orderkey as hand_id, cast(s.i as int) as seat,
   cast(case when (o_orderkey + s.i) % 7 = 0 then 0 else (o_orderkey * (s.i + 1)) % 23 + 1 end as bigint) as phash,
   case when (o_orderkey + s.i) % 2 = 0 then '' else cast(o_orderkey % 500 as string) end as stack_text
-from orders cross join (select 0 as i union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) s"""
+from orders EACH_OF_6"""
 SIZED = """select o_orderkey as id, cast(o_orderkey % 5 as int) as button_seat_index,
   case o_orderkey % 4 when 0 then 6 when 1 then 8 when 2 then 9 else 7 end as num_seats from orders"""
 SEATS = """select o_orderkey as hand_id, cast(s.i as int) as seat
-from orders cross join (select 0 as i union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) s"""
+from orders EACH_OF_6"""
 TARGETS = """select 'T' || cast(user_id % 10 as string) as table_id, cast(user_id % 9 as int) as seat, event_id as tick, ts,
   case (event_id * 5 + user_id) % 7 when 0 then 'empty' when 1 then 'sitting_out' when 2 then 'active' when 3 then 'folded'
     when 4 then 'all_in' when 5 then 'leaving' else 'new_hand' end as target from events"""

@@ -21,10 +21,10 @@ from railbird.sources import derivations, tables
 from railbird.streaming import jobs, processors
 
 SIX_HOURS = dq.SIX_HOURS
-VERSIONS = """select o_orderkey as id, cast(v.i as int) as version, o_orderpriority as table_name, o_orderdate as started_at,
-  case when v.i > 0 then cast(o_totalprice as double) + v.i end as pot_size_final,
-  case when v.i = 2 then o_orderstatus end as result
-from orders cross join (select 0 as i union all select 1 union all select 2) v where v.i < 2 or o_orderkey % 3 = 0"""
+VERSIONS = """select o_orderkey as id, cast(s.i as int) as version, o_orderpriority as table_name, o_orderdate as started_at,
+  case when s.i > 0 then cast(o_totalprice as double) + s.i end as pot_size_final,
+  case when s.i = 2 then o_orderstatus end as result
+from orders EACH_OF_3 where s.i < 2 or o_orderkey % 3 = 0"""
 SIGHTINGS = """select user_id % 500 as phash, 'P' || cast(event_id % 90 as string) as name, ts as seen_at from events"""
 
 

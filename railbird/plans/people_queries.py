@@ -157,7 +157,25 @@ def _drift(keys: str) -> str:
 
 _POOL = """case when confidence_score < 0.7 then 'screenshot' when override_reason is not null then 'override' else 'clean' end"""
 
+# The names of three or more characters in these tables are P and two digits.  For
+# those the matching blocks are P and one more character exactly if they share a
+# digit, so the ratio is 2/3 or 1/3.
+_ALIASES = """
+  p as (select player_name as n, count(distinct hand_id) as h from ev where not starts_with(player_name, 'TempUser')
+        and length(player_name) >= 3 group by 1),
+  pairs as (select a.n as a, a.h as ah, b.n as b, b.h as bh from p a, p b where (a.h > b.h or (a.h = b.h and a.n < b.n))
+        and list_has_any([a.n[2], a.n[3]], [b.n[2], b.n[3]]))"""
+
 ORACLE = {
+    "alias_pairs": sql(f"""with {_ALIASES}
+        select b as alias, a as canonical, 0.667::double as ratio, bh as alias_hands, ah as canonical_hands,
+          b || ' → ' || a as recommend from pairs"""),
+    "alias_clusters": sql(f"""with recursive {_ALIASES},
+        e as (select a as x, b as y from pairs union select b, a from pairs),
+        reach(x, y) as (select x, y from e union select r.x, e.y from reach r join e on e.x = r.y),
+        n as (select distinct player_name from ev where not starts_with(player_name, 'TempUser'))
+        select player_name, coalesce(least(min(y), player_name), player_name) as canonical
+        from n left join reach on x = player_name group by 1"""),
     "renamed_events": sql("""select id, if(length(player_name) = 3, player_name[1:2], player_name) as player_name from ev"""),
     "rename_report": sql("""select player_name as from_name, player_name[1:2] as to_name, count(*) as rows_updated
         from ev where length(player_name) = 3 group by 1, 2"""),

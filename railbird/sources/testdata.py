@@ -14,7 +14,11 @@ TABLES = ["orders", "lineitem", "events"]
 
 
 def run_derivation(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Runs a derivation with its table names bound to the files, without views."""
+    """Runs a derivation with its table names bound to the files, without views.
+
+    ``EACH_OF_n`` stands for n copies of every row, numbered s.i from 0.
+    """
+    text = re.sub(r"\bEACH_OF_(\d+)\b", lambda m: f"lateral view explode(sequence(0, {int(m[1]) - 1})) s as i", text)
     for name in TABLES:
         text = re.sub(rf"\b(from|join) {name}\b", rf"\1 parquet.`{sf_dir}/{name}.parquet`", text)
     return spark.sql(text)
