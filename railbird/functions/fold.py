@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from railbird.session import written
 
-_SPLIT, _LANE = "__split", "__lane"
+_SPLIT, _LANE, _KEY = "__split", "__lane", "__key"
 
 
 def parse_schema(text: str) -> T.StructType:
@@ -78,6 +78,8 @@ def fold_pieces(
 
     empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in state_type])
     before = Window.partitionBy(*keys).orderBy(F.col(_SPLIT))
+    # A struct is never NULL, so pieces of a missing key are found again too.
+    with_key = lambda df: df.withColumn(_KEY, F.struct(*keys))
     laned = lambda states: states.withColumn(_LANE, lane).groupBy(*batch)
 
     ends = pieces.groupBy(*batch).applyInArrow(first_ends, ends_type)
@@ -87,13 +89,13 @@ def fold_pieces(
         wrong = linked.where(~F.col("entry").eqNullSafe(F.col("assumed"))).select(*piece, "entry")
         if wrong.isEmpty():
             break
-        todo = pieces.join(wrong.select(*piece), piece, "left_semi")
+        todo = with_key(pieces).join(with_key(wrong).select(_KEY, _SPLIT), [_KEY, _SPLIT], "left_semi").drop(_KEY)
         redone = (
             laned(wrong).cogroup(todo.groupBy(*batch)).applyInArrow(corrected_ends, ends_type)
-            .withColumnRenamed("end", "new_end")
+            .select(F.struct(*keys).alias(_KEY), _SPLIT, F.col("end").alias("new_end"))
         )
         states = written(
-            linked.join(redone, piece, "left")
+            with_key(linked).join(redone, [_KEY, _SPLIT], "left")
             .select(*piece, F.col("entry").alias("assumed"), F.coalesce("new_end", "end").alias("end"))
         )
     else:

@@ -157,7 +157,7 @@ def carried_fold(
     row per piece moves between rounds, and it is written to the checkpoint folder,
     so a lost executor costs no more than its own pieces.
 
-    Keys must not be NULL.  Rows are batched by split and by ``lanes`` groups of
+    Rows are batched by split and by ``lanes`` groups of
     keys: raise it when a split holds more than a few tens of MB per lane.
     """
     from railbird.functions.fold import fold_pieces
