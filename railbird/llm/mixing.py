@@ -27,7 +27,7 @@ from railbird.session import written
 GOLDEN = 0.6180339887498949
 BLOCK_WORDS = 512
 #: Rows of a source that are summed up in one task.
-SPLIT_ROWS = 100_000
+SPLIT_ROWS = 4_096
 
 
 def word_sizes(docs: DataFrame, *, text_col: str = "text") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from railbird.llm import exact_dedup, mixing
+from railbird.llm import exact_dedup, mixing, simhash
 
-MODULES = [exact_dedup, mixing]
+MODULES = [exact_dedup, mixing, simhash]
 
 
 def queries() -> dict:
