@@ -15,9 +15,11 @@ a sequence are cut, into whole sequences and one rest.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, filterfalse, islice
+from itertools import compress, islice, pairwise
+from operator import not_
 from unicodedata import normalize
 
 import numpy as np
@@ -36,7 +38,7 @@ FAN_IN = 8
 #: Items packed together in a task.
 CHUNK = 100_000
 #: Different words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 MEMBER = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -55,6 +57,7 @@ class WordIds:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         suffix = "</w>"
@@ -67,15 +70,14 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _together(self, words: list[str]) -> None:
-        for i in range(0, len(words), 500):
-            part = words[i:i + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [words[i:i + 500] for i in range(0, len(words), 500)]
+        coded = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+        for part, code in zip(parts, coded, strict=True):
+            ids = np.array(code.ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
-                raw, at = ids.tobytes(), 0
-                for w, stop in zip(part, (stops * 4).tolist(), strict=True):
-                    self.young[w] = raw[at:stop]
-                    at = stop
+                raw, cuts = ids.tobytes(), [0, *(stops * 4).tolist()]
+                self.young.update(zip(part, [raw[a:b] for a, b in pairwise(cuts)], strict=True))
             else:
                 self.young.update((w, self._alone(w)) for w in part)
 
@@ -105,18 +107,22 @@ class WordIds:
         if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        young[""] = b""
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set(filterfalse(young.__contains__, chain.from_iterable(words)))
+        texts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        met = [list(map(young.get, words)) for words in texts]
+        new = set().union(*(compress(words, map(not_, ids)) for words, ids in zip(texts, met, strict=True)))
         young.update((w, old[w]) for w in new.intersection(old))
-        parts = {w: self._letters(w) for w in new.difference(old)}
-        self._together([b for b in set(parts.values()) if self._whole(b) and b not in young and b not in old])
+        new.difference_update(old)
+        young[""] = b""
+        plain = [w for w in new if w.isalpha() and w.islower() and w.isascii()]
+        parts = {w: self._letters(w) for w in new.difference(plain)}
+        asked = {b for b in parts.values() if b not in young and b not in old and self._whole(b)}
+        self._together(list(asked.union(plain)))
         for word, letters in parts.items():
             if word not in young:
                 tail = word[len(letters):]
                 young[word] = self._found(letters) + self._found(tail) if tail else self._found(letters)
-        for w in words:
-            yield b"".join(map(young.__getitem__, w))
+        for words, ids in zip(texts, met, strict=True):
+            yield b"".join([i or young[w] for w, i in zip(words, ids, strict=True)])
 
 
 _ENCODERS: dict[str, WordIds] = {}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from railbird.llm import exact_dedup, mixing, simhash
+from railbird.llm import exact_dedup, mixing, packing, simhash
 
-MODULES = [exact_dedup, mixing, simhash]
+MODULES = [exact_dedup, mixing, packing, simhash]
 
 
 def queries() -> dict:
