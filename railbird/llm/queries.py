@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from railbird.llm import exact_dedup, mixing, packing, simhash
+import corpus_pipeline
+from railbird.llm import exact_dedup, mixing, packing, quality, simhash
 
-MODULES = [exact_dedup, mixing, packing, simhash]
+MODULES = [exact_dedup, mixing, packing, quality, simhash]
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
