@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from railbird.llm import chat, exact_dedup, fingerprints, mixing, packing, quality, simhash, url_filter, warc
+from railbird.llm import chat, exact_dedup, fingerprints, mixing, packing, quality, simhash, suffix_dedup, url_filter, warc
 
-MODULES = [mixing, fingerprints, chat, packing, quality, simhash, warc, url_filter, exact_dedup]
+MODULES = [suffix_dedup, mixing, fingerprints, chat, packing, quality, simhash, warc, url_filter, exact_dedup]
 
 
 def queries() -> dict:
