@@ -35,13 +35,17 @@ def _word(text: Column, word: str) -> Column:
     return text.rlike(rf"(?U)\b{word}\b")
 
 
+# One class of white space for both engines: ASCII and the Unicode spaces, the ideographic one included.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def first_number(text: Column | str) -> Column:
     """The first number in a reading; NULL when there is none."""
     return F.nullif(F.regexp_extract(col(text), NUMBER, 1), F.lit("")).try_cast("double")
 
 
 def clean(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), r"^\s+|\s+$", "")
+    return F.regexp_replace(col(text), f"^{SPACE}+|{SPACE}+$", "")
 
 
 def action_of(text: Column | str) -> Column:

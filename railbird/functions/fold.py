@@ -1,105 +1,48 @@
-"""Pieces of an ordered fold, run side by side and corrected until they agree."""
+"""An ordered fold: one pass over each key's rows, in order, with constant memory."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from railbird.session import written
-
-_SPLIT, _LANE, _KEY = "__split", "__lane", "__key"
+_BATCH = 4096
 
 
 def parse_schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 
 
-def fold_rows(step: Callable, state: dict, rows: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for row in rows:
-        out.extend(step(state, row))
-    return out
-
-
-def fold_pieces(
-    df: DataFrame, keys: list[str], order: list[str], split: Column, step: Callable,
-    state_schema: str, output_schema: str, max_rounds: int, lanes: int,
+def fold_sorted(
+    df: DataFrame, keys: list[str], order: list[str], step: Callable, state_schema: str, output_schema: str,
+    piece: Column | None = None,
 ) -> DataFrame:
-    # Keys share a lane so that many small pieces travel as one batch; a hot key
-    # still comes in pieces, one split at a time.
-    lane = F.pmod(F.xxhash64(*keys), F.lit(lanes)).cast("int")
-    pieces = df.withColumn(_SPLIT, split).withColumn(_LANE, lane)
-    piece, batch = [*keys, _SPLIT], [_LANE, _SPLIT]
-    state_type = parse_schema(state_schema)
-    names = state_type.fieldNames()
-    ends_type = T.StructType([*[pieces.schema[k] for k in piece], T.StructField("end", state_type)])
-    out_type = parse_schema(output_schema)
-    ends_arrow, out_arrow = to_arrow_schema(ends_type), to_arrow_schema(out_type)
-
-    def by_key(table: pa.Table) -> Iterator[tuple[tuple, list[dict]]]:
-        rows = table.sort_by([(c, "ascending") for c in [*keys, *order]]).to_pylist()
-        for key, run in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
-            yield key, list(run)
-
-    def entry_states(entries: pa.Table) -> dict[tuple, dict]:
-        return {tuple(r[k] for k in keys): r["entry"] for r in entries.to_pylist()}
-
-    def end_row(key: tuple, rows: list[dict], state: dict) -> dict:
-        return {**dict(zip(keys, key)), _SPLIT: rows[0][_SPLIT], "end": state}
-
-    def first_ends(table: pa.Table) -> pa.Table:
-        out = []
-        for key, rows in by_key(table):
-            state = dict.fromkeys(names)
-            fold_rows(step, state, rows)
-            out.append(end_row(key, rows, state))
-        return pa.Table.from_pylist(out, schema=ends_arrow)
-
-    def corrected_ends(entries: pa.Table, table: pa.Table) -> pa.Table:
-        known, out = entry_states(entries), []
-        for key, rows in by_key(table):
-            if key in known:
-                state = dict(known[key])
-                fold_rows(step, state, rows)
-                out.append(end_row(key, rows, state))
-        return pa.Table.from_pylist(out, schema=ends_arrow)
-
-    def emitted(entries: pa.Table, table: pa.Table) -> pa.Table:
-        known, out = entry_states(entries), []
-        for key, rows in by_key(table):
-            out += fold_rows(step, dict(known[key]), rows)
-        return pa.Table.from_pylist(out, schema=out_arrow)
-
-    empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in state_type])
-    before = Window.partitionBy(*keys).orderBy(F.col(_SPLIT))
-    # A struct is never NULL, so pieces of a missing key are found again too.
-    with_key = lambda df: df.withColumn(_KEY, F.struct(*keys))
-    laned = lambda states: states.withColumn(_LANE, lane).groupBy(*batch)
-
-    ends = pieces.groupBy(*batch).applyInArrow(first_ends, ends_type)
-    states = written(ends.select(*piece, empty.alias("assumed"), "end"))
-    for _ in range(max_rounds):
-        linked = states.withColumn("entry", F.coalesce(F.lag("end").over(before), empty))
-        wrong = linked.where(~F.col("entry").eqNullSafe(F.col("assumed"))).select(*piece, "entry")
-        if wrong.isEmpty():
-            break
-        todo = with_key(pieces).join(with_key(wrong).select(_KEY, _SPLIT), [_KEY, _SPLIT], "left_semi").drop(_KEY)
-        redone = (
-            laned(wrong).cogroup(todo.groupBy(*batch)).applyInArrow(corrected_ends, ends_type)
-            .select(F.struct(*keys).alias(_KEY), _SPLIT, F.col("end").alias("new_end"))
-        )
-        states = written(
-            with_key(linked).join(redone, [_KEY, _SPLIT], "left")
-            .select(*piece, F.col("entry").alias("assumed"), F.coalesce("new_end", "end").alias("end"))
-        )
-    else:
-        raise RuntimeError("fold pieces did not settle")
-
-    entries = states.select(*piece, F.col("assumed").alias("entry"))
-    return laned(entries).cogroup(pieces.groupBy(*batch)).applyInArrow(emitted, out_type)
+    """``step(state, row)`` over the rows of each key (and ``piece``) in ``order``.
+
+    The shuffle deals rows by key and sorts them; a task then streams through its
+    keys and holds one state and one batch of rows, whatever the size of a key.
+    """
+    names = parse_schema(state_schema).fieldNames()
+    out_schema = to_arrow_schema(parse_schema(output_schema))
+    rows = df if piece is None else df.withColumn("__piece", piece)
+    by = keys if piece is None else [*keys, "__piece"]
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, *[F.col(o).asc_nulls_last() for o in order])
+
+    def make(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, out = None, None, []
+        for batch in source:
+            for at in range(0, batch.num_rows, _BATCH):
+                for row in batch.slice(at, _BATCH).to_pylist():
+                    now = tuple(row[k] for k in by)
+                    if state is None or now != key:
+                        key, state = now, dict.fromkeys(names)
+                    out.extend(step(state, row))
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=out_schema)
+                    out = []
+
+    return dealt.mapInArrow(make, output_schema)

@@ -140,26 +140,23 @@ def numbered(
 
 
 def carried_fold(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], split: Column, *,
-    step: Callable[[dict, dict], list[dict]], state_schema: str, output_schema: str,
-    max_rounds: int = 10_000, lanes: int = 64,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, step: Callable[[dict, dict], list[dict]],
+    state_schema: str, output_schema: str, forgets: Column | None = None, split: Column | None = None,
 ) -> DataFrame:
-    """A left fold along the order of each key, exact, and run in pieces.
+    """A left fold along the order of each key, exact, in one shuffle and one pass.
 
     ``step(state, row)`` changes the state (a dict with the columns of
     ``state_schema``, all None at first) and returns output rows.
 
-    A piece is one (key, split).  Each piece is first folded from an empty state;
-    its end state is then compared with what the next piece assumed, and only
-    pieces that assumed wrongly are folded again.  The rules used here forget
-    quickly, so the second pass settles nearly all of them; a rule that never
-    forgot would need one round per split and still be right.  Only one state
-    row per piece moves between rounds, and it is written to the checkpoint folder,
-    so a lost executor costs no more than its own pieces.
-
-    Rows are batched by split and by ``lanes`` groups of
-    keys: raise it when a split holds more than a few tens of MB per lane.
+    A task streams through sorted rows, so its memory does not follow the size of a
+    key; its time does.  ``forgets`` marks the rows at which the rule provably gives the
+    same result from any state: a key is cut there, and its pieces run side by side.  They
+    are numbered by a running count over ``split``.
     """
-    from railbird.functions.fold import fold_pieces
+    from railbird.functions.fold import fold_sorted
 
-    return fold_pieces(df, list(keys), list(order), split, step, state_schema, output_schema, max_rounds, lanes)
+    if forgets is None:
+        return fold_sorted(df, list(keys), list(order), step, state_schema, output_schema)
+    marked = running(df.withColumn("__cut", forgets), keys, order,
+                     {"__nth": ("count", F.when(F.col("__cut"), 1))}, split=split).drop("__cut")
+    return fold_sorted(marked, list(keys), list(order), step, state_schema, output_schema, F.col("__nth"))

@@ -27,11 +27,6 @@ def to_int(c: Column | str) -> Column:
     return F.rint(col(c)).cast("bigint")
 
 
-def ratio(num: Column, den: Column) -> Column:
-    """num / den, NULL when den is 0 (ANSI division would raise)."""
-    return F.try_divide(num.cast("double"), den.cast("double"))
-
-
 def pct(num: Column, den: Column, digits: int = 1) -> Column:
     return round_half_away(F.try_divide(num * F.lit(100.0), den), digits)
 
@@ -106,10 +101,6 @@ def lookup(mapping: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
 
 
-def nulls_last(c: Column | str, descending: bool = False) -> Column:
-    return col(c).desc_nulls_last() if descending else col(c).asc_nulls_last()
-
-
 def newest_first(c: Column | str) -> Column:
     """Descending with missing values first, the default of the source database."""
     return col(c).desc_nulls_first()

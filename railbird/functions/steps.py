@@ -8,8 +8,11 @@ Spark-held state, so both give the same rows.  Times are microseconds.
 from __future__ import annotations
 
 import json
+import re
+from decimal import ROUND_HALF_UP, Decimal
 
 from railbird import schemas as S
+from railbird.functions.actions import SPACE
 
 # ---------------------------------------------------------------- fixed values
 DEBOUNCE_SECONDS = 5.0
@@ -25,10 +28,19 @@ SHOWDOWN = {
 }
 
 
+# White space at a text's ends, as the batch rule (``actions.SPACE``) sees it.
+EDGES = re.compile(rf"^{SPACE}+|{SPACE}+$")
+
+
 def _popcount(a: int, b: int) -> int:
     return ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count()
 
 
+def half_up(x: float, digits: int) -> float:
+    """Rounds as the batch rules do."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 class Segment:
     """Marks the readings that begin a new hand (key: table)."""
 
@@ -197,7 +209,7 @@ class ShowdownGate:
         board = [c for c in (row["board"] or "").split(",") if c]
         if len(board) < lim["board_cards"]:
             return "gate1_board"
-        if row["live_seats"] < lim["min_live"]:
+        if (row["live_seats"] or 0) < lim["min_live"]:
             return "gate2_live"
         if row["is_hero"]:
             return "hero_seat"
@@ -206,9 +218,9 @@ class ShowdownGate:
             return "throttled"
         if row["hash_distance"] is None or row["hash_distance"] < lim["min_distance"]:
             return "no_overlay"
-        if row["brightness"] < lim["min_brightness"]:
+        if (row["brightness"] or 0.0) < lim["min_brightness"]:
             return "dark_cards_area"
-        if row["texture"] < lim["min_texture"]:
+        if (row["texture"] or 0.0) < lim["min_texture"]:
             return "uniform_back"
         m["at"][seat] = row["at"]
         if seat in m["shown"]:
@@ -241,7 +253,7 @@ class Changed:
     extra = "cleaned string, prev_text string"
 
     def __call__(self, st: dict, row: dict) -> list[dict]:
-        text, prev = (row["text"] or "").strip(), st["text"]
+        text, prev = EDGES.sub("", row["text"] or ""), st["text"]
         if not text or text == prev:
             return []
         st["text"] = text
@@ -280,7 +292,7 @@ class Pointer:
                 note("pointer.action_inferred", "timer_moved_to_next", seat, None)
             note("pointer.timer_moved", None, seat, None)
         elif seat is None and last is not None and (row["at"] - st["at"]) / 1e6 < self.recent_s:
-            note("pointer.action_inferred", None, None, round((row["at"] - st["at"]) / 1e6, 2))
+            note("pointer.action_inferred", None, None, half_up((row["at"] - st["at"]) / 1e6, 2))
         st["seat"], st["value"], st["at"] = seat, row["value"], row["at"]
         return out
 
@@ -293,7 +305,8 @@ class Phase:
 
     def __call__(self, st: dict, row: dict) -> list[dict]:
         before, phase = st["phase"] or "between_hands", row["phase"]
-        following = S.HAND_PHASES[(S.HAND_PHASES.index(before) + 1) % len(S.HAND_PHASES)]
+        known = before in S.HAND_PHASES
+        following = S.HAND_PHASES[(S.HAND_PHASES.index(before) + 1) % len(S.HAND_PHASES)] if known else None
         early = before in S.ACTING_PHASES and phase == "settling"
         st["phase"] = phase
         return [{**row, "from_phase": before, "legal": phase in (before, following) or early}]

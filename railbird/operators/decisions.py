@@ -238,14 +238,12 @@ def situational_stats(hands: DataFrame, events: DataFrame, *, min_sample: int =
     those few sums, not the decisions.
     """
     rows = _situation_dimensions(flagged_decisions(events), hands)
+    # Chances and takes are summed side by side; only these sums become rows of their own.
+    sums = [F.sum(F.when(F.col(f"{s}_opp") == 1, F.col(f"{s}_{x}"))).alias(f"{s}_{x}") for s in STATS for x in ("opp", "did")]
+    wide = rows.groupBy("player_name", *DIMENSIONS).agg(*sums)
     stats = F.array(*[
-        F.struct(F.lit(s).alias("stat_type"), F.col(f"{s}_opp").alias("opp"), F.col(f"{s}_did").alias("did"))
-        for s in STATS
-    ])
-    fine = (
-        rows.select("player_name", *DIMENSIONS, F.inline(F.filter(stats, lambda s: s["opp"] == 1)))
-        .groupBy("player_name", "stat_type", *DIMENSIONS).agg(F.sum("did").alias("did"), F.count("*").alias("n"))
-    )
+        F.struct(F.lit(s).alias("stat_type"), F.col(f"{s}_did").alias("did"), F.col(f"{s}_opp").alias("n")) for s in STATS])
+    fine = wide.select("player_name", *DIMENSIONS, F.inline(F.filter(stats, lambda s: s["n"] > 0)))
     keys = [F.col("player_name"), F.col("stat_type")]
     dims = [F.col(d) for d in DIMENSIONS]
     sets = [[*keys, *dims], *[[*keys, d] for d in dims], keys]

@@ -18,6 +18,8 @@ from railbird.functions.ordered import carried_fold, numbered, running, shifted,
 from railbird.functions.semantics import chain, count_if, lookup
 
 WIDTH = "1 hour"
+# Within a tick the board and the pot are read before the seats.
+READ_ORDER = {"hero": 0, "community": 1, "pot": 2, "timer": 3}
 
 
 def ddl(df: DataFrame, *, extra: str = "", without: tuple[str, ...] = ()) -> str:
@@ -26,17 +28,30 @@ def ddl(df: DataFrame, *, extra: str = "", without: tuple[str, ...] = ()) -> str
 
 
 def apply_step(
-    df: DataFrame, keys: list[str], order: list[str], step, *, ts: str = "ts", width: str = WIDTH, lanes: int = 64,
+    df: DataFrame, keys: list[str], order: list[str], step, *, ts: str = "ts", forgets: Column | None = None,
+    split: Column | None = None,
 ) -> DataFrame:
-    """Runs a step over each key in order; its columns come after the input's."""
-    rows = df.withColumn("at", F.unix_micros(ts))
+    """Runs a step over each key in order; its columns come after the input's.
+
+    Rows without a time have no place in the order and are left out; ``untimed`` gives them.
+    """
+    rows = df.where(F.col(ts).isNotNull()).withColumn("at", F.unix_micros(ts))
     out = carried_fold(
-        rows, keys, order, time_split(ts, width), step=step, state_schema=step.state,
-        output_schema=ddl(rows, extra=step.extra), lanes=lanes,
-    )
+        rows, keys, order, step=step, state_schema=step.state, output_schema=ddl(rows, extra=step.extra),
+        forgets=forgets, split=split)
     return out.drop("at")
 
 
+def untimed(df: DataFrame, *, ts: str = "ts") -> DataFrame:
+    """The rows that ordered rules leave out: the side output of those without a time."""
+    return df.where(F.col(ts).isNull())
+
+
+def read_rank() -> Column:
+    """The order of readings within a tick: the table before the seats, a seat's timer before its action."""
+    return chain(*[(F.col("kind") == k, i) for k, i in READ_ORDER.items()], default=len(READ_ORDER))
+
+
 # ------------------------------------------------------------ single readings
 
 def parse_actions(observations: DataFrame) -> DataFrame:
@@ -227,18 +242,20 @@ def empty_seats(readings: DataFrame) -> DataFrame:
 
 def segment_hands(
     observations: DataFrame, *, threshold: int = steps.HERO_HASH_THRESHOLD, pot_label: str | None = steps.POT_LABEL,
-    order: tuple[str, ...] = ("ts", "tick"), width: str = WIDTH,
+    width: str = WIDTH,
 ) -> DataFrame:
     """Numbers the hands of every table and names what began each one.
 
-    The boundary rule folds per table; the number is a running count of its
-    boundaries, kept out of the fold so that pieces agree quickly.
+    The readings of a tick have a fixed order (``read_rank``, seat, kind, then what was read), so the
+    result does not depend on how rows arrive.
     """
     if "phash" not in observations.columns:
         observations = observations.withColumn("phash", F.lit(None).cast("bigint"))
-    marked = apply_step(observations, ["table_id"], list(order), steps.Segment(threshold, pot_label), width=width)
+    order = ["ts", "tick", "read_rank", "seat", "kind", "value", "text"]
+    rows = observations.withColumn("read_rank", read_rank())
+    marked = apply_step(rows, ["table_id"], order, steps.Segment(threshold, pot_label))
     return running(
-        marked, ["table_id"], list(order), {"hand_no": ("count", F.col("boundary"))}, split=time_split("ts", width))
+        marked, ["table_id"], order, {"hand_no": ("count", F.col("boundary"))}, split=time_split("ts", width)).drop("read_rank")
 
 
 def action_changes(observations: DataFrame, keys: list[str], *, width: str = WIDTH) -> DataFrame:
@@ -249,21 +266,38 @@ def action_changes(observations: DataFrame, keys: list[str], *, width: str = WID
     return out.where(F.col("prev_text").isNull() | (F.col("prev_text") != F.col("cleaned")))
 
 
+def debounce_keys(events: DataFrame) -> list[str]:
+    """A table remembers its own players' actions: the same name elsewhere is another one's."""
+    table = ["table_id"] if "table_id" in events.columns else []
+    return [*table, "player_name", "street", "action_type"]
+
+
 def debounced(
     events: DataFrame, *, keys: list[str] | None = None, order: list[str] | None = None, ts: str = "ts",
     seconds: float = steps.DEBOUNCE_SECONDS, width: str = WIDTH,
 ) -> DataFrame:
-    """Accepts an action unless the same one was accepted less than ``seconds`` ago."""
-    return apply_step(
-        events, keys or ["player_name", "street", "action_type"], order or [ts, "id"], steps.Debounce(seconds),
-        ts=ts, width=width)
+    """Accepts an action unless the same one was accepted less than ``seconds`` ago.
+
+    An action that far from the one before is accepted whatever came earlier, so keys are cut there.
+    """
+    keys, order = keys or debounce_keys(events), order or [ts, "id"]
+    rows = events.where(F.col(ts).isNotNull())
+    split = time_split(ts, width)
+    rows = shifted(rows, keys, order, {"_before": F.col(ts)}, split=split)
+    gap = F.unix_micros(ts) - F.unix_micros("_before")
+    out = apply_step(rows, keys, order, steps.Debounce(seconds), ts=ts, forgets=gap >= int(seconds * 1_000_000), split=split)
+    # Across a cut the last accepted action is no longer known to the fold; it is the latest one before.
+    taken = F.when(F.col("accepted"), F.col(ts))
+    out = running(out, keys, order, {"_last": ("last", taken)}, split=split, inclusive=False)
+    since = (F.unix_micros(ts) - F.unix_micros("_last")) / 1e6
+    return out.select(*events.columns, "accepted", since.alias("since_s"))
 
 
 def cleaned_stacks(
     observations: DataFrame, keys: list[str], *, factor: float = steps.STACK_JUMP, width: str = WIDTH,
 ) -> DataFrame:
     rows = observations.where(F.col("kind") == "stack")
-    return apply_step(rows, keys, ["ts", "tick"], steps.StackJump(factor), width=width)
+    return apply_step(rows, keys, ["ts", "tick", "value"], steps.StackJump(factor))
 
 
 def cleaned_pots(observations: DataFrame, keys: list[str], *, width: str = WIDTH) -> DataFrame:
@@ -272,7 +306,7 @@ def cleaned_pots(observations: DataFrame, keys: list[str], *, width: str = WIDTH
     A peak never forgets, so it is a running maximum outside the fold.
     """
     rows = observations.where(F.col("kind") == "pot")
-    out = apply_step(rows, keys, ["ts", "tick"], steps.PotMonotone(), width=width)
+    out = apply_step(rows, keys, ["ts", "tick", "value"], steps.PotMonotone())
     return running(out, keys, ["ts", "tick"], {"peak": ("max", F.col("pot"))}, split=time_split("ts", width))
 
 
@@ -290,7 +324,8 @@ def betting_state(events: DataFrame, *, split: Column | None = None) -> DataFram
 def decision_times(observations: DataFrame, keys: list[str], *, width: str = WIDTH) -> DataFrame:
     """Decision time and timebank of every action reading."""
     rows = observations.where(F.col("kind").isin("timer", "action"))
-    return apply_step(rows, keys, ["ts", "tick"], steps.Timer(), width=width)
+    rows = rows.withColumn("read_rank", read_rank())
+    return apply_step(rows, keys, ["ts", "tick", "read_rank", "value"], steps.Timer()).drop("read_rank")
 
 
 def pointer_events(scans: DataFrame, keys: list[str], *, recent_s: float = 5.0, width: str = WIDTH) -> DataFrame:
@@ -325,7 +360,7 @@ def showdown_decisions(candidates: DataFrame, *, width: str = WIDTH, **limits: f
     live_seats, is_hero, hash_distance, brightness, texture, card1, conf1, card2,
     conf2; a card's confidence is the lower one of rank and suit.
     """
-    return apply_step(candidates, ["table_id"], ["ts", "tick", "seat"], steps.ShowdownGate(**limits), width=width)
+    return apply_step(candidates, ["table_id"], ["ts", "tick", "seat", "card1", "card2"], steps.ShowdownGate(**limits))
 
 
 def showdown_summary(boards: DataFrame, events: DataFrame, shown: DataFrame) -> DataFrame:
@@ -349,7 +384,7 @@ def showdown_summary(boards: DataFrame, events: DataFrame, shown: DataFrame) ->
 
 def seat_lifecycle(changes: DataFrame, *, width: str = WIDTH) -> DataFrame:
     """Effective seat states from observed ones (``table_id, seat, tick, ts, target``)."""
-    return apply_step(changes, ["table_id", "seat"], ["ts", "tick"], steps.SeatLifecycle(), width=width)
+    return apply_step(changes, ["table_id", "seat"], ["ts", "tick", "target"], steps.SeatLifecycle())
 
 
 def phase_transitions() -> dict[str, list[str]]:

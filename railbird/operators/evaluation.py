@@ -11,6 +11,10 @@ from railbird.functions.semantics import chain, count_if, pct, round_half_away
 POOL_SIZES = {"screenshot": 30, "override": 5, "clean": 5}
 
 
+# Rows ranked together in one task.
+SLICE_ROWS = 50_000
+
+
 def seeded(key: Column | str, seed: int) -> Column:
     """A fixed shuffle: rows ordered by this are in random but repeatable order."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string") if isinstance(key, str) else key))
@@ -23,10 +27,10 @@ def _first(df: DataFrame, keys: list[str], order: Column, n: Column | int, name:
 
 
 def review_sample(
-    events: DataFrame, *, sizes: dict[str, int] | None = None, pool_limit: int = 1000, seed: int = 0,
+    events: DataFrame, *, sizes: dict[str, int] | None = None, pool_limit: int | None = None, seed: int = 0,
     threshold: float = 0.7,
 ) -> DataFrame:
-    """Events to label by hand: from each pool's first ``pool_limit`` a few at random."""
+    """Events to label by hand: a few of each pool at random, of the whole pool or of its first ``pool_limit``."""
     sizes = {**POOL_SIZES, **(sizes or {})}
     low = F.col("confidence_score") < threshold
     pool = chain((low, "screenshot"), (F.col("raw.override_reason").isNotNull(), "override"),
@@ -34,7 +38,9 @@ def review_sample(
     rows = events.select(
         F.col("id").alias("event_id"), "hand_id", "player_name", "position", "street", "action_type", "amount",
         "confidence_score", F.col("raw.override_reason").alias("override_reason"), "timestamp", pool.alias("pool"))
-    pools = _first(rows.where(F.col("pool").isNotNull()), ["pool"], F.col("event_id"), pool_limit)
+    pools = rows.where(F.col("pool").isNotNull())
+    if pool_limit is not None:
+        pools = _first(pools, ["pool"], F.col("event_id"), pool_limit)
     quota = chain(*[(F.col("pool") == k, n) for k, n in sizes.items()])
     return _first(pools, ["pool"], seeded("event_id", seed), quota)
 
@@ -170,14 +176,16 @@ def holdout_split(
     """Adds ``part``: train or holdout, drawn per domain (``sample_id, domain, train_only``).
 
     Small domains keep everything for training, larger ones hold out at least
-    one.  There are few domains, so ranks are counted in slices of the hash
-    prefix and carried over them.
+    one.  There are few domains, so ranks are counted in slices of the hash, as many
+    as give ``SLICE_ROWS`` rows each, and carried over them.
     """
     hashed = samples.withColumn("_h", seeded("sample_id", seed) if order is None else order)
     open_ = hashed.where(~F.col("train_only"))
-    slices = F.conv(F.substring("_h", 1, 3), 16, 10).cast("bigint")
-    ranked = numbered(open_, ["domain"], ["_h", "sample_id"], "_rn", split=slices)
     sizes = open_.groupBy("domain").agg(F.count("*").alias("_n"))
+    share = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 4294967296.0
+    sized = open_.join(sizes.withColumnRenamed("_n", "_all"), "domain")
+    slices = F.floor(share * F.ceil(F.col("_all") / SLICE_ROWS)).cast("bigint")
+    ranked = numbered(sized, ["domain"], ["_h", "sample_id"], "_rn", split=slices).drop("_all")
     quota = F.when(F.col("_n") >= min_domain, F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).otherwise(0)
     drawn = ranked.join(sizes, "domain").select(
         *samples.columns, F.when(F.col("_rn") <= quota, "holdout").otherwise("train").alias("part"))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railbird.functions.ordered import block_split, numbered, time_split
+from railbird.functions.ordered import numbered, running, time_split
 from railbird.functions.semantics import count_if, minutes, round_half_away
 
 WINDOW_MINUTES = 30
@@ -84,7 +84,7 @@ def health_warnings(
     )
     failed = m.select(F.inline(F.filter(checks, lambda w: w.isNotNull())))
     return failed.select(
-        F.lit(None).cast("bigint").alias("hand_id"), "tag", "level", "payload",
+        F.lit(None).cast("string").alias("hand_id"), "tag", "level", "payload",
         F.lit(as_of).cast("timestamp").alias("occurred_at"))
 
 
@@ -141,20 +141,22 @@ def phase_stats(ticks: DataFrame, *, size: int = 20, top: int | None = None, wid
         "session", "batch", F.inline("t")).drop("r")
 
 
-def latency_summary(samples: DataFrame, *, bin_ms: float = 1.0) -> DataFrame:
+def latency_summary(samples: DataFrame) -> DataFrame:
     """Min, nearest-rank median and p95, max and mean per label (``label, ms``).
 
-    Ranks are counted in value bins and carried over them, so no label is ever
-    sorted in one place.
+    Equal times are counted before anything moves.  What is ordered per label is its
+    different values with their counts, in blocks of equal width.
     """
     rows = samples.where(F.col("ms").isNotNull()).select("label", "ms")
-    totals = rows.groupBy("label").agg(
-        F.count("*").alias("n_runs"), F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.avg("ms").alias("mean"))
-    ranked = numbered(rows, ["label"], ["ms"], "rn", split=block_split("ms", bin_ms))
+    counts = rows.groupBy("label", "ms").agg(F.count("*").alias("n"))
+    upto = running(counts, ["label"], ["ms"], {"upto": ("sum", F.col("n"))}, split=F.floor("ms").cast("bigint"))
+    totals = counts.groupBy("label").agg(
+        F.sum("n").alias("n_runs"), F.min("ms").alias("lo"), F.max("ms").alias("hi"),
+        (F.sum(F.col("ms") * F.col("n")) / F.sum("n")).alias("mean"))
     rank = lambda p: F.least(F.floor(F.col("n_runs") * p), F.col("n_runs") - 1) + 1
-    picks = ranked.join(totals.select("label", "n_runs"), "label").groupBy("label").agg(
-        F.max(F.when(F.col("rn") == rank(0.5), F.col("ms"))).alias("median"),
-        F.max(F.when(F.col("rn") == rank(0.95), F.col("ms"))).alias("p95"))
+    held = lambda p: (F.col("upto") - F.col("n") < rank(p)) & (rank(p) <= F.col("upto"))
+    picks = upto.join(totals.select("label", "n_runs"), "label").groupBy("label").agg(
+        F.max(F.when(held(0.5), F.col("ms"))).alias("median"), F.max(F.when(held(0.95), F.col("ms"))).alias("p95"))
     r2 = lambda c: round_half_away(c, 2)
     return totals.join(picks, "label").select(
         "label", "n_runs", r2("lo").alias("min_ms"), r2("median").alias("median_ms"), r2("p95").alias("p95_ms"),

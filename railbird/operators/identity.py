@@ -111,7 +111,7 @@ def alias_pairs(events: DataFrame, *, cutoff: float = CUTOFF, min_hands: int = 1
     ).withColumn("recommend", F.concat("alias", F.lit(" → "), "canonical")).orderBy(F.desc("ratio"), "alias", "canonical")
 
 
-def name_clusters(names: DataFrame, pairs: DataFrame, *, max_rounds: int = 200) -> DataFrame:
+def name_clusters(names: DataFrame, pairs: DataFrame) -> DataFrame:
     """Canonical name of every name: the longest (then smallest) one connected to it.
 
     ``pairs`` has columns a, b.  Each round takes the best label among the
@@ -123,7 +123,7 @@ def name_clusters(names: DataFrame, pairs: DataFrame, *, max_rounds: int = 200)
     edges = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     rank = lambda c: F.struct((-F.length(c)).alias("shorter"), F.col(c).alias("name"))
     labels = written(usable.select("player_name", rank("player_name").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         offered = edges.join(labels, edges["b"] == labels["player_name"]).select(
             F.col("a").alias("player_name"), "label")
         better = labels.union(offered).groupBy("player_name").agg(F.min("label").alias("label"))
@@ -136,8 +136,6 @@ def name_clusters(names: DataFrame, pairs: DataFrame, *, max_rounds: int = 200)
         labels = after
         if moved.isEmpty():
             break
-    else:
-        raise RuntimeError("name clusters did not settle")
     return labels.select("player_name", F.col("label.name").alias("canonical"))
 
 

@@ -8,30 +8,25 @@ from pyspark.sql import functions as F
 from railbird.functions import actions as A
 from railbird.functions import steps
 from railbird.functions.ordered import numbered, running, shifted, time_split
-from railbird.functions.semantics import chain
 from railbird.operators import derive as D
 from railbird.session import written
 
-# Within a tick the board and the pot are read before the seats.
-_READ_ORDER = {"hero": 0, "community": 1, "pot": 2}
-
-
 def observed_hands(observations: DataFrame, *, pot_label: str | None = steps.POT_LABEL, width: str = D.WIDTH) -> DataFrame:
     """Observations with their hand, street and the pot before and after their tick.
 
     The result is written to the checkpoint folder: every later rule reads it,
     and a fold reads its input more than once.
     """
-    rank = chain(*[(F.col("kind") == k, i) for k, i in _READ_ORDER.items()], default=3)
     split = time_split("ts", width)
-    order = ["ts", "tick", "read", "seat", "kind"]
-    rows = D.segment_hands(observations.withColumn("read", rank), pot_label=pot_label, order=tuple(order), width=width)
+    order = ["ts", "tick", "read", "seat", "kind", "value", "text"]
+    rows = D.segment_hands(observations, pot_label=pot_label, width=width).withColumn("read", D.read_rank())
     rows = rows.withColumn("hand_id", F.concat_ws("-", "table_id", F.col("hand_no").cast("string")))
     board = F.when(F.col("kind") == "community", A.street_of_count(F.col("value")))
     rows = running(rows, ["hand_id"], order, {"street": ("last", board)}, split=split)
     rows = written(rows.withColumn("street", F.coalesce("street", F.lit("preflop"))))
 
-    ticks = rows.groupBy("hand_id", "ts", "tick").agg(F.max_by("pot_latest", "read").alias("pot_after"))
+    ticks = rows.groupBy("hand_id", "ts", "tick").agg(
+        F.max_by("pot_latest", F.struct("read", F.coalesce("seat", F.lit(-1)), "kind", F.coalesce("value", F.lit(0.0)))).alias("pot_after"))
     ticks = shifted(ticks, ["hand_id"], ["ts", "tick"], {"pot_before": F.col("pot_after")}, split=split)
     return written(rows.join(ticks.drop("ts"), ["hand_id", "tick"]))
 
@@ -55,15 +50,20 @@ def _seat_actions(rows: DataFrame, width: str) -> DataFrame:
 
 def observed_events(
     observations: DataFrame, *, players: DataFrame | None = None, pot_label: str | None = steps.POT_LABEL,
-    debounce_s: float = steps.DEBOUNCE_SECONDS, width: str = D.WIDTH, posted: int = 2,
+    debounce_s: float = steps.DEBOUNCE_SECONDS, width: str = D.WIDTH, posted: int = 2, attention: bool = False,
 ) -> DataFrame:
     """Scored action events.  ``players``: table_id, seat, player_name and position, where known.
 
+    A seat that has folded is not read again in its hand; with ``attention`` neither is one that is all in.
+
     Low-confidence events are included; ``sources.tables`` routes them.
     """
     split: Column = time_split("ts", width)
     rows = observed_hands(observations, pot_label=pot_label, width=width)
     acts = _seat_actions(rows, width)
+    out_of_it = F.col("text_action").isin(["fold", "all_in"] if attention else ["fold"])
+    acts = running(acts, ["hand_id", "seat"], ["ts", "tick"], {"_out": ("max", out_of_it)}, split=split, inclusive=False)
+    acts = acts.where(~F.coalesce("_out", F.lit(False))).drop("_out")
     acts = numbered(acts, ["hand_id"], ["ts", "tick", "seat"], "sequence_number", split=split)
     delta = F.col("stack_before") - A.settled_stack(F.col("text_action"), F.col("stack_after"))
     facing = running(acts, ["hand_id", "street"], ["ts", "tick", "seat"],

@@ -16,9 +16,6 @@ from railbird.operators.event_audits import handend_fold_inference
 from railbird.operators.hand_audits import showdown_by_seat
 from railbird.operators.player_audits import AGGRESSIVE, position_matrix
 
-BROADCAST_ROWS = 10_000
-
-
 def _real(events: DataFrame) -> DataFrame:
     return events.where(~F.coalesce("raw.synthetic", F.lit(False)))
 
@@ -40,14 +37,11 @@ def unique_players(events: DataFrame, *, approximate: bool = False) -> DataFrame
 def recent_hands(hands: DataFrame, events: DataFrame, *, limit: int = 20) -> DataFrame:
     """The newest hands with their number of events.
 
-    The limit comes first, so only events of those few hands are counted; their
-    ids are broadcast while the limit keeps them few.
+    The limit comes first, so only events of those few hands are counted.
     """
     newest = [newest_first("started_at"), F.desc("id")]
     top = hands.select("id", "started_at", "ended_at", "pot_size_final", "hero_cards").orderBy(*newest).limit(limit)
     ids = top.select(F.col("id").alias("hand_id"))
-    if limit <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
     counts = events.join(ids, "hand_id", "left_semi").groupBy("hand_id").agg(F.count("*").alias("n_events"))
     return (
         top.join(counts, top["id"] == counts["hand_id"], "left").drop("hand_id")

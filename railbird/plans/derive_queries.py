@@ -240,8 +240,39 @@ _LIFE = f"""
   select table_id, seat, r.t as tick, {ts('r.s')} as ts, r.g as target, r.f as from_state, r.e as effective_state, r.l as legal,
     r.p as promoted, r.e in ('sitting_out', 'folded', 'all_in', 'leaving') as skippable from f"""
 
-_NEXT = ", ".join(
-    f"('{p}', {to!r})".replace("[", "[") for p, to in d.phase_transitions().items())
+# What may follow each phase, written out.
+_NEXT = """('between_hands', ['dealing_cards']), ('dealing_cards', ['blind_posting']), ('blind_posting', ['preflop_acting']), ('preflop_acting', ['dealing_flop', 'settling']),
+  ('dealing_flop', ['flop_acting']), ('flop_acting', ['dealing_turn', 'settling']), ('dealing_turn', ['turn_acting']),
+  ('turn_acting', ['dealing_river', 'settling']), ('dealing_river', ['river_acting']), ('river_acting', ['showdown', 'settling']),
+  ('showdown', ['settling']), ('settling', ['between_hands'])"""
+
+_LET = lambda name, value, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+_PAIR = "x.c1 || x.c2"
+_BEFORE = """case when len(list_filter(string_split(coalesce(x.b, ''), ','), lambda c: c <> '')) < 5 then 'gate1_board'
+  when coalesce(x.l, 0) < 2 then 'gate2_live' when x.r then 'hero_seat'
+  when x.a - list_filter(at0, lambda e: e.s = x.s)[-1].t < interval 1 second then 'throttled'
+  when x.d is null or x.d < 6 then 'no_overlay' when coalesce(x.br, 0) < 120 then 'dark_cards_area'
+  when coalesce(x.tx, 0) < 50 then 'uniform_back' end"""
+_CARDS = """case when pre is not null then pre when len(list_filter(sh0, lambda e: e.s = x.s)) > 0 then 'already_accepted'
+  when coalesce(x.q1, 1) < 0.9 or coalesce(x.q2, 1) < 0.9 then 'gate5_low_conf' when x.c1 = x.c2 then 'gate6a_same_card' end"""
+_LAST = f"""case when post is not null then post
+  when len(list_filter(list_filter(hi1, lambda e: e.s = x.s)[-5:], lambda e: e.k = {_PAIR})) >= 3 then 'gate6b_repeated'
+  when list_contains(string_split(x.b, ','), x.c1) or list_contains(string_split(x.b, ','), x.c2) then 'gate6c_on_board'
+  when len(list_filter(sh0, lambda e: e.c1 in (x.c1, x.c2) or e.c2 in (x.c1, x.c2))) > 0 then 'gate6c_other_seat' else 'accepted' end"""
+_GATE = f"""
+  with l as (select table_id, list({{'i': tick, 'h': hand_id, 's': seat, 'b': board, 'l': live_seats, 'r': is_hero, 'd': hash_distance,
+      'br': brightness, 'tx': texture, 'c1': card1, 'q1': conf1, 'c2': card2, 'q2': conf2, 'a': ts}} order by ts, tick, seat) as xs
+    from candidates group by all),
+  f as (select table_id, unnest(list_reduce(xs, lambda a, x: {
+      _LET('same', 'a.h is not distinct from x.h', _LET('at0', "if(same, a.at, [])", _LET('sh0', "if(same, a.sh, [])",
+      _LET('pre', _BEFORE, _LET('post', _CARDS, _LET('hi1', f"if(post is null, list_append(a.hi, {{'s': x.s, 'k': {_PAIR}}}), a.hi)",
+      _LET('why', _LAST, """{'h': x.h, 'at': if(pre is null, list_append(at0, {'s': x.s, 't': x.a}), at0),
+        'sh': if(why = 'accepted', list_append(sh0, {'s': x.s, 'c1': x.c1, 'c2': x.c2}), sh0), 'hi': hi1,
+        'o': list_append(a.o, {'i': x.i, 'w': why})}""")))))))},
+      {{'h': null::bigint, 'at': []::struct(s int, t timestamp)[], 'sh': []::struct(s int, c1 varchar, c2 varchar)[],
+        'hi': []::struct(s int, k varchar)[], 'o': []::struct(i bigint, w varchar)[]}}).o) as r from l)
+  select c.* exclude (ts), {ts('c.ts')} as ts, r.w as reason, r.w = 'accepted' as accepted
+  from candidates c join f on f.table_id = c.table_id and f.r.i = c.tick"""
 
 ORACLE = {
     "parse_actions": sql(f"""
@@ -329,6 +360,7 @@ ORACLE = {
         select id as hand_id, case when id % 3 = 0 then 'showdown.gate1_skip' when coalesce(n, 0) < 2 then 'showdown.gate2_skip'
             else 'showdown.enter' end as tag, if(id % 3 = 0, 4, 5) as river_count, coalesce(n, 0) as active_count,
           coalesce(cardinality(shown), 0) as captured_count from hand left join p on p.hand_id = hand.id"""),
+    "showdown_decisions": sql(_GATE, candidates=CANDIDATES),
     "seat_lifecycle": sql(_LIFE, targets=TARGETS),
     "hand_phases": sql(f"""
         with l as (select *, coalesce(lag(phase) over (partition by hand_id order by ts, tick), 'between_hands') as from_phase from phases),

@@ -234,8 +234,7 @@ ORACLE = {
           {rnd('v[least(floor(n * 0.95), n - 1)::int + 1]', 2)} as p95_ms, {rnd('v[n]', 2)} as max_ms, {rnd('a', 2)} as avg_ms from g"""),
     "review_sample": sql(f"""
         with p as (select *, {_POOL} as pool from ev),
-        f as (select *, row_number() over (partition by pool order by id) as a from p qualify a <= 1000),
-        s as (select *, row_number() over (partition by pool order by md5('0|' || id)) as b from f)
+        s as (select *, row_number() over (partition by pool order by md5('0|' || id)) as b from p)
         select id as event_id, hand_id, player_name, position, street, action_type, amount, confidence_score, override_reason,
           {ts('timestamp')} as timestamp, pool from s where b <= case pool when 'screenshot' then 30 else 5 end"""),
     "agreement_report": sql(f"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 HANDS = """
-  id bigint, table_name string, started_at timestamp, ended_at timestamp,
+  id string, table_name string, started_at timestamp, ended_at timestamp,
   pot_size_final double, hero_cards array<string>,
   community_cards map<string,array<string>>, seats map<string,string>,
   stacks_initial map<string,double>, stacks_final map<string,double>,
@@ -19,12 +19,12 @@ RAW = """struct<action_text:string,stack_before:double,stack_after:double,
   decision_time_ms:bigint,used_timebank:boolean,synthetic:boolean>"""
 
 ACTION_EVENTS = f"""
-  id string, hand_id bigint, player_name string, position string, street string,
+  id string, hand_id string, player_name string, position string, street string,
   action_type string, sequence_number int, amount double, confidence_score double,
   timestamp timestamp, created_at timestamp, raw {RAW}
 """
 
-DIAGNOSTICS = "hand_id bigint, tag string, level string, payload string, occurred_at timestamp"
+DIAGNOSTICS = "hand_id string, tag string, level string, payload string, occurred_at timestamp"
 
 OBSERVATIONS = """
   table_id string, tick bigint, ts timestamp, seat int, kind string,
@@ -65,7 +65,6 @@ WINNINGS_PRESETS = [100, 200, 300, 500, 800, 1000, 1500, 2000, 3000, 5000, 10000
 REBUY_PRESETS = [50, 100, 150, 200, 300, 500, 800, 1000, 1500, 2000, 3000, 5000,
                  8000, 10000, 20000, 50000, 100000]
 
-SEAT_STATES = ["empty", "sitting_out", "active", "folded", "all_in", "leaving"]
 SEAT_TRANSITIONS = {
     "empty": ["sitting_out", "active"],
     "sitting_out": ["active", "leaving", "empty"],

@@ -19,7 +19,7 @@ HAND_END = ["community_cards", "seats", "ended_at", "result", "raw_data", "pot_s
 # ------------------------------------------------------------ readers
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A typed table; the schema is fixed, so nothing is read to infer it."""
+    """A typed table; the schema is fixed, so nothing is read to infer it.  Ids are text, whatever made them."""
     return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
 
 
@@ -51,11 +51,6 @@ def write_bucketed(events: DataFrame, table: str, *, buckets: int) -> None:
 
 # ------------------------------------------------------------ hands in versions
 
-def hand_versions(rows: DataFrame, version: Column) -> DataFrame:
-    """Rows to append: a hand's start is version 0, every later state a higher one."""
-    return rows.withColumn("version", version)
-
-
 def current_hands(versions: DataFrame) -> DataFrame:
     """The state of every hand: what it started with, and the end columns of its latest version."""
     have = set(versions.columns)
@@ -86,7 +81,7 @@ def diagnostics(rows: DataFrame, tag: Column | str, payload: list[str], *, level
     """Diagnostic rows with the named columns as JSON (times and ids become text)."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     at = F.col(occurred_at) if isinstance(occurred_at, str) else occurred_at
-    hand = F.col("hand_id") if "hand_id" in rows.columns else F.lit(None).cast("bigint")
+    hand = F.col("hand_id").cast("string") if "hand_id" in rows.columns else F.lit(None).cast("string")
     return rows.select(
         hand.alias("hand_id"), lit(tag).alias("tag"), lit(level).alias("level"),
         F.to_json(F.struct(*payload)).alias("payload"), at.alias("occurred_at"))
@@ -157,12 +152,12 @@ def skipped(events: DataFrame, *, threshold: float = LADDER) -> DataFrame:
         "pot_delta", "action_text", "override_reason"], occurred_at="timestamp")
 
 
-def write_routed(events: DataFrame, root: str, *, threshold: float = LADDER, batch: int | None = None) -> None:
+def write_routed(events: DataFrame, root: str, *, threshold: float = LADDER, batch: str | None = None) -> None:
     """Writes both sinks from one pass over the events.
 
-    A streaming batch writes to its own folder, which a replay overwrites.
+    A streaming batch writes to its own folder, named by its query and number, which a replay overwrites.
     """
-    events = events.persist()
+    events = events.withColumns({c: F.col(c).cast("string") for c in ("id", "hand_id")}).persist()
     try:
         for name, rows in (("action_events", trusted(events, threshold=threshold)),
                            ("diagnostic_events", skipped(events, threshold=threshold))):

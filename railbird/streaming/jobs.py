@@ -10,6 +10,7 @@ from railbird.functions import actions as A
 from railbird.functions import steps
 from railbird.functions.semantics import count_if, round_half_away
 from railbird.operators.decisions import live_seats
+from railbird.operators.derive import debounce_keys, read_rank
 from railbird.operators.health import HINTS
 from railbird.sources.tables import write_routed
 from railbird.streaming.processors import stateful
@@ -20,7 +21,8 @@ WATERMARK = "1 minute"
 # ------------------------------------------------------------ rules
 
 def segmented(observations: DataFrame, *, pot_label: str | None = steps.POT_LABEL) -> DataFrame:
-    return stateful(observations, ["table_id"], ["ts", "tick"], steps.Segment(label=pot_label))
+    rows = observations.withColumn("read_rank", read_rank())
+    return stateful(rows, ["table_id"], ["ts", "tick", "read_rank", "seat", "kind", "value", "text"], steps.Segment(label=pot_label)).drop("read_rank")
 
 
 def changed_actions(observations: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,20 +35,21 @@ def debounced(
 ) -> DataFrame:
     """Anchored debounce.  Dropping duplicates within a watermark would not do:
     a dropped repeat must not extend the window."""
-    return stateful(events, keys or ["player_name", "street", "action_type"], order or ["ts", "id"],
+    return stateful(events, keys or debounce_keys(events), order or ["ts", "id"],
                     steps.Debounce(seconds), ttl_ms=ttl_ms)
 
 
 def cleaned_stacks(observations: DataFrame, keys: list[str]) -> DataFrame:
-    return stateful(observations.where(F.col("kind") == "stack"), keys, ["ts", "tick"], steps.StackJump())
+    return stateful(observations.where(F.col("kind") == "stack"), keys, ["ts", "tick", "value"], steps.StackJump())
 
 
 def cleaned_pots(observations: DataFrame, keys: list[str]) -> DataFrame:
-    return stateful(observations.where(F.col("kind") == "pot"), keys, ["ts", "tick"], steps.PotMonotone())
+    return stateful(observations.where(F.col("kind") == "pot"), keys, ["ts", "tick", "value"], steps.PotMonotone())
 
 
 def decision_times(observations: DataFrame, keys: list[str]) -> DataFrame:
-    return stateful(observations.where(F.col("kind").isin("timer", "action")), keys, ["ts", "tick"], steps.Timer())
+    rows = observations.where(F.col("kind").isin("timer", "action")).withColumn("read_rank", read_rank())
+    return stateful(rows, keys, ["ts", "tick", "read_rank", "value"], steps.Timer()).drop("read_rank")
 
 
 def pointer_events(scans: DataFrame, keys: list[str], *, recent_s: float = 5.0) -> DataFrame:
@@ -54,11 +57,11 @@ def pointer_events(scans: DataFrame, keys: list[str], *, recent_s: float = 5.0)
 
 
 def showdown_decisions(candidates: DataFrame, **limits: float) -> DataFrame:
-    return stateful(candidates, ["table_id"], ["ts", "tick", "seat"], steps.ShowdownGate(**limits))
+    return stateful(candidates, ["table_id"], ["ts", "tick", "seat", "card1", "card2"], steps.ShowdownGate(**limits))
 
 
 def seat_lifecycle(changes: DataFrame) -> DataFrame:
-    return stateful(changes, ["table_id", "seat"], ["ts", "tick"], steps.SeatLifecycle())
+    return stateful(changes, ["table_id", "seat"], ["ts", "tick", "target"], steps.SeatLifecycle())
 
 
 def hand_phases(phases: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -93,18 +96,19 @@ def merged_readings(primary: DataFrame, secondary: DataFrame, *, delay: str = "1
 def routing(events: DataFrame, root: str, checkpoint: str, *, threshold: float = 0.7) -> DataStreamWriter:
     """Trusted events to one table, the rest to diagnostics; late rows to a side table.
 
-    Every batch owns a folder in each sink, so a replayed batch replaces itself.
+    Every batch owns a folder in each sink, named by its query's id and its number: a replayed
+    batch replaces itself, and another query or a new checkpoint never meets its folders.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            if "late" in batch.columns:
-                late = batch.where("late")
-                late.write.mode("overwrite").parquet(f"{root}/late_events/batch={batch_id}")
-                batch = batch.where("not late").drop("late")
-            write_routed(batch, root, threshold=threshold, batch=batch_id)
-        finally:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        own = f"{query}-{batch_id}"
+        if "late" in batch.columns:
+            batch = batch.persist()
+            batch.where("late").write.mode("overwrite").parquet(f"{root}/late_events/batch={own}")
+            write_routed(batch.where("not late").drop("late"), root, threshold=threshold, batch=own)
             batch.unpersist()
+        else:
+            write_routed(batch, root, threshold=threshold, batch=own)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -41,7 +41,8 @@ class RuleProcessor(StatefulProcessor):
     """Feeds a key's rows to a rule in order.
 
     A row older than what its key has already seen cannot be folded in without
-    undoing later ones; it comes out marked late and changes nothing.
+    undoing later ones; it comes out marked late and changes nothing, and so does one
+    without a time.
     """
 
     def __init__(self, step, order: list[str], inputs: T.StructType, outputs: T.StructType, ttl_ms: int | None):
@@ -61,7 +62,7 @@ class RuleProcessor(StatefulProcessor):
         out: list[dict] = []
         for values in zip(*columns):
             row = dict(zip(self.inputs.names, values))
-            if state["seen_at"] is not None and row["at"] < state["seen_at"]:
+            if row["at"] is None or (state["seen_at"] is not None and row["at"] < state["seen_at"]):
                 out.append({**row, "late": True})
                 continue
             out += [{**r, "late": False} for r in self.step(state, row)]

@@ -28,7 +28,7 @@ def events(spark, rows):
                     r["action"], r.get("seq", i + 1), r.get("amount"), r.get("conf", 1.0), r.get("ts", T0 + timedelta(seconds=i)),
                     r.get("ts", T0), {**dict.fromkeys(["action_text", "pot_before", "pot_delta", "text_derived_action",
                                       "stack_derived_action", "decision_time_ms", "used_timebank", "synthetic"]), **raw}))
-    return spark.createDataFrame(out, S.ACTION_EVENTS)
+    return spark.createDataFrame(out, S.ACTION_EVENTS.replace("hand_id string", "hand_id bigint"))
 
 
 @pytest.mark.parametrize("text,action,amount", [

@@ -56,11 +56,10 @@ def test_numbered(rows):
 
 
 @pytest.mark.parametrize("rule", [steps.Debounce(0.00001), steps.StackJump(3), steps.PotMonotone()], ids=lambda r: type(r).__name__)
-@pytest.mark.parametrize("size", [50, 1000])
-def test_fold_equals_loop(rows, rule, size):
+def test_fold_equals_loop(rows, rule):
     key = F.when(F.col("k") != "k0", F.col("k")).alias("k")  # one key is missing
     df = rows.where("t is not null").select(key, "t", "id", F.col("v").alias("value"), F.col("t").cast("long").alias("at"))
-    got = carried_fold(df, ["k"], ["t", "id"], block_split("t", size), step=rule, state_schema=rule.state,
+    got = carried_fold(df, ["k"], ["t", "id"], step=rule, state_schema=rule.state,
                        output_schema=ddl(df, extra=rule.extra))
     extra = [c.split()[0] for c in rule.extra.split(", ")]
     states, want = {}, []

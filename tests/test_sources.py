@@ -50,7 +50,7 @@ def test_versions_keep_start_and_take_latest_end(spark):
 def test_routing_and_reading_back(spark, tmp_path):
     ev = events(spark, [{"hand_id": 1, "action": "call", "conf": c, "amount": 5.0} for c in (0.7, 0.69, 1.0)])
     tables.write_routed(ev, str(tmp_path))
-    kept = tables.hand_events(tables.read_table(spark, str(tmp_path), "action_events"), 1).collect()
+    kept = tables.hand_events(tables.read_table(spark, str(tmp_path), "action_events"), "1").collect()
     low = tables.read_table(spark, str(tmp_path), "diagnostic_events").collect()
     assert [r.sequence_number for r in kept] == [1, 3] and len(low) == 1
     assert low[0].tag == "action.low_tier_skip" and json.loads(low[0].payload)["confidence"] == 0.69

@@ -68,6 +68,26 @@ def test_stream_equals_batch(spark, tmp_path):
         assert got.where("late").isEmpty() and _equal(got, want, cols), name
 
 
+def test_spaces_gaps_and_missing_values_agree(spark, tmp_path):
+    schema = "table_id string, tick int, ts timestamp, seat int, kind string, text string, value double"
+    texts = ["CALL", "\u3000CALL", "CALL\x1c", "\xa0 CALL \x85", "FOLD", " ", None, "\u2003FOLD"]
+    rows = [("A", i, T0 + timedelta(seconds=i), 1, "action", t, None) for i, t in enumerate(texts)]
+    stream, key = _as_stream(spark, rows, schema, str(tmp_path / "in")), ["table_id", "seat"]
+    got = _drain(spark, jobs.changed_actions(stream, key), str(tmp_path / "c"))
+    assert _equal(got, derive.action_changes(spark.createDataFrame(rows, schema), key), ["tick", "cleaned", "prev_text"])
+    assert got.count() == 2
+
+    # Gaps of half a hundredth of a second round the same way; a row without a time is late.
+    at = [0, 1.005, 2.01, 3.025, 5.04]
+    scans = [("A", i, T0 + timedelta(seconds=s), 1 if i % 2 == 0 else None, 10) for i, s in enumerate(at)] + [("A", 9, None, 1, 10)]
+    schema = "table_id string, tick int, ts timestamp, seat int, value int"
+    stream = _as_stream(spark, scans, schema, str(tmp_path / "in2"), parts=1)
+    got = _drain(spark, jobs.pointer_events(stream, ["table_id"]), str(tmp_path / "p"))
+    assert got.where("late").count() == 1
+    want = derive.pointer_events(spark.createDataFrame(scans[:-1], schema), ["table_id"])
+    assert _equal(got.where("not late"), want, ["tick", "tag", "of_seat", "time_since_timer"])
+
+
 def test_late_rows_change_nothing(spark, tmp_path):
     rows = [("A", "e0", T0), ("A", "e7", T0 + timedelta(seconds=7)), ("A", "e3", T0 + timedelta(seconds=3)), ("A", "e13", T0 + timedelta(seconds=13))]
     stream = _as_stream(spark, rows, "player_name string, id string, ts timestamp", str(tmp_path / "in"))
