@@ -181,18 +181,18 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packed(items: Iterator[tuple[int, list[tuple]]], schema: pa.Schema, level: int, last: bool, capacity: int, slack: int, chunk: int):
-    """Rows of ``BIN`` out of (size, members) items."""
+def _packed(items: Iterator[tuple[int, int, list[tuple]]], schema: pa.Schema, level: int, last: bool, capacity: int, slack: int, chunk: int):
+    """Rows of ``BIN`` out of (node, size, members) items; a bin has the node of its chunk's first item."""
     task = TaskContext.get().partitionId()
     first = (level << 57) + (task << 33)
 
     def rows() -> Iterator[tuple]:
         n = 0
         while part := list(islice(items, chunk)):
-            sizes = [p[0] for p in part]
+            sizes, node = [p[1] for p in part], part[0][0]
             for held in best_fit(sizes, capacity):
                 size, n = sum(sizes[i] for i in held), n + 1
-                yield last or size >= capacity - slack, task, first + n, size, [m for i in held for m in part[i][1]]
+                yield last or size >= capacity - slack, node, first + n, size, [m for i in held for m in part[i][2]]
 
     yield from batches(rows(), schema, 1024)
 
@@ -209,18 +209,19 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     arrow = _arrow_schema(docs.sparkSession, schema_text)
 
     def first(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = ((p[3], [p]) for p in _pieces(source, tokenizer, capacity))
+        node = TaskContext.get().partitionId()
+        pieces = ((node, p[3], [p]) for p in _pieces(source, tokenizer, capacity))
         yield from _packed(pieces, arrow, 0, False, capacity, slack, chunk)
 
     def again(level: int, last: bool) -> Callable:
         def make(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bins = ((s, [tuple(m.values()) for m in ms]) for b in source for s, ms in zip(
-                b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            bins = ((n, s, [tuple(m.values()) for m in ms]) for b in source for n, s, ms in zip(
+                *(c.to_pylist() for c in b.columns), strict=True))
             yield from _packed(bins, arrow, level, last, capacity, slack, chunk)
 
         return make
 
-    level, found = 0, written(rows.mapInArrow(first, schema_text))
+    level, found, nodes = 0, written(rows.mapInArrow(first, schema_text)), None
     done = []
     while True:
         done.append(found.where("done"))
@@ -228,12 +229,12 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
         left, top = open_.agg(F.count(F.lit(1)), F.max("node")).first()
         if not left:
             break
-        nodes = top + 1
+        nodes = nodes or top + 1
         merged = max(-(-nodes // fan_in), -(-left // chunk))
         last = merged == 1 or merged >= nodes
-        level += 1
-        dealt = open_.withColumn("node", F.floor(F.col("node") / fan_in) % merged).repartition(merged, "node").select("size", "members")
-        found = written(dealt.mapInArrow(again(level, last), schema_text))
+        level, nodes = level + 1, merged
+        dealt = open_.withColumn("node", (F.floor(F.col("node") / fan_in) % merged).cast("int")).repartition(merged, "node")
+        found = written(dealt.select("node", "size", "members").mapInArrow(again(level, last), schema_text))
 
     out = done[0]
     for d in done[1:]:
