@@ -282,6 +282,10 @@ def live_seats(hands: DataFrame, cache: DataFrame, timing: DataFrame) -> DataFra
 
 
 def live_table(hands: DataFrame, events: DataFrame) -> DataFrame:
+    """The live seats with profiles; only events of players who are seated are summed up."""
+    latest = hands.groupBy("table_name").agg(F.max_by("seats", F.struct("started_at", "id")).alias("seats"))
+    seated = latest.select(F.explode(F.map_values("seats")).alias("player_name")).distinct()
+    events = events.join(seated, "player_name", "left_semi")
     base = vpip_pfr_af(events).select(
         "player_name", F.col("n_hands").alias("total_hands"), F.col("vpip_pct").alias("vpip"),
         F.col("pfr_pct").alias("pfr"), "af")

@@ -225,10 +225,10 @@ def placeholder_upgrades(readings: DataFrame) -> DataFrame:
     ``readings``: table_id, seat, at, player_name.  Gives a rename mapping: a
     placeholder maps to the first real name read after it.
     """
-    from railbird.functions.ordered import shifted, time_split
+    from railbird.functions.ordered import running, time_split
 
-    rows = readings.where(F.col("player_name").isNotNull())
-    nxt = shifted(rows, ["table_id", "seat"], ["at", "player_name"], {"next_name": F.col("player_name")},
-                  split=time_split("at"), forward=True)
-    moves = nxt.where(is_placeholder("player_name") & ~is_placeholder("next_name"))
+    rows = readings.where(F.col("player_name").isNotNull()).withColumn("_back", -F.unix_micros("at"))
+    real = F.when(~is_placeholder("player_name"), F.col("player_name"))
+    nxt = running(rows, ["table_id", "seat"], ["_back"], {"next_name": ("last", real)}, split=-time_split("at"), inclusive=False)
+    moves = nxt.where(is_placeholder("player_name") & F.col("next_name").isNotNull())
     return moves.groupBy("player_name").agg(F.min_by("next_name", "at").alias("canonical"))

@@ -17,24 +17,37 @@ Query = Callable[[SparkSession, str], DataFrame]
 class Tables:
     """The engine's tables over one data folder."""
 
+    #: Data folder to the folder of its parsed tables, where they were written (see ``write_silver``).
+    silver: dict[str, str] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _typed(self, name: str, derive: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+        folder = self.silver.get(self.sf_dir)
+        return self.spark.read.parquet(f"{folder}/{name}") if folder else derive(self.spark, self.sf_dir)
+
+    def write_silver(self, folder: str) -> None:
+        """Parses the tables once; queries over this data folder then read them."""
+        for name in ("hands", "events", "diagnostics", "observations"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        self.silver[self.sf_dir] = folder
+
     @property
     def hands(self) -> DataFrame:
-        return testdata.hands(self.spark, self.sf_dir)
+        return self._typed("hands", testdata.hands)
 
     @property
     def events(self) -> DataFrame:
-        return testdata.action_events(self.spark, self.sf_dir)
+        return self._typed("events", testdata.action_events)
 
     @property
     def diagnostics(self) -> DataFrame:
-        return testdata.diagnostic_events(self.spark, self.sf_dir)
+        return self._typed("diagnostics", testdata.diagnostic_events)
 
     @property
     def observations(self) -> DataFrame:
-        return testdata.observations(self.spark, self.sf_dir)
+        return self._typed("observations", testdata.observations)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

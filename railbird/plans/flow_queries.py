@@ -86,6 +86,16 @@ QUERIES = {
         _stream(t, EVENTS), keys=["user_id", "event_type"], order=["ts", "event_id"], seconds=SIX_HOURS)).drop("late")),
     "stream_cleaned_stacks": query(lambda t: _drain(t, jobs.cleaned_stacks(_stream(t, derivations.OBSERVATIONS), KEYS)).select(
         *KEYS, "tick", "value", "stack", "replaced")),
+    "stream_segment_hands": query(lambda t: _drain(t, jobs.segmented(_stream(t, derivations.OBSERVATIONS), pot_label=None)).select(
+        "table_id", "tick", "kind", "boundary", "pot_latest", "pot_peak")),
+    "stream_cleaned_pots": query(lambda t: _drain(t, jobs.cleaned_pots(_stream(t, derivations.OBSERVATIONS), ["table_id"])).select(
+        "table_id", "tick", "value", "accepted", "pot_before", "pot")),
+    "stream_showdown_decisions": query(lambda t: _drain(t, jobs.showdown_decisions(_stream(t, dq.CANDIDATES))).drop("late")),
+    "post_diagnostics": query(lambda t: d.post_diagnostics(d.blind_posts(t.hands)).groupBy("tag", "level").agg(
+        F.count("*").alias("n"), F.count(F.get_json_object("payload", "$.amount")).alias("amounts"))),
+    "event_corrections": query(lambda t: tables.event_corrections(t.events.select(
+        F.col("id").alias("event_id"), "action_type", F.when(F.col("sequence_number") == 1, "fold").otherwise("jump").alias("corrected_action"),
+        F.when(F.col("sequence_number") == 1, "").alias("notes"), F.col("timestamp").alias("corrected_at")))),
     "stream_decision_times": query(lambda t: _drain(t, jobs.decision_times(_stream(t, derivations.OBSERVATIONS), KEYS)).select(
         *KEYS, "tick", "decision_time_ms", "used_timebank")),
     "stream_pointer_events": query(lambda t: _drain(t, jobs.pointer_events(
@@ -125,6 +135,15 @@ ORACLE = {
     "stream_action_changes": dq.ORACLE["action_changes"],
     "stream_debounced_events": dq.ORACLE["debounced_events"],
     "stream_cleaned_stacks": dq.ORACLE["cleaned_stacks"],
+    "stream_segment_hands": _columns("segment_hands", "table_id, tick, kind, boundary, pot_latest, pot_peak"),
+    "stream_cleaned_pots": _columns("cleaned_pots", "table_id, tick, value, accepted, pot_before, pot"),
+    "stream_showdown_decisions": dq.ORACLE["showdown_decisions"],
+    "post_diagnostics": sql("""
+        with p as (select seats['SB'] as name, blind_sb as amount from hand union all select seats['BB'], blind_bb from hand where blind_sb is not null and blind_bb is not null)
+        select if(amount is not null and name is not null, 'post.injection_done', 'post.injection_skipped') as tag, 'INFO' as level,
+          count(*) as n, count(amount) as amounts from p group by 1"""),
+    "event_corrections": sql(f"""select id as event_id, action_type as original_action, 'fold' as corrected_action,
+        {ts('timestamp')} as corrected_at, null::varchar as notes from ev where sequence_number = 1"""),
     "stream_decision_times": dq.ORACLE["decision_times"],
     "stream_pointer_events": dq.ORACLE["pointer_events"],
     "stream_seat_lifecycle": dq.ORACLE["seat_lifecycle"],

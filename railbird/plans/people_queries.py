@@ -199,9 +199,10 @@ ORACLE = {
         select * exclude (x), case when player_name is null then 'none' when starts_with(player_name, 'TempUser_') then 'placeholder'
           else 'text' end as name_source from p""", names=READ_NAMES),
     "placeholder_upgrades": sql("""
-        with l as (select *, lead(player_name) over (partition by table_id, seat order by "at", player_name) as nxt from seen)
+        with l as (select *, first_value(if(starts_with(player_name, 'TempUser_'), null, player_name) ignore nulls) over (
+            partition by table_id, seat order by "at" rows between 1 following and unbounded following) as nxt from seen)
         select player_name, arg_min(nxt, "at") as canonical from l
-        where starts_with(player_name, 'TempUser_') and not starts_with(nxt, 'TempUser_') group by 1""", seen=SEEN_NAMES),
+        where starts_with(player_name, 'TempUser_') and nxt is not null group by 1""", seen=SEEN_NAMES),
     "hash_codes": sql("""
         with b as (select event_id, phash, lpad(bin(phash), 64, '0') as bits from avatars)
         select *, phash as back, list_sum(list_transform(range(1, 65), lambda i: (bits[i] <> bits[65 - i])::int))::int as distance,

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +19,7 @@ def local_session(cores: int | str = "*", app: str = "railbird", **conf: str) ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
@@ -50,13 +53,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_RUN: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of one run below the checkpoint folder, for all that ``written`` makes inside; it is removed at the end.
+
+    What is built inside has to be used or saved inside.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a table in the shared checkpoint folder.
+    """The rows of ``df`` as a table in the run's folder, or else in the shared checkpoint folder.
 
     Cuts the lineage like a reliable checkpoint, but computes the plan once: a
     checkpoint runs its last stage a second time to write it.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{_RUN.get() or ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -81,3 +81,40 @@ def test_fallback_diagnostics(spark):
     merged = derive.merged_readings(a, b, focus)
     assert {r.seat: (r.text, r.fell_back) for r in merged.collect()} == {2: ("CALL", True), 3: ("", False)}
     assert derive.fallback_diagnostics(merged).count() == 1
+
+
+def test_run_folder_is_removed(spark):
+    import os
+
+    from railbird.session import run_folder, written
+
+    with run_folder(spark) as folder:
+        assert written(spark.range(10)).count() == 10
+        path = folder.removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+    outside = written(spark.range(3))
+    assert outside.count() == 3
+
+
+def test_queries_agree_over_parsed_tables(spark, con, tmp_path):
+    import compare
+    from conftest import DATA
+
+    from railbird.plans.base import Tables
+
+    Tables(spark, DATA).write_silver(str(tmp_path))
+    try:
+        for name in ("v_hand_conservation", "v_player_timing_stats", "health_warnings", "action_changes"):
+            ok, message = compare.compare(spark, con, DATA, name)
+            assert ok, message
+    finally:
+        Tables.silver.clear()
+
+
+def test_first_real_name_behind_other_placeholders(spark):
+    from railbird.operators import identity
+
+    rows = [("t", 1, T0 + timedelta(minutes=70 * i), n) for i, n in enumerate(["TempUser_1", "TempUser_2", "TempUser_1", "Ann", "Bob"])]
+    df = spark.createDataFrame(rows, "table_id string, seat int, at timestamp, player_name string")
+    assert {r.player_name: r.canonical for r in identity.placeholder_upgrades(df).collect()} == {"TempUser_1": "Ann", "TempUser_2": "Ann"}
