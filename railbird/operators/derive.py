@@ -274,13 +274,17 @@ def debounce_keys(events: DataFrame) -> list[str]:
 
 def debounced(
     events: DataFrame, *, keys: list[str] | None = None, order: list[str] | None = None, ts: str = "ts",
-    seconds: float = steps.DEBOUNCE_SECONDS, width: str = WIDTH,
+    seconds: float = steps.DEBOUNCE_SECONDS, width: str | None = None,
 ) -> DataFrame:
     """Accepts an action unless the same one was accepted less than ``seconds`` ago.
 
-    An action that far from the one before is accepted whatever came earlier, so keys are cut there.
+    One shuffle and one pass.  With ``width`` long keys are cut first: an action that far from the
+    one before is accepted whatever came earlier.  The cuts are found over splits of that
+    width, so no task orders a whole key; give it where a key may hold a large share of the rows.
     """
     keys, order = keys or debounce_keys(events), order or [ts, "id"]
+    if width is None:
+        return apply_step(events, keys, order, steps.Debounce(seconds), ts=ts)
     rows = events.where(F.col(ts).isNotNull())
     split = time_split(ts, width)
     rows = shifted(rows, keys, order, {"_before": F.col(ts)}, split=split)

@@ -79,7 +79,7 @@ def observed_events(
     else:
         named = judged.join(players, ["table_id", "seat"], "left").withColumns({
             "player_name": F.coalesce("player_name", seat), "position": F.coalesce("position", F.lit("UTG"))})
-    kept = D.debounced(named, order=["ts", "tick", "seat"], seconds=debounce_s, width=width).where("accepted")
+    kept = D.debounced(named, order=["ts", "tick", "seat"], seconds=debounce_s).where("accepted")
     kept = written(kept)
 
     clock = rows.where(F.col("kind") == "timer").select("hand_id", "seat", "ts", "tick", "kind", "value").unionByName(

@@ -85,7 +85,7 @@ def _judged(t: Tables):
 
 def _debounced(t: Tables):
     ev = t.read("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    return d.debounced(ev, keys=["user_id", "event_type"], order=["ts", "event_id"], seconds=SIX_HOURS, width="10 days")
+    return d.debounced(ev, keys=["user_id", "event_type"], order=["ts", "event_id"], seconds=SIX_HOURS)
 
 
 def _boards(t: Tables):
