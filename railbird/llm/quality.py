@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ MAX_LABELLED = 8_000
 #: Preference pairs drawn from them at most.
 MAX_PAIRS = 40_000
 CUT = 0.7
-N_FEATURES = 18
+N_FEATURES = 19
 
 
 def features(text: str) -> list[float]:
@@ -54,6 +55,7 @@ def features(text: str) -> list[float]:
         (n - upper - lower - digit - blank - high) / n, h[46] / n_words, h[44] / n_words, h[124] / n_words,
         (h[33] + h[63]) / n_words, h[10] / n_words, len(raw) / n_words, len(different) / n_words,
         len(set(lines)) / len(lines), np.log1p(len(raw) / len(lines)), sum(map((4).__gt__, map(len, words))) / n_words,
+        sum(map(eq, words, words[1:])) / n_words,
     ]
 
 
