@@ -80,7 +80,7 @@ QUERIES = {
         "id", "hand_id", "player_name", "position", "action_type", "sequence_number", "amount",
         F.col("raw.stack_after").alias("stack_after"), F.col("raw.synthetic").alias("synthetic"))),
     "observed_events": query(lambda t: observed.observed_events(
-        t.observations, pot_label=None, debounce_s=60.0, width=dq.DAY)),
+        t.observations, pot_label=None, debounce_s=60.0, width=dq.DAY).select("*", "raw.*").drop("raw")),
     "stream_action_changes": query(lambda t: _drain(t, jobs.changed_actions(_stream(t, derivations.OBSERVATIONS), KEYS)).drop("late")),
     "stream_debounced_events": query(lambda t: _drain(t, jobs.debounced(
         _stream(t, EVENTS), keys=["user_id", "event_type"], order=["ts", "event_id"], seconds=SIX_HOURS)).drop("late")),
@@ -107,6 +107,57 @@ QUERIES = {
 }
 
 
+_FLOW = f"""
+  with seg as ({dq._SEGMENT}),
+  rows0 as (select o.*, o.table_id || '-' || s.hand_no as hand_id, s.pot_latest as pot_after from obs o
+    join seg s on s.table_id = o.table_id and s.tick = o.tick),
+  rows1 as (select *, lag(pot_after) over w as pot_before, coalesce(last_value(case when kind = 'community' then
+        case when value = 0 then 'preflop' when value = 3 then 'flop' when value = 4 then 'turn' when value >= 5 then 'river' end end
+        ignore nulls) over (partition by hand_id order by ts, tick rows unbounded preceding), 'preflop') as street
+    from rows0 window w as (partition by hand_id order by ts, tick)),
+  texts as (select *, lag(trim(text)) over (partition by hand_id, seat order by ts, tick) as prev, upper(trim(text)) as u
+    from rows1 where kind = 'action' and trim(coalesce(text, '')) <> ''),
+  named as (select *, {dq._ACT} as text_action from texts where prev is distinct from trim(text)),
+  acts as (select *, case when text_action not in ('fold', 'check') then
+      try_cast(nullif(regexp_extract(u, '(\\d+\\.?\\d*)', 1), '') as double) end as amount from named where text_action is not null),
+  seen as (select hand_id, seat, list({{'t': tick, 's': ts, 'v': value}} order by ts, tick) as xs from rows1 where kind = 'stack' group by all),
+  stacks as (select hand_id, seat, unnest(list_reduce(xs, lambda a, x:
+      if(coalesce(x.v > 0 and a.p > 0 and (x.v > a.p * 9 or x.v * 9 < a.p), false),
+         {{'p': a.p, 'o': list_append(a.o, {{'t': x.t, 's': x.s, 'v': a.p}})}},
+         {{'p': coalesce(x.v, a.p), 'o': list_append(a.o, {{'t': x.t, 's': x.s, 'v': x.v}})}}),
+      {{'p': null::double, 'o': []::struct(t bigint, s timestamp, v double)[]}}).o) as r from seen),
+  moves as (select hand_id, seat, r.s as ts, r.t as tick, r.v as stack from stacks union all select hand_id, seat, ts, tick, null from acts),
+  held as (select *, last_value(stack ignore nulls) over (partition by hand_id, seat order by ts, tick
+      rows between unbounded preceding and 1 preceding) as stack_before from moves),
+  live as (select a.*, h.stack_before, max((text_action = 'fold')::int) over (partition by a.hand_id, a.seat order by a.ts, a.tick
+      rows between unbounded preceding and 1 preceding) as gone from acts a join held h using (hand_id, seat, tick)),
+  numbered as (select *, row_number() over (partition by hand_id order by ts, tick, seat) as nr,
+      case when text_action = 'all_in' then 0 end::double as stack_after from live where gone is distinct from 1),
+  faced as (select *, coalesce(max(stack_before - stack_after) filter (stack_before - stack_after > 2) over (partition by hand_id, street
+      order by ts, tick, seat rows between unbounded preceding and 1 preceding), 0)::double as current_to_call from numbered),
+  b as (select *, current_to_call = 0 as is_first_bet_this_street, (stack_before - stack_after)::double as stack_delta,
+      pot_after - pot_before as pot_delta from faced),
+  judged as (with {dq._JUDGED[dq._JUDGED.index("  c as (select"):].strip()}),
+  lists as (select table_id, seat, street, action_type, list({{'h': hand_id, 'n': nr, 's': ts}} order by ts, tick) as xs from judged group by all),
+  kept as (select unnest(list_reduce(xs, lambda a, x: if(a.l is null or x.s - a.l >= interval 60 second,
+      {{'l': x.s, 'o': list_append(a.o, {{'h': x.h, 'n': x.n}})}}, a),
+      {{'l': null::timestamp, 'o': []::struct(h varchar, n bigint)[]}}).o) as k from lists),
+  taken as (select j.* from judged j join kept on k.h = j.hand_id and k.n = j.nr),
+  clock as (select hand_id, seat, ts, tick, 'timer' as kind, value from rows1 where kind = 'timer'
+    union all select hand_id, seat, ts, tick, 'action', null from taken),
+  runs as (select *, count(*) filter (kind = 'action') over (partition by hand_id, seat order by ts, tick
+      rows between unbounded preceding and 1 preceding) as run from clock),
+  jumps as (select *, lag(value) over (partition by hand_id, seat, run, kind order by ts, tick) as pv from runs),
+  times as (select hand_id, seat, min(ts) filter (kind = 'timer') as s, max(tick) filter (kind = 'action') as tick,
+      max(ts) filter (kind = 'action') as e, count(*) filter (kind = 'timer' and value > pv + 2) as up from jumps group by hand_id, seat, run)
+  select hand_id || '-' || nr as id, hand_id, 'Player_' || seat as player_name, 'UTG' as position, street, action_type,
+    nr + 2 as sequence_number, amount, confidence_score, {ts('ts')} as timestamp, {ts('ts')} as created_at, text as action_text,
+    stack_before, stack_after, stack_delta, pot_before, pot_after, pot_delta, text_action as text_derived_action,
+    stack_action as stack_derived_action, override_reason, epoch_us(e - s) // 1000 as decision_time_ms, up > 0 as used_timebank,
+    false as synthetic, current_to_call, is_first_bet_this_street
+  from taken left join times using (hand_id, seat, tick)"""
+
+
 def _columns(name: str, columns: str) -> str:
     return f"select {columns} from ({dq.ORACLE[name]})"
 
@@ -132,6 +183,7 @@ ORACLE = {
         select id || '-' || a as id, id as hand_id, seats[pos] as player_name, pos as position, a as action_type,
           if(pos = 'SB', 1, 2) as sequence_number, amount, si[s::varchar] - amount as stack_after, true as synthetic
         from p where amount is not null and seats[pos] is not null"""),
+    "observed_events": sql(_FLOW),
     "stream_action_changes": dq.ORACLE["action_changes"],
     "stream_debounced_events": dq.ORACLE["debounced_events"],
     "stream_cleaned_stacks": dq.ORACLE["cleaned_stacks"],
