@@ -42,9 +42,12 @@ def half_up(x: float, digits: int) -> float:
 
 
 class Segment:
-    """Marks the readings that begin a new hand (key: table)."""
+    """Marks the readings that begin a new hand (key: table).
 
-    state = "hero bigint, board int, pot double, peak double"
+    A hero reading holds the hash of one card or, with ``phash2``, of both; a change of either begins a hand.
+    """
+
+    state = "hero bigint, hero2 bigint, board int, pot double, peak double"
     extra = "boundary string, pot_latest double, pot_peak double"
 
     def __init__(self, threshold: int = HERO_HASH_THRESHOLD, label: str | None = POT_LABEL):
@@ -53,10 +56,14 @@ class Segment:
     def __call__(self, st: dict, row: dict) -> list[dict]:
         kind, value, boundary = row["kind"], row["value"], None
         if kind == "hero" and row.get("phash") is not None:
+            second, known = row.get("phash2"), st["hero2"]
             if st["hero"] is None:
-                st["hero"] = row["phash"]
-            elif _popcount(st["hero"], row["phash"]) > self.threshold:
-                st["hero"], boundary = row["phash"], "hero_change"
+                st["hero"], st["hero2"] = row["phash"], second
+            elif (_popcount(st["hero"], row["phash"]) > self.threshold
+                  or (second is not None and known is not None and _popcount(known, second) > self.threshold)):
+                st["hero"], st["hero2"], boundary = row["phash"], second, "hero_change"
+            elif known is None:
+                st["hero2"] = second
         elif kind == "community" and value is not None:
             before, now = st["board"] or 0, int(value)
             st["board"] = now

@@ -28,7 +28,7 @@ DIAGNOSTICS = "hand_id string, tag string, level string, payload string, occurre
 
 OBSERVATIONS = """
   table_id string, tick bigint, ts timestamp, seat int, kind string,
-  text string, value double, phash bigint, conf double
+  text string, value double, phash bigint, phash2 bigint, conf double
 """
 
 PREDICTIONS = """

@@ -190,7 +190,7 @@ def test_phase_order():
 
 def test_segment_rules():
     rule = steps.Segment()
-    st = dict.fromkeys(["hero", "board", "pot", "peak"])
+    st = dict.fromkeys(["hero", "hero2", "board", "pot", "peak"])
     feed = [("hero", None, 0, None), ("hero", None, 0b111, None), ("hero", None, (1 << 12) - 1, None), ("community", 3.0, None, None),
             ("community", 0.0, None, None), ("pot", 100.0, None, None), ("pot", 85.0, None, None), ("pot", 40.0, None, None),
             ("pot", 40.0, None, "总底池 40"), ("pot", 60.0, None, None)]
@@ -215,3 +215,12 @@ def test_drift_of_a_group_with_itself(spark):
     df = spark.createDataFrame(rows, "sample_id int, grp string, r double, g double, b double")
     row = evaluation.drift_report(df, groups=("x", "y"), max_per_group=150).first()
     assert (row.chi_square, row.mean_distance, row.verdict, row.a_n) == (0.0, 0.0, "match", 150)
+
+
+def test_two_hero_cards():
+    rule = steps.Segment()
+    st = dict.fromkeys(["hero", "hero2", "board", "pot", "peak"])
+    far = (1 << 20) - 1
+    feed = [(0, None), (0, 0), (1, 3), (0, far), (0, far), (far, far), (far, None), (far, 0)]
+    got = [rule(st, {"kind": "hero", "value": None, "phash": a, "phash2": b})[0]["boundary"] for a, b in feed]
+    assert got == [None, None, None, "hero_change", None, "hero_change", None, "hero_change"]
