@@ -38,7 +38,7 @@ FAN_IN = 8
 #: Items packed together in a task.
 CHUNK = 100_000
 #: Different words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 MEMBER = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -110,8 +110,9 @@ class WordIds:
         texts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         met = [list(map(young.get, words)) for words in texts]
         new = set().union(*(compress(words, map(not_, ids)) for words, ids in zip(texts, met, strict=True)))
-        young.update((w, old[w]) for w in new.intersection(old))
-        new.difference_update(old)
+        known = [w for w in new if w in old]
+        young.update((w, old[w]) for w in known)
+        new.difference_update(known)
         young[""] = b""
         plain = [w for w in new if w.isalpha() and w.islower() and w.isascii()]
         parts = {w: self._letters(w) for w in new.difference(plain)}
