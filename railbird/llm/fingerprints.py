@@ -114,18 +114,18 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - n] + following[:n]
 
 
-def _hex(sig: np.ndarray) -> str:
-    return sig.astype(">u2").tobytes().hex()
+def _bytes(sig: np.ndarray) -> bytes:
+    return sig.astype(">u2").tobytes()
 
 
 def _compared(doc_id, text: str, sig: np.ndarray, following: str, next_sig: np.ndarray) -> tuple:
     other = edited(text, following)
     other_sig = signature(other) if other != text else sig
-    return (doc_id, len(text), hashlib.sha256(other.encode()).hexdigest(), _hex(sig), _hex(other_sig),
+    return (doc_id, len(text), hashlib.sha256(other.encode()).digest(), _bytes(sig), _bytes(other_sig),
             likeness(sig, other_sig), likeness(sig, next_sig))
 
 
-_RESULT = "doc_id {id}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id {id}, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _EDGES = "task int, last boolean, text string"
 
 
@@ -178,7 +178,9 @@ def neighbour_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     borders = edges.where("last").select("doc_id", "text", "following").mapInArrow(join_up, ddl)
     names = [f.name for f in borders.schema]
-    return found.where("last is null").select(*names).unionByName(borders)
+    out = found.where("last is null").select(*names).unionByName(borders)
+    digits = {n: F.lower(F.hex(n)) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return out.withColumns(digits)
 
 
 def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:

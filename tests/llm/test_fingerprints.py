@@ -78,7 +78,7 @@ def test_neighbours_and_odd_rows(spark, partitions):
     want = {}
     for (i, a, _), (_, b, _) in zip(order, order[1:] + order[:1]):
         other = P.edited(a or "", b or "")
-        want[i, len(a or ""), hashlib.sha256(other.encode()).hexdigest()] = (P._hex(P.signature(a or "")), P._hex(P.signature(other)))
+        want[i, len(a or ""), hashlib.sha256(other.encode()).hexdigest()] = (P._bytes(P.signature(a or "")).hex(), P._bytes(P.signature(other)).hex())
     assert {(r.doc_id, r.n_chars, r.edited_sha256): (r.fingerprint, r.edited_fingerprint) for r in got} == want
     assert len(got) == len(rows) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert [(r.near_edited, r.near_next) for r in one] == [(1.0, 1.0)] and none == 0
