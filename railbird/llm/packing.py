@@ -109,7 +109,8 @@ class WordIds:
         young, old = self.young, self.old
         texts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         met = [list(map(young.get, words)) for words in texts]
-        new = set().union(*(compress(words, map(not_, ids)) for words, ids in zip(texts, met, strict=True)))
+        lacks = [list(compress(range(len(ids)), map(not_, ids))) for ids in met]
+        new = set().union(*(map(words.__getitem__, at) for words, at in zip(texts, lacks, strict=True)))
         known = [w for w in new if w in old]
         young.update((w, old[w]) for w in known)
         new.difference_update(known)
@@ -122,8 +123,10 @@ class WordIds:
             if word not in young:
                 tail = word[len(letters):]
                 young[word] = self._found(letters) + self._found(tail) if tail else self._found(letters)
-        for words, ids in zip(texts, met, strict=True):
-            yield b"".join([i or young[w] for w, i in zip(words, ids, strict=True)])
+        for words, ids, at in zip(texts, met, lacks, strict=True):
+            for i in at:
+                ids[i] = young[words[i]]
+            yield b"".join(ids)
 
 
 _ENCODERS: dict[str, WordIds] = {}
