@@ -12,7 +12,13 @@ Copies and hot keys.  Texts that are equal as a whole are one text: they are rem
 enough, and meet others once.  Equal segments are one before they reach a shard.  A key with more than
 ``HOT`` different segments is cut further: its strings are blocked by their distance to
 the key's place, ``STEP`` to a block, and a block is keyed by what all its strings have in
-common; equal strings still meet.
+common; equal strings still meet.  Blocks that lie across the edge of a passage with many contexts share
+that key and still differ; a finer key with more than ``HOT`` different segments is cut again at half
+the step, down to 1, where the key is the string itself and has one segment.
+
+Bound.  A key so has at most ``HOT`` different segments of at most ``MOST_STRINGS + LENGTH - 1`` bytes
+(5.8 MB).  A shard is sorted in parts that end at the border of a key once they hold twice
+``SHARD_BYTES``, so one sort gets less than 14.3 MB, whatever the corpus.
 
 Defined results.  A missing text is empty.  Matches never cross texts.  Texts below ``LENGTH`` bytes stay
 whole.  Rows that repeat id and text are copies of each other.  An empty table gives an empty table.
@@ -139,6 +145,33 @@ def _described(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInArrow(make, "text_id binary, key bigint, start int, size int, again boolean")
 
 
+def _cut_again(one: DataFrame, length: int, gram: int, hot: int, step: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The segments, those of finer keys with more than ``hot`` cut at half the step until none is left, and for
+    each round the places of the parts: whole_id, at, segment_id."""
+    def halves(step_: int):
+        def cut(rows_: Iterator[tuple]) -> Iterator[tuple]:
+            for whole_id, segment, met in rows_:
+                for finer, a, n in finer_segments(segment, length, gram, step_):
+                    part = segment[a:a + n + length - 1]
+                    yield whole_id, a, xxhash.xxh128_digest(part), finer, part, met
+
+        return cut
+
+    ddl, rounds = "whole_id binary, at bigint, segment_id binary, shard_key binary, segment binary, met bigint", []
+    while step > 1:
+        # Finer keys have 16 bytes, others 8.
+        met = one.where(F.octet_length("shard_key") > 8).groupBy("shard_key").agg(F.count(F.lit(1)).alias("n"))
+        crowded = written(met.where(F.col("n") > hot).select("shard_key"))
+        if crowded.isEmpty():
+            break
+        step //= 2
+        parts = _mapped(one.join(crowded, "shard_key").select("segment_id", "segment", "met"), ddl, halves(step), 1024)
+        rounds.append(written(parts.select("whole_id", "at", "segment_id")))
+        parts = parts.groupBy("shard_key", "segment_id").agg(F.first("segment").alias("segment"), F.sum("met").alias("met"))
+        one = written(one.join(crowded, "shard_key", "left_anti").unionByName(parts))
+    return one, rounds
+
+
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
                    hot: int = HOT, step: int = STEP, shard_bytes: int = SHARD_BYTES, memory: int = suffix.MEMORY) -> tuple[DataFrame, DataFrame]:
     """What is removed: the rows (doc_id, text_id, n_bytes, copies) and the texts with repeats (text_id, text, runs).
@@ -183,19 +216,19 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     where = written(cuts.select("text_id", "start", "segment_id", "shard_key"))
     # Equal segments are one.
     one = cuts.groupBy("shard_key", "segment_id").agg(F.first("segment").alias("segment"), F.count(F.lit(1)).alias("met"))
-    one = written(one)
+    one, rounds = _cut_again(written(one), length, gram, hot, step)
     total = one.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     dealt = one.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "shard_key", "segment_id").select("shard", "segment_id", "segment", "met")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "shard_key", "segment_id").select("shard", "shard_key", "segment_id", "segment", "met")
 
     def sorted_shards(source_: Iterator[tuple]) -> Iterator[tuple]:
-        shard, ids, parts, met = None, [], [], []
-        for now, segment_id, segment, n in source_:
-            if now != shard and ids:
+        shard, last, size, ids, parts, met = None, None, 0, [], [], []
+        for now, key, segment_id, segment, n in source_:
+            if ids and (now != shard or key != last and size >= 2 * shard_bytes):
                 yield from _shard_runs(ids, parts, met, length, memory)
-                ids, parts, met = [], [], []
-            shard = now
+                size, ids, parts, met = 0, [], [], []
+            shard, last, size = now, key, size + len(segment)
             ids.append(segment_id)
             parts.append(segment)
             met.append(n)
@@ -203,6 +236,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield from _shard_runs(ids, parts, met, length, memory)
 
     runs = written(_mapped(dealt, "segment_id binary, first bigint, n bigint", sorted_shards))
+    for parts in reversed(rounds):
+        whole = parts.join(runs, "segment_id").select(F.col("whole_id").alias("segment_id"), (F.col("at") + F.col("first")).alias("first"), "n")
+        runs = written(runs.join(parts.select("segment_id").distinct(), "segment_id", "left_anti").unionByName(whole))
     runs = where.join(runs, "segment_id").select("text_id", F.struct((F.col("start") + F.col("first")).alias("first"), "n").alias("run"))
     runs = runs.groupBy("text_id").agg(F.array_sort(F.collect_list("run")).alias("runs"))
     single = held.where("copies = 1").select("text_id", "text").join(runs, "text_id")

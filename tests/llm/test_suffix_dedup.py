@@ -59,6 +59,22 @@ def test_small_strings(spark, options):
     assert sorted((tuple(r) for r in got), key=str) == plain(rows, 20)
 
 
+@pytest.mark.parametrize("step", [8, 6])
+def test_edges_of_a_passage_with_many_contexts(spark, monkeypatch, step):
+    rnd = random.Random(step)
+    make = lambda k: "".join(rnd.choices("abcdefgh", k=k))
+    passage, near = make(90), make(7)
+    texts = [make(30) + (near if i % 3 else "") + passage + make(30) for i in range(150)]
+    rows = list(enumerate([*texts, passage, passage[5:60], passage[20:] + near, texts[3][9:]]))
+    dealt, mapped = [], D._mapped
+    monkeypatch.setattr(D, "_mapped", lambda df, ddl, *a: dealt.append(df) or mapped(df, ddl, *a))
+    got = D.removal(spark.createDataFrame(rows, "doc_id long, text string"), length=20, gram=8, hot=10, step=step, shard_bytes=300).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain(rows, 20)
+    # Without the further cuts, the 150 segments of an edge are in one shard.
+    (shards,) = [df for df in dealt if "shard" in df.columns]
+    assert shards.groupBy("shard").count().agg({"count": "max"}).first()[0] < 60
+
+
 def test_empty_table(spark):
     assert D.removal(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
