@@ -11,7 +11,9 @@ A queue is a priority queue whose priority is the symbol, first in first out at
 holds tuples of position and common prefix with the item before.  The common prefix of
 two items is one more than the least common prefix met between their sources.  Queues
 keep ``memory`` bytes and append the rest to a file per symbol; the sorted L suffixes are
-kept in such files too.  Work runs in blocks of tuples.
+kept in such files too.  Work runs in blocks of tuples.  The text, its types, the order of the
+LMS suffixes and all of the recursion are in memory: a shard has to fit there several times
+over, and at the default ``memory`` queues spill only above some 6.7 million items.
 """
 
 from __future__ import annotations
