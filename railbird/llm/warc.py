@@ -6,7 +6,8 @@ and the others revisit it, without payload.  Payloads are matched by SHA-1 over
 those that occur more than once, so a hot payload costs rows of ids only.  Spark's text
 writer puts the members into files: it writes bytes as they are, and a member's last byte,
 always zero below 16 MiB, is what it puts behind each row (an empty member follows longer
-ones).  So the archives may lie in any store that Spark writes.
+ones).  So the archives may lie in any store that Spark writes.  A file has at most ``FILE_RECORDS``
+records and about ``FILE_BYTES``: records are written in classes of size, larger ones fewer to a file.
 
 Index.  The archives are scanned once, record by record; each capture becomes a line under its
 key, the URL with the host's labels turned round.  Lines are sorted by range, cut into
@@ -39,8 +40,11 @@ from railbird.llm.common import batches
 from railbird.session import ensure_checkpoint_dir, written
 
 DATE = "2020-01-01T00:00:00Z"
-#: Records of an archive file at most; a reader holds one file.
+#: Records of an archive file at most, and bytes of them before compression unless a single one has more; a reader holds one file.
 FILE_RECORDS = 4_000
+FILE_BYTES = 128 << 20
+#: From one class of record sizes to the next.
+CLASS = 16
 BLOCK_LINES = 1_000
 LEVEL = 3
 
@@ -126,24 +130,42 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         yield held
 
 
-def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0) -> None:
+def size_classes(most: int, file_bytes: int = FILE_BYTES) -> list[tuple[int, int, int]]:
+    """(sizes above, sizes up to, records of a file) for record sizes up to ``most``."""
+    low, high, out = -1, max(1, file_bytes // FILE_RECORDS), []
+    while True:
+        out.append((low, high, min(FILE_RECORDS, max(1, file_bytes // high))))
+        if high >= most:
+            return out
+        # Beyond the bytes of a file each record has its own.
+        low, high = high, max(most, high) if high >= file_bytes else min(high * CLASS, file_bytes)
+
+
+def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """A record for every row (page_id, url, html) of ``pages``, in files in ``folder``."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.unhex(F.sha1(html)).alias("digest"), F.octet_length(html).alias("n"))
+    # With the head: an escaped URL has at most three times its bytes.
+    size = F.col("n").cast("long") + 3 * F.octet_length(F.coalesce("url", F.lit(""))) + 1024
+    most, total = rows.agg(F.max(size), F.sum(size)).first()
+    classes = size_classes(most, file_bytes) if (total or 0) > file_bytes else [(-1, most or 0, FILE_RECORDS)]
     again = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("met"), F.max("page_id").alias("keep"))
     again = written(again.where("met > 1").select("digest", "keep"))
     revisit = (F.col("n") >= min_bytes) & F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
-    dealt = rows.join(again, "digest", "left").select("page_id", "url", "html", "keep", F.coalesce(revisit, F.lit(False)).alias("revisit"))
+    dealt = rows.withColumn("size", size).join(again, "digest", "left").select("size", "page_id", "url", "html", "keep", F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
     def make(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
                 out = [_row_bytes(record(i, u, h.encode(), k, r)) for i, u, h, k, r in zip(*(c.to_pylist() for c in part.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
-    lines = dealt.mapInArrow(make, "member binary").select(F.col("member").cast("string").alias("value"))
-    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    for low, high, n in classes:
+        at_once = min(256, n)
+        part = dealt.where((F.col("size") > low) & (F.col("size") <= high)).drop("size")
+        lines = part.mapInArrow(make, "member binary").select(F.col("member").cast("string").alias("value"))
+        lines.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", n).text(folder)
 
 
 _LINES = "key string, page_id {id}, file string, offset bigint, length bigint, type string, digest string, payload_bytes bigint, refers_to {id}"
@@ -160,8 +182,9 @@ def captures(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataF
     def make(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lines() -> Iterator[tuple]:
             for batch in source:
-                for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for offset, length, raw in members(data):
+                for path, data in zip(batch.column(0), batch.column(1), strict=True):
+                    path = path.as_py()
+                    for offset, length, raw in members(data.as_buffer()):
                         fields, payload = parse(raw)
                         kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         n = int(fields["X-Payload-Length"])

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import uuid
 
 import pytest
@@ -64,6 +65,27 @@ def test_lookup_reads_the_record_alone(spark):
     assert W.lookup(index, "http://h0.example.org/") == [] and W.lookup(index, "http://zzz/") == []
 
 
+def test_files_are_bounded_by_bytes(spark):
+    rnd = random.Random(3)
+    sizes = [100] * 30 + [3_000] * 30 + [40_000] * 20 + [90_000, 300_000]
+    rows = [(i, f"http://a.b/{i}", rnd.randbytes(n // 2).hex()) for i, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    W.write_archives(pages, folder, file_bytes=200_000)
+    lines = W.captures(spark, folder)
+    files = lines.groupBy("file").agg({"payload_bytes": "sum", "*": "count"}).collect()
+    assert all(f["sum(payload_bytes)"] <= 200_000 or f["count(1)"] == 1 for f in files)
+    assert as_rows(W.build_index(lines)) == expected(rows)
+
+
+def test_size_classes():
+    assert W.size_classes(0) == W.size_classes(33_000) == [(-1, 33_554, 4_000)]
+    for most in (33_555, 1 << 20, 1 << 27, 1 << 31):
+        classes = W.size_classes(most)
+        assert classes[-1][1] >= most and all(a[1] == b[0] for a, b in zip(classes, classes[1:]))
+        assert all(n == 1 or high * n <= W.FILE_BYTES for _, high, n in classes)
+
+
 def test_archives_are_plain_gzip(spark):
     folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     W.write_archives(spark.createDataFrame([(1, "http://a.b", "x"), (2, "http://a.c", "y" * 20_000_000)], "page_id long, url string, html string").coalesce(1), folder)
