@@ -155,7 +155,10 @@ def taken_words(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, to the nearest whole number; rows without words stay once."""
+    """``docs`` with each row as often as the mix takes it, to the nearest whole number; rows without words stay once.
+
+    A source so has up to half a document more or less than its target, and one document taken for less than half is dropped.
+    """
     took = taken_words(docs, **options).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("__taken"))
     copies: Column = F.when(F.col("__size") == 0, 1).otherwise(F.round(F.col("__taken") / F.col("__size")).cast("int"))
     took = took.select(
