@@ -5,7 +5,9 @@ packs its pieces best-fit, longest first.  Nearly full bins are done.  Underfull
 on as items: tasks are merged ``FAN_IN`` to one, the bins are packed best-fit into each
 other, and so on up the tree.  A bin carries its pieces along, at most one for each
 token, so rounds need no joins.  A task packs ``CHUNK`` items at a time, so neither a large
-task nor items that don't combine need more memory.  Every round is written to
+task nor items that don't combine need more memory.  Levels with more tasks than merging gives deal
+bins by a hash.  The tree ends early once the open bins fill as many chunks as there are tasks: bins of
+different chunks are then not tried together, and some sequences stay less full than they could be.  Every round is written to
 the shared folder: a lost executor repeats its own tasks, never earlier rounds.
 
 Defined results.  A missing text is empty and has the end token alone.  Rows that repeat an
@@ -236,8 +238,13 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
         nodes = nodes or top + 1
         merged = max(-(-nodes // fan_in), -(-left // chunk))
         last = merged == 1 or merged >= nodes
-        level, nodes = level + 1, merged
-        dealt = open_.withColumn("node", (F.floor(F.col("node") / fan_in) % merged).cast("int")).repartition(merged, "node")
+        level, level_nodes, nodes = level + 1, nodes, merged
+        # Merging alone has too few different nodes if open bins ask for more tasks.
+        if merged == -(-level_nodes // fan_in):
+            parent, by = F.floor(F.col("node") / fan_in), "node"
+        else:
+            parent, by = F.pmod(F.xxhash64("sequence_id"), F.lit(merged)), "sequence_id"
+        dealt = open_.withColumn("node", parent.cast("int")).repartition(merged, by)
         found = written(dealt.select("node", "size", "members").mapInArrow(again(level, last), schema_text))
 
     out = done[0]

@@ -44,6 +44,16 @@ def test_best_fit_takes_the_least_room():
     assert max(sum(sizes[i] for i in b) for b in bins) <= 100
 
 
+def test_open_bins_that_do_not_combine_use_all_tasks_of_a_level(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "alpha " * 40) for i in range(400)], "doc_id long, text string").repartition(8)
+    levels, kept = [], P.written
+    monkeypatch.setattr(P, "written", lambda df: levels.append(kept(df)) or levels[-1])
+    got = P.pack(docs, capacity=64, slack=2, chunk=100).collect()
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    # 400 open bins in chunks of 100 ask for four tasks; all went to one.
+    assert levels[1].selectExpr("(sequence_id >> 33) & 16777215").distinct().count() == 4
+
+
 @pytest.mark.parametrize("options", [{}, {"capacity": 64, "slack": 2, "fan_in": 2, "chunk": 40}])
 def test_sequences_are_whole_and_gapless(spark, tokenizer, options):
     rnd = random.Random(4)
