@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from railbird.llm import bisectors, chat, exact_dedup, fingerprints, mixing, packing, quality, simhash, suffix_dedup, url_filter, warc
+from railbird.llm import bisectors, chat, exact_dedup, fingerprints, mixing, packing, quality, runs, simhash, suffix_dedup, url_filter, warc
 
-MODULES = [suffix_dedup, mixing, fingerprints, chat, packing, quality, simhash, warc, url_filter, exact_dedup, bisectors]
+MODULES = [suffix_dedup, mixing, fingerprints, chat, packing, quality, runs, simhash, warc, url_filter, exact_dedup, runs, bisectors]
 
 
 def queries() -> dict:
