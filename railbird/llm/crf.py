@@ -12,6 +12,7 @@ multiplied side by side, and every row starts from the sums of the rows before i
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,52 +106,52 @@ class Tagger:
 
 
 class Vocabulary:
-    """The different words of texts, their features as numbers, and the texts as one chain of word numbers."""
+    """Texts as one chain of word numbers, and the words' features as numbers.
 
-    def __init__(self, texts: list[list[str]], *, least: int = 2, most: int = 100_000) -> None:
-        book: dict[str, int] = {}
-        self.chain = np.fromiter((book.setdefault(w.lower(), len(book)) for t in texts for w in t), np.int32, sum(map(len, texts)))
+    ``words`` are the different words in lower case, ``texts`` their numbers in every text.
+    """
+
+    def __init__(self, words: list[str], texts: list[np.ndarray], *, least: int = 2, most: int = 100_000) -> None:
+        self.n_words, self.n_texts = len(words), len(texts)
         sizes = np.array([len(t) for t in texts], np.int64)
-        self.text = np.repeat(np.arange(len(texts)), sizes)
+        self.chain = np.concatenate([np.zeros(0, np.int32), *texts])
+        self.starts = np.cumsum(sizes) - sizes
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         self.first = np.zeros(len(self.chain), bool)
-        self.first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        self.n_words = len(book)
+        self.first[self.starts[sizes > 0]] = True
         names: dict[str, int] = {}
-        lists = [[names.setdefault(f, len(names)) for f in features(w)] for w in book]
-        word = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        feature = np.fromiter((f for x in lists for f in x), np.int64, len(word))
-        # In how many texts a feature stands; rare ones are no features, nor are those beyond the most frequent.
-        once = np.unique(self.text * np.int64(max(1, self.n_words)) + self.chain) if len(self.chain) else np.zeros(0, np.int64)
-        self.once_text, self.once_word = once // max(1, self.n_words), once % max(1, self.n_words)
-        self.word, self.feature = word, feature
-        count = self.texts_with(np.ones(len(texts), bool), len(names))
+        lists = [np.fromiter((names.setdefault(f, len(names)) for f in features(w)), np.int32) for w in words]
+        self.word = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+        self.feature = np.concatenate([np.zeros(0, np.int32), *lists])
+        # Features of few texts are none, nor are those beyond the most frequent.
+        self.names = list(names)
+        count = self.texts_with(np.ones(len(texts), bool))
         keep = np.flatnonzero(count >= least)
         keep = np.sort(keep[np.argsort(-count[keep], kind="stable")[:most]])
-        number = np.full(len(names), -1)
+        number = np.full(len(names), -1, np.int32)
         number[keep] = np.arange(len(keep))
-        listed = list(names)
-        self.names = [listed[k] for k in keep.tolist()]
-        held = number[feature] >= 0
-        self.word, self.feature = word[held], number[feature[held]]
+        self.names = [self.names[k] for k in keep.tolist()]
+        held = number[self.feature] >= 0
+        self.word, self.feature = self.word[held], number[self.feature[held]]
 
-    def texts_with(self, chosen: np.ndarray, size: int | None = None) -> np.ndarray:
+    def texts_with(self, chosen: np.ndarray) -> np.ndarray:
         """In how many of the chosen texts every feature stands."""
-        size = len(self.names) if size is None else size
-        starts = np.searchsorted(self.word, np.arange(self.n_words + 1))
-        own = chosen[self.once_text]
-        word, text = self.once_word[own], self.once_text[own]
-        n = starts[word + 1] - starts[word]
-        at = np.repeat(starts[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        both = np.unique(np.repeat(text, n) * np.int64(max(1, size)) + self.feature[at])
-        return np.bincount(both % max(1, size), minlength=size)
+        edges = np.searchsorted(self.word, np.arange(self.n_words + 1))
+        ends, out = [*self.starts[1:].tolist(), len(self.chain)], np.zeros(len(self.names), np.int64)
+        for k in np.flatnonzero(chosen).tolist():
+            words = np.unique(self.chain[self.starts[k] : ends[k]])
+            n = edges[words + 1] - edges[words]
+            at = np.repeat(edges[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out[np.unique(self.feature[at])] += 1
+        return out
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Of values of features, the sum for every word."""
         return np.bincount(self.word, weights=values[self.feature], minlength=self.n_words)
 
 
-#: Gradient steps of a fit.
-STEPS = 60
+#: Gradient steps of a fit, and words whose sums it holds at a time (a longer text has its own).
+STEPS, PORTION = 60, 200_000
 
 
 def fit(vocabulary: Vocabulary, tags: np.ndarray, used: np.ndarray, *, begin: Tagger | None = None, steps: int = STEPS,
@@ -159,29 +160,39 @@ def fit(vocabulary: Vocabulary, tags: np.ndarray, used: np.ndarray, *, begin: Ta
 
     It starts from ``begin``, if there is one.  Words of texts that are not ``used`` count for nothing.
     """
-    v = vocabulary
+    v, k = vocabulary, len(vocabulary.names)
     keep = used[v.text]
-    chain, first, y = v.chain[keep], v.first[keep], tags[keep].astype(float)
-    follows = ~first[1:]
-    seen = np.bincount((2 * y[:-1] + y[1:]).astype(np.int64)[follows], minlength=4).reshape(2, 2).astype(float)
-    seen_first = y[first].sum()
-    theta = np.zeros(len(v.names) + 1 + 4 + 1)
-    theta[len(v.names)] = -3.0
+    chain, first, y = v.chain[keep], v.first[keep], tags[keep].astype(np.int8)
+    seen = np.bincount((2 * y[:-1] + y[1:])[~first[1:]], minlength=4).astype(float)
+    seen_first = float(y[first].sum())
+    # Whole texts, about PORTION words at a time.
+    heads = np.flatnonzero(first)
+    edges = [0, *heads[np.flatnonzero(np.diff(heads // PORTION)) + 1].tolist(), len(chain)]
+    theta = np.zeros(k + 6)
+    theta[k] = -3.0
     if begin:
         theta[:] = [*(begin.weights.get(n, 0.0) for n in v.names), begin.bias, *begin.trans.ravel(), begin.start]
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    k = len(v.names)
-    unpack = lambda: (theta[:k], theta[k], theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5])
     for step in range(1, steps + 1):
-        w, bias, trans, start = unpack()
-        e = (v.sums(w) + bias)[chain]
-        chance, counts, at_first = marginals(e, first, trans, start, pairs=True)
-        gap = np.bincount(chain, weights=y - chance, minlength=v.n_words)
-        slope = np.concatenate([np.bincount(v.feature, weights=gap[v.word], minlength=k), [gap.sum()], (seen - counts).ravel(), [seen_first - at_first]])
-        slope[:k] -= ridge * w
+        evidence, trans, start = v.sums(theta[:k]) + theta[k], theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5]
+        gap, counts, at_first = np.zeros(v.n_words), np.zeros((2, 2)), 0.0
+        for a, b in itertools.pairwise(edges):
+            words = chain[a:b]
+            chance, some, starts = marginals(evidence[words], first[a:b], trans, start, pairs=True)
+            gap += np.bincount(words, weights=y[a:b] - chance, minlength=v.n_words)
+            counts, at_first = counts + some, at_first + starts
+        slope = np.concatenate([np.bincount(v.feature, weights=gap[v.word], minlength=k) - ridge * theta[:k], [gap.sum()], seen - counts.ravel(), [seen_first - at_first]])
         mean += 0.2 * (slope - mean)
         square += 0.05 * (slope * slope - square)
         theta += rate * (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-8)
-    w, bias, trans, start = unpack()
-    tagger = Tagger({n: float(x) for n, x in zip(v.names, w, strict=True) if abs(x) > 1e-3}, float(bias), trans.copy(), float(start))
-    return tagger, marginals((v.sums(w) + bias)[v.chain], v.first, trans, start)
+    trans = theta[k + 1 : k + 5].reshape(2, 2).copy()
+    tagger = Tagger({n: float(x) for n, x in zip(v.names, theta[:k], strict=True) if abs(x) > 1e-3}, float(theta[k]), trans, float(theta[k + 5]))
+    return tagger, marginals_of(v, v.sums(theta[:k]) + theta[k], tagger)
+
+
+def marginals_of(vocabulary: Vocabulary, evidence: np.ndarray, tagger: Tagger) -> np.ndarray:
+    """The marginals of all words of the texts, about ``PORTION`` at a time."""
+    v = vocabulary
+    heads = np.flatnonzero(v.first)
+    edges = [0, *heads[np.flatnonzero(np.diff(heads // PORTION)) + 1].tolist(), len(v.chain)]
+    return np.concatenate([np.zeros(0), *(tagger.chances(evidence[v.chain[a:b]], v.first[a:b]) for a, b in itertools.pairwise(edges))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from railbird.llm import bisectors, chat, exact_dedup, fingerprints, mixing, packing, quality, runs, simhash, suffix_dedup, toxicity, url_filter, warc
 
-MODULES = [suffix_dedup, mixing, fingerprints, chat, packing, quality, runs, simhash, warc, url_filter, exact_dedup, toxicity, runs, bisectors]
+MODULES = [suffix_dedup, mixing, fingerprints, chat, packing, quality, simhash, warc, url_filter, exact_dedup, toxicity, runs, bisectors]
 
 
 def queries() -> dict:

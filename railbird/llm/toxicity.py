@@ -24,7 +24,7 @@ or none) or 1 (toxic; the empty text 0).  Rows that repeat an id are each scored
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -39,7 +39,7 @@ from railbird.llm.quality import best_quantile
 
 CUT = 0.7
 #: Bounds of the training sample.
-MAX_TOXIC, MAX_CLEAN, MAX_WORDS, MAX_BYTES, MAX_FEATURES = 1_500, 3_000, 4_000, 40_000, 100_000
+MAX_TOXIC, MAX_CLEAN, MAX_WORDS, MAX_BYTES, MAX_FEATURES = 1_500, 3_000, 1_500, 16_000, 60_000
 #: A feature speaks for a tag if its share among toxic documents is this many times that among clean ones.
 RATIO = 10.0
 #: Words scored at a time, and evidence remembered by word.
@@ -79,13 +79,12 @@ def telling(vocabulary: Vocabulary, toxic: np.ndarray) -> np.ndarray:
     return vocabulary.sums(good.astype(float)) > 0
 
 
-def one_of_each(texts: list[list[str]], *, bands: int = 10, rows: int = 3) -> np.ndarray:
-    """True for the first of texts that share a band of minima of hashed word pairs, nearly always copies of one another."""
-    book: dict[str, int] = {}
+def one_of_each(texts: list[np.ndarray], *, bands: int = 10, rows: int = 3) -> np.ndarray:
+    """True for the first of texts (numbers of words) that share a band of minima of hashed word pairs, nearly always copies of one another."""
     first, keep = [set() for _ in range(bands)], np.ones(len(texts), bool)
     salts = mixed64(np.arange(1, bands * rows + 1, dtype=np.uint64))[:, None]
     for k, words in enumerate(texts):
-        x = np.fromiter((book.setdefault(w, len(book)) for w in words), np.uint64, len(words))
+        x = words.astype(np.uint64)
         x = np.unique(x[:-1] * np.uint64(1 << 32) + x[1:]) if len(x) > 1 else x
         lows = mixed64(mixed64(x)[None, :] ^ salts).min(axis=1) if len(x) else np.zeros(bands * rows, np.uint64)
         marks = [tuple(m) for m in lows.reshape(bands, rows).tolist()]
@@ -95,27 +94,34 @@ def one_of_each(texts: list[list[str]], *, bands: int = 10, rows: int = 3) -> np
     return keep
 
 
+def numbered(texts: Iterable[str]) -> tuple[list[str], list[np.ndarray]]:
+    """The different words of texts in lower case, and every text as numbers of them."""
+    book: dict[str, int] = {}
+    chains = [np.fromiter((book.setdefault(w, len(book)) for w in FIND.findall(t.lower())), np.int32) for t in texts]
+    return list(book), chains
+
+
 def learned(texts: list[str], toxic: np.ndarray) -> Judge:
     """The judge of whole training texts and their marks."""
-    words = [FIND.findall(t.lower()) for t in texts]
+    words, chains = numbered(texts)
     # Copies of a text would make all its words look telling.
     keep = np.zeros(len(texts), bool)
     for kind in (toxic, ~toxic):
-        keep[np.flatnonzero(kind)] = one_of_each([words[k] for k in np.flatnonzero(kind)])
-    words, toxic = [w for w, k in zip(words, keep, strict=True) if k], toxic[keep]
+        keep[np.flatnonzero(kind)] = one_of_each([chains[k] for k in np.flatnonzero(kind)])
+    chains, toxic = [c for c, k in zip(chains, keep, strict=True) if k], toxic[keep]
     if not toxic.any() or toxic.all():
         return Judge(None, constant=float(bool(len(toxic) and toxic.all())))
-    v = Vocabulary(words, most=MAX_FEATURES)
+    v = Vocabulary(words, chains, most=MAX_FEATURES)
     inside = toxic[v.text]
     tags = telling(v, toxic)[v.chain] & inside
     if not tags.any():
         return Judge(None)
-    tagged = ~toxic | (np.bincount(v.text, weights=tags, minlength=len(words)) > 0)
+    tagged = ~toxic | (np.bincount(v.text, weights=tags, minlength=v.n_texts) > 0)
     found, chance = fit(v, tags, tagged)
     more = (chance >= 0.5) & inside | tags
-    tagged = ~toxic | (np.bincount(v.text, weights=more, minlength=len(words)) > 0)
+    tagged = ~toxic | (np.bincount(v.text, weights=more, minlength=v.n_texts) > 0)
     tagger, chance = fit(v, more, tagged, begin=found, steps=STEPS // 2)
-    top = np.zeros(len(words))
+    top = np.zeros(v.n_texts)
     np.maximum.at(top, v.text, chance)
     odds = log_odds(top)
     return Judge(tagger, best_quantile(odds, toxic))
