@@ -72,6 +72,11 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the run's folder, or else in the shared checkpoint folder."""
+    return f"{_RUN.get() or ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table in the run's folder, or else in the shared checkpoint folder.
 
@@ -79,6 +84,6 @@ def written(df: DataFrame) -> DataFrame:
     checkpoint runs its last stage a second time to write it.
     """
     spark = df.sparkSession
-    path = f"{_RUN.get() or ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
