@@ -257,20 +257,19 @@ def _shard_runs(ids: list[bytes], parts: list[bytes], met: list[int], length: in
                 yield segment_id, a, b - a
 
 
-def removed(raw: bytes, runs: list[tuple[int, int]], length: int) -> tuple[int, int, str]:
-    """(bytes removed, maximal runs of them, SHA-256 of the rest) for sorted runs of strings."""
-    kept, at, gone, spans, end = hashlib.sha256(), 0, 0, 0, -1
+def removed(raw: bytes, runs: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int]], str]:
+    """The maximal runs of removed bytes as (start, stop), and the SHA-256 of the rest, for sorted runs of strings."""
+    kept, at, spans = hashlib.sha256(), 0, []
     for first, n in runs:
         stop = first + n + length - 1
-        if first > end:
+        if spans and first <= at:
+            spans[-1] = (spans[-1][0], max(at, stop))
+        else:
             kept.update(raw[at:first])
-            spans, gone = spans + 1, gone + stop - first
-        elif stop > end:
-            gone += stop - end
-        end = max(end, stop)
-        at = end
+            spans.append((first, stop))
+        at = spans[-1][1]
     kept.update(raw[at:])
-    return gone, spans, kept.hexdigest()
+    return spans, kept.hexdigest()
 
 
 def kept_text(raw: bytes, runs: list[tuple[int, int]], length: int = LENGTH) -> bytes:
@@ -282,23 +281,29 @@ def kept_text(raw: bytes, runs: list[tuple[int, int]], length: int = LENGTH) ->
 
 
 def removal(docs: DataFrame, *, length: int = LENGTH, text_col: str = "text", **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, repeats (any byte is removed) and removed (array of start, stop) of every row of ``docs``."""
     rows, single = repeated_spans(docs, length=length, text_col=text_col, **options)
 
     def digest(source: Iterator[tuple]) -> Iterator[tuple]:
         for text_id, words, runs in source:
-            yield text_id, *removed(words.encode(), [(r["first"], r["n"]) for r in runs], length)
+            spans, kept = removed(words.encode(), [(r["first"], r["n"]) for r in runs], length)
+            yield text_id, [{"start": a, "stop": b} for a, b in spans], kept
 
-    cut = written(_mapped(single, "text_id binary, n_removed bigint, n_spans bigint, kept_sha256 string", digest))
+    cut = written(_mapped(single, "text_id binary, removed array<struct<start:bigint,stop:bigint>>, kept_sha256 string", digest))
     text = text_of(docs, text_col)
     whole = written(docs.select(F.unhex(F.md5(text)).alias("text_id"), F.unhex(F.sha2(text, 256)).alias("sha")).groupBy("text_id").agg(F.first("sha").alias("sha")))
     out = rows.join(whole, "text_id").join(cut, "text_id", "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    return out.select(
-        "doc_id", "n_bytes", F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(all_gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    out = out.select(
+        "doc_id", "n_bytes", F.when(all_gone, everything).otherwise(F.coalesce("removed", none)).alias("removed"),
         F.when(all_gone, nothing).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256",
+        (F.col("n_bytes") - gone).alias("n_kept"), (F.size("removed") > 0).alias("repeats"), "removed")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
