@@ -12,8 +12,10 @@ records and about ``FILE_BYTES``: records are written in classes of size, larger
 Index.  The archives are scanned once, record by record; each capture becomes a line under its
 key, the URL with the host's labels turned round.  Lines are sorted by range, cut into
 blocks of ``BLOCK_LINES`` and compressed: the first level.  The directory, one entry per
-block with its first and last key, is the second.  A lookup finds the blocks in the
-directory, searches each by halving, and reads the record's bytes at their place.
+block with its first and last key, is the second.  ``lookups`` takes a table of keys: each finds its ranges (as
+many as Spark has partitions), in a range its blocks by halving the directory, in a block its lines by
+halving again; keys and blocks meet in one shuffle each, a task holds one range's directory and one
+block.  ``read_records`` reads the bytes of captures at their places, in tasks.
 
 Defined results.  A missing page is empty; a missing URL is empty and sorts first.  Rows that
 repeat id and payload are all responses if the id is the largest.  A missing id is
@@ -25,19 +27,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import re
-import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railbird.llm.common import batches
-from railbird.session import ensure_checkpoint_dir, written
+from railbird.session import new_folder, written
 
 DATE = "2020-01-01T00:00:00Z"
 #: Records of an archive file at most, and bytes of them before compression unless a single one has more; a reader holds one file.
@@ -111,14 +115,19 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of the gzip members of an archive; empty ones count with the one before."""
+    """(offset, length, content) of the gzip members of an archive; empty ones count with the one before.
+
+    A member is fed in pieces that grow with it, so what is left of the last piece is no longer than the member.
+    """
     at, view, held = 0, memoryview(data), None
     while at < len(data):
-        d = zlib.decompressobj(31)
-        content = d.decompress(view[at:])
-        if not d.eof:
-            raise ValueError("the archive ends inside a record")
-        after = len(data) - len(d.unused_data)
+        d, out, stop, piece = zlib.decompressobj(31), [], at, 1 << 10
+        while not d.eof:
+            if stop >= len(data):
+                raise ValueError("the archive ends inside a record")
+            out.append(d.decompress(view[stop : stop + piece]))
+            stop, piece = min(len(data), stop + piece), min(2 * piece, 1 << 20)
+        content, after = b"".join(out), stop - len(d.unused_data)
         if content:
             if held:
                 yield held
@@ -168,6 +177,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, file_by
         lines.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", n).text(folder)
 
 
+_BLOCK = "first_key string, last_key string, n_lines int, block binary"
 _LINES = "key string, page_id {id}, file string, offset bigint, length bigint, type string, digest string, payload_bytes bigint, refers_to {id}"
 
 
@@ -200,20 +210,23 @@ def captures(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataF
 
 
 def build_index(lines: DataFrame, *, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """The index as a written table: first_key, last_key, n_lines, block (compressed lines, sorted by key).
+    """The index as a written table: part, block_no, first_key, last_key, n_lines, block (compressed lines, sorted by key).
 
-    Its first three columns are the directory.  A line holds its key and a JSON list of the rest.
+    Blocks are numbered within the ranges (parts) in which they were sorted.  All columns but the last are the
+    directory.  A line holds its key and a JSON list of the rest.
     """
     names = lines.columns
     ordered = lines.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
     ordered = ordered.select("key", F.to_json(F.struct(*names[1:]), {"ignoreNullFields": "false"}).alias("rest"))
-    ddl = "first_key string, last_key string, n_lines int, block binary"
+    ddl = f"part int, block_no int, {_BLOCK}"
     schema = _arrow(lines.sparkSession, ddl)
 
     def make(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), itertools.count()
+
         def block(held: list[tuple[str, str]]) -> tuple:
             text = "\n".join(f"{json.dumps(k)} {r}" for k, r in held)
-            return held[0][0], held[-1][0], len(held), zlib.compress(text.encode(), 6)
+            return part, next(number), held[0][0], held[-1][0], len(held), zlib.compress(text.encode(), 6)
 
         def blocks() -> Iterator[tuple]:
             held: list[tuple[str, str]] = []
@@ -252,30 +265,102 @@ def entries(index: DataFrame, id_type: str = "bigint") -> DataFrame:
     return index.select("block").mapInArrow(make, ddl)
 
 
-def lookup(index: DataFrame, url: str) -> list[dict]:
-    """The captures of one URL: its blocks by the directory, its lines by halving."""
-    key = url_key(safe_url(url))
-    found = []
-    for row in index.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("block").toLocalIterator():
-        lines = block_lines_of(row.block)
-        at = bisect_left(lines, key, key=lambda line: line[0])
-        while at < len(lines) and lines[at][0] == key:
-            found.append(lines[at][1])
-            at += 1
-    return found
-
-
-def read_record(spark: SparkSession, capture: dict) -> tuple[dict[str, str], bytes]:
-    """Header fields and payload of a capture: only the record's own bytes are read."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(capture["file"])
-    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
-    try:
-        stream.seek(capture["offset"])
-        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(capture["length"])))
-    finally:
-        stream.close()
-    return parse(next(members(data))[2])
+def lookups(index: DataFrame, wanted: DataFrame, *, id_type: str = "bigint") -> DataFrame:
+    """The captures of all keys in column ``key`` of ``wanted`` (each key once, whether it repeats there or not)."""
+    # One row for each range that the index was sorted in.
+    ranges = sorted(tuple(r) for r in index.groupBy("part").agg(F.min("first_key"), F.max("last_key")).collect())
+    lows, highs, parts = [r[1] for r in ranges], [r[2] for r in ranges], [r[0] for r in ranges]
+
+    def place(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            keys, found = batch.column(0).to_pylist(), []
+            for key in keys:
+                # A key that repeats may lie across ranges.
+                found.append(parts[bisect_left(highs, key):bisect_right(lows, key)])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([p for ps in found for p in ps], pa.int32()), pa.array([k for k, ps in zip(keys, found, strict=True) for _ in ps], pa.string())], ["part", "key"])
+
+    spark, keys = index.sparkSession, wanted.select("key").where("key is not null").distinct()
+    asked = keys.mapInArrow(place, "part int, key string")
+    known = index.select("part", "block_no", "first_key", "last_key")
+    both = known.select("*", F.lit(None).cast("string").alias("key")).unionByName(asked.select(
+        "part", F.lit(None).cast("int").alias("block_no"), F.lit(None).cast("string").alias("first_key"), F.lit(None).cast("string").alias("last_key"), "key"))
+    both = both.repartition("part").sortWithinPartitions("part", F.col("block_no").asc_nulls_last())
+
+    def narrow(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            now, numbers, first, last = None, [], [], []
+            for batch in source:
+                for part, number, low, high, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if part != now:
+                        now, numbers, first, last = part, [], [], []
+                    if key is None:
+                        numbers.append(number)
+                        first.append(low)
+                        last.append(high)
+                        continue
+                    for number in numbers[bisect_left(last, key):bisect_right(first, key)]:
+                        yield part, number, key
+
+        yield from batches(rows(), schema)
+
+    schema = _arrow(spark, "part int, block_no int, key string")
+    asked = both.mapInArrow(narrow, "part int, block_no int, key string")
+    full = index.select("part", "block_no", "block", F.lit(None).cast("string").alias("key")).unionByName(
+        asked.select("part", "block_no", F.lit(None).cast("binary").alias("block"), "key"))
+    full = full.repartition("part", "block_no").sortWithinPartitions("part", "block_no", F.col("key").asc_nulls_first()).select("block", "key")
+    ddl = _LINES.format(id=id_type)
+    out_schema = _arrow(spark, ddl)
+
+    def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            lines: list[tuple[str, dict]] = []
+            for batch in source:
+                for block, key in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    if key is None:
+                        lines = block_lines_of(block.as_py())
+                        continue
+                    at = bisect_left(lines, key, key=lambda line: line[0])
+                    while at < len(lines) and lines[at][0] == key:
+                        yield key, *lines[at][1].values()
+                        at += 1
+
+        yield from batches(rows(), out_schema)
+
+    return full.mapInArrow(read, ddl)
+
+
+def keys_of(pages: DataFrame) -> DataFrame:
+    """The keys of the URLs in column ``url``, as column ``key``."""
+    def make(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(safe_url(u)) for u in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+    return pages.select("url").mapInArrow(make, "key string")
+
+
+def read_records(found: DataFrame) -> DataFrame:
+    """page_id, key and payload of captures: a task opens each archive once and reads only its records' bytes.
+
+    The archives' file system has to be one that pyarrow reads.
+    """
+    ddl = f"page_id {found.schema['page_id'].dataType.simpleString()}, key string, payload binary"
+    schema = _arrow(found.sparkSession, ddl)
+
+    def make(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            name, file = None, None
+            for batch in source:
+                for page_id, key, path, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if path != name:
+                        system, inner = FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                        name, file = path, system.open_input_file(inner)
+                    yield page_id, key, parse(next(members(file.read_at(length, offset)))[2])[1]
+
+        yield from batches(rows(), schema, 256)
+
+    ordered = found.repartition("file").sortWithinPartitions("file", "offset")
+    return ordered.select("page_id", "key", "file", "offset", "length").mapInArrow(make, ddl)
 
 
 def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:
@@ -287,15 +372,17 @@ def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:
 def archive(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder and gives their index."""
     spark = pages.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     write_archives(pages, folder, min_bytes=min_bytes)
-    return build_index(captures(spark, folder))
+    # Written before sorting: the range partitioner samples its input, and would unpack the archives once more.
+    return build_index(written(captures(spark, folder)))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as its record says, read back through the index."""
-    index = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return entries(index).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    """Every page as its record says: the captures of all URLs, looked up in the index of the archives."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = lookups(archive(pages), keys_of(pages))
+    return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
 QUERIES = {"op8_warc_index": op8}

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 import uuid
 
 import pytest
@@ -52,17 +53,42 @@ def test_odd_pages(spark, min_bytes):
     assert W.entries(W.archive(pages.limit(0))).count() == 0
 
 
-def test_lookup_reads_the_record_alone(spark):
-    pages = spark.createDataFrame([(i, f"http://h{i % 7}.example.org/{i}", f"page {i} é") for i in range(300)] + ODD[:1], "page_id long, url string, html string")
+@pytest.mark.parametrize("partitions", ["1", "5"])
+def test_lookups_read_the_records_alone(spark, partitions):
+    pages = [(100 + i, f"http://h{i % 7}.example.org/{i // 3}", f"page {i} é") for i in range(300)] + ODD
+    pages += [(1000 + i, "http://hot.org/", f"hot {i}") for i in range(90)]  # one key in several blocks and ranges
     folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    W.write_archives(pages, folder)
-    index = W.build_index(W.captures(spark, folder), block_lines=16)
-    assert index.agg({"n_lines": "max"}).first()[0] == 16
-    for i in (0, 5, 17, 299):
-        (capture,) = W.lookup(index, f"http://h{i % 7}.example.org/{i}")
-        fields, payload = W.read_record(spark, capture)
-        assert payload.decode() == f"page {i} é" and fields["WARC-Record-ID"] == f"<urn:page:{i}>"
-    assert W.lookup(index, "http://h0.example.org/") == [] and W.lookup(index, "http://zzz/") == []
+    W.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), folder)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        index = W.build_index(W.captures(spark, folder), block_lines=16)
+        assert index.agg({"n_lines": "max"}).first()[0] == 16 and index.select("part").distinct().count() == int(partitions)
+        for urls in (["http://hot.org/"], ["http://h1.example.org/1", "http://H3.example.org/5", None, "http://zzz/", "http://a.b/x", "no scheme"], [u for _, u, _ in pages]):
+            wanted = spark.createDataFrame([(u,) for u in urls * 2], "url string")
+            keys = {W.url_key(W.safe_url(u)) for u in urls}
+            want = sorted((i, h) for i, u, h in pages if W.url_key(W.safe_url(u)) in keys and (i or 0) >= 100)
+            held = sorted(str(i) for i, u, _ in pages if W.url_key(W.safe_url(u)) in keys)
+            found = W.lookups(index, W.keys_of(wanted))
+            got = [(r.page_id, bytes(r.payload).decode()) for r in W.read_records(found.where("type = 'response'")).collect() if (r.page_id or 0) >= 100]
+            assert sorted(got) == want and sorted(str(r.page_id) for r in found.collect()) == held
+        assert W.lookups(index, W.keys_of(wanted.limit(0))).count() == 0 and W.lookups(index.limit(0), W.keys_of(wanted)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+
+
+def test_members_are_read_in_linear_time():
+    rnd = random.Random(1)
+    raw = [rnd.randbytes(n) for n in [20_000] * 4_000 + [0, 1, 3_000_000, 5]]
+    data = b"".join(W._member(r) for r in raw)
+    began = time.process_time()
+    got = list(W.members(data))
+    assert time.process_time() - began < 3
+    assert [c for _, _, c in got] == [r for r in raw if r] and sum(n for _, n, _ in got) == len(data)
+    with pytest.raises(ValueError):
+        list(W.members(data[:-1]))
 
 
 def test_files_are_bounded_by_bytes(spark):
