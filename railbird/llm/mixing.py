@@ -159,15 +159,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A source so has up to half a document more or less than its target, and one document taken for less than half is dropped.
     """
-    took = taken_words(docs, **options).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("__taken"))
-    copies: Column = F.when(F.col("__size") == 0, 1).otherwise(F.round(F.col("__taken") / F.col("__size")).cast("int"))
-    took = took.select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__taken")
+    took = taken_words(docs, **options).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
+    copies: Column = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))
+    took = took.select(*(F.col(c).alias(f"of_{c}") for c in ("doc_id", "source", "size")), copies.alias("n"))
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     size = F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("__own", size)
-    met = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size"))
-    rows = rows.join(took, met).withColumn("__n", copies).where("__n > 0")
-    return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(packed.alias("doc"), "doc_id", "source", size.alias("size"))
+    met = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
+    rows = rows.join(took, met).where("n > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return rows.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,37 +147,31 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     return fit(x, got.column(1).to_numpy()[order].astype(bool), seed=seed)
 
 
-def scored(docs: DataFrame, ranker: Ranker, *, score_col: str = "quality_score") -> DataFrame:
-    """``docs`` with its columns and the score as the last; ``score_col`` must not be among them."""
-    names = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], text_of(docs).alias("t"))
-    out = inner.schema.fields[:-1]
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out) + ", score double"
+def scored(docs: DataFrame, ranker: Ranker) -> DataFrame:
+    """Every row of ``docs`` as a struct ``doc`` of c0, c1 and so on, in the order of its columns, and its ``score``."""
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    inner = docs.select(packed.alias("doc"), text_of(docs).alias("text"))
 
     def make(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            x = np.array([features(t) for t in batch.column(batch.num_columns - 1).to_pylist()], float).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(ranker.score(x))], [*batch.schema.names[:-1], "score"])
+            x = np.array([features(t) for t in batch.column(1).to_pylist()], float).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranker.score(x))], ["doc", "score"])
 
-    found = inner.mapInArrow(make, ddl)
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("score").alias(score_col))
+    return inner.mapInArrow(make, f"doc {inner.schema['doc'].dataType.simpleString()}, score double")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``CUT``, with their columns."""
-    judged = scored(docs, train(docs, labels, **options), score_col="__quality")
-    return judged.where(F.col("__quality") >= CUT).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` whose score is at least ``CUT``, with their columns, whatever their names."""
+    good = scored(docs, train(docs, labels, **options)).where(F.col("score") >= CUT)
+    return good.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its quality score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ranker = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = scored(docs.select("doc_id", "text"), ranker)
-    return out.select(
-        "doc_id", held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"),
-        (F.col("quality_score") >= CUT).cast("int").alias("predicted"))
+    out = scored(docs.select("doc_id", "text"), ranker).select(F.col("doc.c0").alias("doc_id"), "score")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 QUERIES = {"op6_quality_ranking": op6}

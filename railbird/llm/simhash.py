@@ -289,11 +289,12 @@ def one_of_each_group(docs: DataFrame, *, threshold: int = THRESHOLD) -> DataFra
     Of rows that repeat id and text, one stays.
     """
     keep = near_groups(docs, threshold=threshold).select("component_id", "first_hash").distinct()
-    keep = keep.select(_known("component_id").alias("__k"), F.col("first_hash").alias("__h"))
-    rows = docs.withColumns({"__k": _known("doc_id"), "__h": F.xxhash64(text_of(docs))})
-    kept = rows.join(keep, ["__k", "__h"], "left_semi")
-    kept = kept.withColumn("__nth", F.row_number().over(Window.partitionBy("__k", "__h").orderBy("__k"))).where("__nth = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = keep.select(_known("component_id").alias("known"), F.col("first_hash").alias("hash"))
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(packed.alias("doc"), _known("doc_id").alias("known"), F.xxhash64(text_of(docs)).alias("hash"))
+    kept = rows.join(keep, ["known", "hash"], "left_semi")
+    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("known", "hash").orderBy("known"))).where("nth = 1")
+    return kept.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _known(name: str):

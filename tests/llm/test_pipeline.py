@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline as C
-from railbird.llm import exact_dedup, quality
+from railbird.llm import exact_dedup, mixing, quality, simhash
 from test_simhash import plain_components, plain_fingerprint
 
 DATA = "/root/testdata/sf0.001"
@@ -38,6 +38,19 @@ def test_stages(spark):
     assert C.run(spark, DATA).where("piece = 0").count() == sum(n.values())
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["__k", "__h", "__own", "__n", "__nth", "__quality", "__taken", "known", "hash", "nth", "doc", "size", "n", "score", "taken", "__row", "__id", "__text", "__hash", "c0"]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40 + i)) + ".", f"s{i % 2}", *(f"{n}{i}" for n in names)) for i in range(8)] + [(None, None, None, *names)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'`{n}` string' for n in names)}")
+    want = {r.doc_id: tuple(r) for r in docs.collect()}
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    made = [quality.good_documents(docs, labels), exact_dedup.drop_exact_copies(docs), simhash.one_of_each_group(docs), mixing.mixed_documents(docs)]
+    for out in made:
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(r == want[r[0]] for r in got)
+
+
 def test_exact_copies_with_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "b"), (2, "", "b"), (None, "x", "c"), (3, "x", "d"), (None, "y", "e"), (4, "y" * 30000, "f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, keep_id string")

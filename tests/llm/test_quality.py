@@ -39,9 +39,9 @@ def test_level_parts_with_fewest_errors():
 @pytest.mark.parametrize("labels, predicted", [([], 1), ([(1, 1), (2, 1)], 1), ([(1, 0), (2, 0)], 0), ([(1, None), (9, 1)], 1)])
 def test_one_kind_of_label(spark, labels, predicted):
     rows = [(1, "a b c", 3.0), (2, None, 1.0), (2, "", 1.0), (None, "x " * 20000, 0.0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, quality_score double")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
     known = spark.createDataFrame(labels, "doc_id long, quality int")
     ranker = Q.train(docs, known)
     kept = Q.good_documents(docs, known)
     assert kept.columns == docs.columns and kept.count() == (4 if predicted else 0)
-    assert Q.scored(docs.limit(0), ranker, score_col="s").count() == 0
+    assert Q.scored(docs.limit(0), ranker).count() == 0

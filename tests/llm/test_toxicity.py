@@ -35,15 +35,17 @@ def test_gradient_ends_where_expected_counts_meet_the_tags(monkeypatch):
     v = crf.Vocabulary(*T.numbered(map(" ".join, texts)))
     tags = np.array([w in ("bad", "worse") for t in texts for w in t]) & (rng.random(1800) < 0.9)
     tagger, chance = crf.fit(v, tags, np.ones(60, bool), steps=400)
-    monkeypatch.setattr(crf, "PORTION", 100)
-    again, same = crf.fit(v, tags, np.ones(60, bool), steps=400)
-    assert np.allclose(chance, same, atol=1e-3) and np.allclose(tagger.trans, again.trans, atol=1e-2)
     assert abs(chance.sum() - tags.sum()) < 0.02 * tags.sum()
     assert tagger.evidence("BAD") > tagger.evidence("unknown") > tagger.evidence("good")
     e = np.array([tagger.evidence(w) for t in texts for w in t])
     assert np.allclose(tagger.chances(e, v.first), chance, atol=1e-3)
 
 
+    alone = crf.fit(v, tags, np.ones(60, bool), steps=10)[1]
+    monkeypatch.setattr(crf, "PORTION", 100)
+    assert np.allclose(alone, crf.fit(v, tags, np.ones(60, bool), steps=10)[1], atol=1e-5)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {r.doc_id: r for r in T.op11(spark, DATA).collect()}
