@@ -1,8 +1,9 @@
 """State rules that depend on the last accepted reading.
 
 Each rule is ``step(state, row) -> output rows`` over plain dicts.  Batch jobs
-run a rule with ``carried_fold``; streaming jobs run the same rule per key with
-Spark-held state, so both give the same rows.  Times are microseconds.
+run a rule with ``carried_fold``, or with ``prefix_fold`` and the rule's ``maps`` where a key may be
+large; streaming jobs run the same rule per key with Spark-held state, so all give the same
+rows.  Times are microseconds.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 from railbird import schemas as S
 from railbird.functions.actions import SPACE
+from railbird.functions.prefix import Digest, Mapper, Table
 
 # ---------------------------------------------------------------- fixed values
 DEBOUNCE_SECONDS = 5.0
@@ -54,24 +56,15 @@ class Segment:
         self.threshold, self.label = threshold, label
 
     def __call__(self, st: dict, row: dict) -> list[dict]:
-        kind, value, boundary = row["kind"], row["value"], None
-        if kind == "hero" and row.get("phash") is not None:
-            second, known = row.get("phash2"), st["hero2"]
-            if st["hero"] is None:
-                st["hero"], st["hero2"] = row["phash"], second
-            elif (_popcount(st["hero"], row["phash"]) > self.threshold
-                  or (second is not None and known is not None and _popcount(known, second) > self.threshold)):
-                st["hero"], st["hero2"], boundary = row["phash"], second, "hero_change"
-            elif known is None:
-                st["hero2"] = second
-        elif kind == "community" and value is not None:
+        kind, value = row["kind"], row["value"]
+        boundary = self._hero_change(st, row)
+        if kind == "community" and value is not None:
             before, now = st["board"] or 0, int(value)
             st["board"] = now
             if before > 0 and now == 0:
                 boundary = "community_reset"
         elif kind == "pot" and value is not None and st["peak"] is not None:
-            labelled = self.label is None or self.label in (row.get("text") or "")
-            if labelled and value < st["peak"] * NEW_HAND_POT_DROP:
+            if self._labelled(row) and value < st["peak"] * NEW_HAND_POT_DROP:
                 boundary = "pot_label"
         if boundary:
             st["board"], st["pot"], st["peak"] = 0, None, None
@@ -81,6 +74,65 @@ class Segment:
                 st["peak"] = value if st["peak"] is None else max(st["peak"], value)
         return [{**row, "boundary": boundary, "pot_latest": st["pot"], "pot_peak": st["peak"]}]
 
+    def _labelled(self, row: dict) -> bool:
+        return self.label is None or self.label in (row.get("text") or "")
+
+    def _hero_change(self, st: dict, row: dict) -> str | None:
+        if row["kind"] != "hero" or row.get("phash") is None:
+            return None
+        second, known = row.get("phash2"), st["hero2"]
+        if st["hero"] is None:
+            st["hero"], st["hero2"] = row["phash"], second
+        elif (_popcount(st["hero"], row["phash"]) > self.threshold
+              or (second is not None and known is not None and _popcount(known, second) > self.threshold)):
+            st["hero"], st["hero2"] = row["phash"], second
+            return "hero_change"
+        elif known is None:
+            st["hero2"] = second
+        return None
+
+    def maps(self, columns: list[str]) -> list[Mapper]:
+        """First the hero's cards, which nothing else changes; then, with those known, the board and the pot."""
+        def hero_step(st: dict, row: dict) -> list[dict]:
+            return [{"boundary": self._hero_change(st, row)}]
+
+        def see_hero(memory: dict, row: dict, _) -> int:
+            pair = row.get("phash"), row.get("phash2")
+            if row["kind"] != "hero" or pair[0] is None or pair in memory:
+                return 0
+            memory[pair] = True
+            return 1
+
+        def see_table(memory: dict, row: dict, outs: list[dict]) -> int:
+            """The state keeps the sign of the last board and a peak of at least all pots seen, as long as nothing resets it."""
+            if outs[0]["boundary"] == "hero_change":
+                return 2
+            value = row["value"]
+            if row["kind"] == "community" and value is not None:
+                now, before = int(value), memory.get("board")
+                memory["board"] = now
+                if before is None:
+                    return 1
+                return 2 if before > 0 and now == 0 else int((before > 0) != (now > 0))
+            if row["kind"] == "pot" and value is not None:
+                pot, top = (value, self._labelled(row)), memory.get("top")
+                if pot[1] and top is not None and value < top * NEW_HAND_POT_DROP:
+                    return 2
+                memory["top"] = value if top is None else max(top, value)
+                same, memory["pot"] = pot == memory.get("pot"), pot
+                return int(not same)
+            return 0
+
+        def after_boundary(row: dict) -> dict:
+            pot = row["value"] if row["kind"] == "pot" else None
+            return {"board": 0, "pot": pot, "peak": pot}
+
+        begins = lambda outs: outs[0]["boundary"] is not None
+        cards = ["kind", *(c for c in ("phash", "phash2") if c in columns)]
+        return [
+            Digest(hero_step, ["hero", "hero2"], cards, look=see_hero, resets=begins, after=lambda row: {"hero": row.get("phash"), "hero2": row.get("phash2")}),
+            Digest(self, ["board", "pot", "peak"], [*cards, "value", "text"], look=see_table, resets=begins, after=after_boundary)]
+
 
 class Debounce:
     """Drops a repeat within the window after the last accepted one (key: player, street, action)."""
@@ -118,6 +170,23 @@ class StackJump:
             st["prev"] = stack
         return [{**row, "stack": stack, "replaced": jump}]
 
+    def maps(self, columns: list[str]) -> list[Mapper]:
+        """A reading between two others that lie within the factor's square takes no state that those don't."""
+        def see(memory: dict, row: dict, _) -> int:
+            value = row["value"]
+            if value is None:
+                return 0
+            if value <= 0:
+                return 2
+            low, high = memory.get("low"), memory.get("high")
+            if low is not None and low <= value <= high and high <= 0.98 * self.factor * self.factor * low:
+                return 0
+            memory["low"], memory["high"] = (value, value) if low is None else (min(low, value), max(high, value))
+            return 1
+
+        return [Digest(self, ["prev"], ["value"], look=see, after=lambda row: {"prev": row["value"]},
+                       resets=lambda outs: outs[0]["value"] is not None and not outs[0]["replaced"])]
+
 
 class PotMonotone:
     """Ignores a pot that shrinks by more than a tenth (key: hand)."""
@@ -135,6 +204,17 @@ class PotMonotone:
             st["latest"] = value
         return [{**row, "accepted": ok, "pot_before": before, "pot": st["latest"]}]
 
+    def maps(self, columns: list[str]) -> list[Mapper]:
+        """Only a pot above all before it in its split can be the first to be accepted."""
+        def see(memory: dict, row: dict, _) -> int:
+            value, top = row["value"], memory.get("top")
+            if value is None or top is not None and value <= top:
+                return 0
+            memory["top"] = value
+            return 1
+
+        return [Digest(self, ["latest"], ["value"], look=see, resets=lambda outs: outs[0]["accepted"], after=lambda row: {"latest": row["value"]})]
+
 
 class Timer:
     """Attributes decision time and timebank use to the seat's next event (key: hand, seat).
@@ -189,6 +269,9 @@ class SeatLifecycle:
         return [{**row, "from_state": start, "effective_state": current, "legal": legal,
                  "promoted": promoted, "skippable": current in S.SKIPPABLE_STATES}]
 
+    def maps(self, columns: list[str]) -> list[Mapper]:
+        return [Table(self, "seat_state", [None, *S.SEAT_TRANSITIONS], ["target"])]
+
 
 class ShowdownGate:
     """Decides on one candidate reading of a seat's shown cards (key: table).
@@ -207,20 +290,21 @@ class ShowdownGate:
         hand = str(row["hand_id"])
         if m["hand"] != hand:
             m["hand"], m["at"], m["shown"] = hand, {}, {}
-        reason = self._decide(m, row, str(row["seat"]))
+        seat = str(row["seat"])
+        reason = self.gate(m["at"], row, seat) or self.weigh(m, row, seat)
         st["memory"] = json.dumps(m, sort_keys=True)
         return [{**row, "reason": reason, "accepted": reason == "accepted"}]
 
-    def _decide(self, m: dict, row: dict, seat: str) -> str:
+    def gate(self, at: dict, row: dict, seat: str) -> str | None:
+        """Why a reading goes no further, by itself and the time of the seat's last one that did (``at``)."""
         lim = self.limits
-        board = [c for c in (row["board"] or "").split(",") if c]
-        if len(board) < lim["board_cards"]:
+        if len(_cards(row["board"])) < lim["board_cards"]:
             return "gate1_board"
         if (row["live_seats"] or 0) < lim["min_live"]:
             return "gate2_live"
         if row["is_hero"]:
             return "hero_seat"
-        last = m["at"].get(seat)
+        last = at.get(seat)
         if last is not None and row["at"] - last < lim["throttle_s"] * 1e6:
             return "throttled"
         if row["hash_distance"] is None or row["hash_distance"] < lim["min_distance"]:
@@ -229,7 +313,12 @@ class ShowdownGate:
             return "dark_cards_area"
         if (row["texture"] or 0.0) < lim["min_texture"]:
             return "uniform_back"
-        m["at"][seat] = row["at"]
+        at[seat] = row["at"]
+        return None
+
+    def weigh(self, m: dict, row: dict, seat: str) -> str:
+        """What becomes of a reading that has passed the gates, by the shows of its hand and the last ones of its seat."""
+        lim, board = self.limits, _cards(row["board"])
         if seat in m["shown"]:
             return "already_accepted"
         cards = [row[c] for c, q in (("card1", "conf1"), ("card2", "conf2"))
@@ -253,6 +342,39 @@ class ShowdownGate:
         return "accepted"
 
 
+def _cards(board: str | None) -> list[str]:
+    return [c for c in (board or "").split(",") if c]
+
+
+class ShowdownThrottle:
+    """The part of the gate that one stretch of a hand decides (key: table, stretch); what passes has no reason yet."""
+
+    state = "at string"
+    extra = "reason string"
+
+    def __init__(self, gate: ShowdownGate):
+        self.gate = gate
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        st["at"] = st["at"] or {}
+        return [{**row, "reason": self.gate.gate(st["at"], row, str(row["seat"]))}]
+
+
+class ShowdownHistory:
+    """The rest of the gate, for readings that have passed so far (key: table)."""
+
+    state = "stretch bigint, shown string, hist string"
+    extra = ""
+
+    def __init__(self, gate: ShowdownGate):
+        self.gate = gate
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        if st["hist"] is None or st["stretch"] != row["stretch"]:
+            st["stretch"], st["shown"], st["hist"] = row["stretch"], {}, st["hist"] or {}
+        return [{**row, "reason": self.gate.weigh(st, row, str(row["seat"]))}]
+
+
 class Changed:
     """Passes action texts that differ from the last non-empty one (key: hand, seat)."""
 

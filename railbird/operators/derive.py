@@ -15,7 +15,9 @@ from railbird import schemas as S
 from railbird.functions import actions as A
 from railbird.functions import steps
 from railbird.functions.ordered import carried_fold, numbered, running, shifted, time_split
+from railbird.functions.prefix import prefix_fold
 from railbird.functions.semantics import chain, count_if, lookup
+from railbird.session import written
 
 WIDTH = "1 hour"
 # Within a tick the board and the pot are read before the seats.
@@ -29,13 +31,18 @@ def ddl(df: DataFrame, *, extra: str = "", without: tuple[str, ...] = ()) -> str
 
 def apply_step(
     df: DataFrame, keys: list[str], order: list[str], step, *, ts: str = "ts", forgets: Column | None = None,
-    split: Column | None = None,
+    split: Column | None = None, width: str | None = None,
 ) -> DataFrame:
     """Runs a step over each key in order; its columns come after the input's.
 
+    With ``width`` (for rules that have ``maps``) a key's splits of that width are folded side by side.
+
     Rows without a time have no place in the order and are left out; ``untimed`` gives them.
     """
     rows = df.where(F.col(ts).isNotNull()).withColumn("at", F.unix_micros(ts))
+    if width is not None:
+        out = prefix_fold(rows, keys, order, step, step.maps(rows.columns), ddl(rows, extra=step.extra), time_split(ts, width))
+        return out.drop("at")
     out = carried_fold(
         rows, keys, order, step=step, state_schema=step.state, output_schema=ddl(rows, extra=step.extra),
         forgets=forgets, split=split)
@@ -253,7 +260,7 @@ def segment_hands(
         observations = observations.withColumn("phash", F.lit(None).cast("bigint"))
     order = ["ts", "tick", "read_rank", "seat", "kind", "value", "text"]
     rows = observations.withColumn("read_rank", read_rank())
-    marked = apply_step(rows, ["table_id"], order, steps.Segment(threshold, pot_label))
+    marked = apply_step(rows, ["table_id"], order, steps.Segment(threshold, pot_label), width=width)
     return running(
         marked, ["table_id"], order, {"hand_no": ("count", F.col("boundary"))}, split=time_split("ts", width)).drop("read_rank")
 
@@ -298,10 +305,11 @@ def debounced(
 
 
 def cleaned_stacks(
-    observations: DataFrame, keys: list[str], *, factor: float = steps.STACK_JUMP, width: str = WIDTH,
+    observations: DataFrame, keys: list[str], *, factor: float = steps.STACK_JUMP, width: str | None = WIDTH,
 ) -> DataFrame:
+    """Stack readings without digit jumps.  ``width=None``: keys are small (a seat's hand)."""
     rows = observations.where(F.col("kind") == "stack")
-    return apply_step(rows, keys, ["ts", "tick", "value"], steps.StackJump(factor))
+    return apply_step(rows, keys, ["ts", "tick", "value"], steps.StackJump(factor), width=width)
 
 
 def cleaned_pots(observations: DataFrame, keys: list[str], *, width: str = WIDTH) -> DataFrame:
@@ -310,7 +318,7 @@ def cleaned_pots(observations: DataFrame, keys: list[str], *, width: str = WIDTH
     A peak never forgets, so it is a running maximum outside the fold.
     """
     rows = observations.where(F.col("kind") == "pot")
-    out = apply_step(rows, keys, ["ts", "tick", "value"], steps.PotMonotone())
+    out = apply_step(rows, keys, ["ts", "tick", "value"], steps.PotMonotone(), width=width)
     return running(out, keys, ["ts", "tick"], {"peak": ("max", F.col("pot"))}, split=time_split("ts", width))
 
 
@@ -325,11 +333,19 @@ def betting_state(events: DataFrame, *, split: Column | None = None) -> DataFram
         F.col("_top").isNull().alias("is_first_bet_this_street"))
 
 
-def decision_times(observations: DataFrame, keys: list[str], *, width: str = WIDTH) -> DataFrame:
-    """Decision time and timebank of every action reading."""
-    rows = observations.where(F.col("kind").isin("timer", "action"))
-    rows = rows.withColumn("read_rank", read_rank())
-    return apply_step(rows, keys, ["ts", "tick", "read_rank", "value"], steps.Timer()).drop("read_rank")
+def decision_times(observations: DataFrame, keys: list[str], *, width: str | None = WIDTH) -> DataFrame:
+    """Decision time and timebank of every action reading.
+
+    An action ends all that the rule remembers, so long keys are cut behind actions; ``width=None``: keys are small.
+    """
+    order = ["ts", "tick", "read_rank", "value"]
+    rows = observations.where(F.col("kind").isin("timer", "action")).withColumn("read_rank", read_rank())
+    if width is None:
+        return apply_step(rows, keys, order, steps.Timer()).drop("read_rank")
+    split = time_split("ts", width)
+    rows = shifted(rows.where(F.col("ts").isNotNull()), keys, order, {"_before": F.col("kind")}, split=split)
+    out = apply_step(rows, keys, order, steps.Timer(), forgets=F.col("_before") == "action", split=split)
+    return out.drop("read_rank", "_before")
 
 
 def pointer_events(scans: DataFrame, keys: list[str], *, recent_s: float = 5.0, width: str = WIDTH) -> DataFrame:
@@ -363,8 +379,18 @@ def showdown_decisions(candidates: DataFrame, *, width: str = WIDTH, **limits: f
     ``candidates``: table_id, hand_id, tick, ts, seat, board (comma separated),
     live_seats, is_hero, hash_distance, brightness, texture, card1, conf1, card2,
     conf2; a card's confidence is the lower one of rank and suit.
+
+    Most readings are decided by themselves and by the clock of their hand's stretch, side by side; only those
+    that pass, one a second and seat at most, go through their table's history.
     """
-    return apply_step(candidates, ["table_id"], ["ts", "tick", "seat", "card1", "card2"], steps.ShowdownGate(**limits))
+    gate, order, split = steps.ShowdownGate(**limits), ["ts", "tick", "seat", "card1", "card2"], time_split("ts", width)
+    rows = shifted(candidates.where(F.col("ts").isNotNull()), ["table_id"], order, {"_hand": F.col("hand_id"), "_any": F.lit(1)}, split=split)
+    new = F.col("_any").isNull() | ~F.col("_hand").eqNullSafe(F.col("hand_id"))
+    rows = running(rows, ["table_id"], order, {"stretch": ("sum", new.cast("bigint"))}, split=split).drop("_hand", "_any")
+    gated = written(apply_step(rows, ["table_id", "stretch"], order, steps.ShowdownThrottle(gate)))
+    weighed = apply_step(gated.where("reason is null"), ["table_id"], order, steps.ShowdownHistory(gate))
+    out = gated.where("reason is not null").unionByName(weighed).drop("stretch")
+    return out.withColumn("accepted", F.col("reason") == "accepted")
 
 
 def showdown_summary(boards: DataFrame, events: DataFrame, shown: DataFrame) -> DataFrame:
@@ -388,7 +414,7 @@ def showdown_summary(boards: DataFrame, events: DataFrame, shown: DataFrame) ->
 
 def seat_lifecycle(changes: DataFrame, *, width: str = WIDTH) -> DataFrame:
     """Effective seat states from observed ones (``table_id, seat, tick, ts, target``)."""
-    return apply_step(changes, ["table_id", "seat"], ["ts", "tick", "target"], steps.SeatLifecycle())
+    return apply_step(changes, ["table_id", "seat"], ["ts", "tick", "target"], steps.SeatLifecycle(), width=width)
 
 
 def phase_transitions() -> dict[str, list[str]]:

@@ -33,7 +33,7 @@ def observed_hands(observations: DataFrame, *, pot_label: str | None = steps.POT
 
 def _seat_actions(rows: DataFrame, width: str) -> DataFrame:
     """Changed, readable action texts with the seat's stack before and at their tick."""
-    stacks = D.cleaned_stacks(rows, ["hand_id", "seat"], width=width)
+    stacks = D.cleaned_stacks(rows, ["hand_id", "seat"], width=None)
     acts = D.action_changes(rows, ["hand_id", "seat"], width=width).withColumn("p", A.parse_action("text"))
     facts = F.struct("table_id", "text", "street", "pot_before", "pot_after", "p")
     key = ["hand_id", "seat", "ts", "tick"]
@@ -84,7 +84,7 @@ def observed_events(
 
     clock = rows.where(F.col("kind") == "timer").select("hand_id", "seat", "ts", "tick", "kind", "value").unionByName(
         kept.select("hand_id", "seat", "ts", "tick", F.lit("action").alias("kind"), F.lit(None).cast("double").alias("value")))
-    times = D.decision_times(clock, ["hand_id", "seat"], width=width).select(
+    times = D.decision_times(clock, ["hand_id", "seat"], width=None).select(
         "hand_id", "seat", "tick", "decision_time_ms", "used_timebank")
     out = kept.join(times, ["hand_id", "seat", "tick"], "left")
     return out.select(
