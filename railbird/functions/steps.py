@@ -23,6 +23,8 @@ POT_DROP = 0.9
 NEW_HAND_POT_DROP = 0.5
 POT_LABEL = "总底池"
 HERO_HASH_THRESHOLD = 10
+SEAT_SWAP = 12
+PLACEHOLDER = "TempUser_"
 TIMEBANK_JUMP = 2
 SHOWDOWN = {
     "board_cards": 5, "min_live": 2, "throttle_s": 1.0, "min_distance": 6, "min_brightness": 120.0,
@@ -273,6 +275,48 @@ class SeatLifecycle:
         return [Table(self, "seat_state", [None, *S.SEAT_TRANSITIONS], ["target"])]
 
 
+class SeatName:
+    """The name a seat keeps from hand to hand (key: table, seat).
+
+    ``readable`` is a name reading, or nothing where it can't be a name.  A real name stays until the avatar
+    differs by more than ``swap`` bits; a placeholder, made from the avatar, gives way to the first real name.
+    """
+
+    state = "name string, phash bigint"
+    extra = "player_name string, renamed boolean, assigned boolean"
+
+    def __init__(self, swap: int = SEAT_SWAP):
+        self.swap = swap
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        before, known, seen, text = st["name"], st["phash"], row["phash"], row["readable"]
+        swapped = before is not None and known is not None and seen is not None and _popcount(known, seen) > self.swap
+        open_ = before is None or swapped or before.startswith(PLACEHOLDER)
+        new = self._new(row) if open_ and (text or before is None or swapped) else None
+        if new is not None:
+            st["name"], st["phash"] = new, seen
+        elif known is None:
+            st["phash"] = seen
+        return [{**row, "player_name": st["name"], "renamed": st["name"] != before, "assigned": new is not None}]
+
+    def _new(self, row: dict) -> str | None:
+        if row["readable"]:
+            return row["readable"]
+        return None if row["phash"] is None else f"{PLACEHOLDER}{row['phash'] & 0xFFFFFFFFFFFFFFFF:064b}"[: len(PLACEHOLDER) + 8]
+
+    def maps(self, columns: list[str]) -> list[Mapper]:
+        """The same reading says nothing new to a name that it left as it was."""
+        def see(memory: dict, row: dict, _) -> int:
+            pair = row["readable"], row["phash"]
+            if pair == (None, None) or pair in memory:
+                return 0
+            memory[pair] = True
+            return 1
+
+        return [Digest(self, ["name", "phash"], ["readable", "phash"], look=see, resets=lambda outs: outs[0]["assigned"],
+                       after=lambda row: {"name": self._new(row), "phash": row["phash"]})]
+
+
 class ShowdownGate:
     """Decides on one candidate reading of a seat's shown cards (key: table).
 

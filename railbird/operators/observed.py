@@ -11,6 +11,7 @@ from railbird.functions.ordered import numbered, running, shifted, time_split
 from railbird.operators import derive as D
 from railbird.session import written
 
+
 def observed_hands(observations: DataFrame, *, pot_label: str | None = steps.POT_LABEL, width: str = D.WIDTH) -> DataFrame:
     """Observations with their hand, street and the pot before and after their tick.
 
@@ -28,7 +29,7 @@ def observed_hands(observations: DataFrame, *, pot_label: str | None = steps.POT
     ticks = rows.groupBy("hand_id", "ts", "tick").agg(
         F.max_by("pot_latest", F.struct("read", F.coalesce("seat", F.lit(-1)), "kind", F.coalesce("value", F.lit(0.0)))).alias("pot_after"))
     ticks = shifted(ticks, ["hand_id"], ["ts", "tick"], {"pot_before": F.col("pot_after")}, split=split)
-    return written(rows.join(ticks.drop("ts"), ["hand_id", "tick"]))
+    return written(rows.join(ticks, ["hand_id", "ts", "tick"]).select(*rows.columns, "pot_after", "pot_before"))
 
 
 def _seat_actions(rows: DataFrame, width: str) -> DataFrame:
@@ -52,14 +53,27 @@ def observed_events(
     observations: DataFrame, *, players: DataFrame | None = None, pot_label: str | None = steps.POT_LABEL,
     debounce_s: float = steps.DEBOUNCE_SECONDS, width: str = D.WIDTH, posted: int = 2, attention: bool = False,
 ) -> DataFrame:
-    """Scored action events.  ``players``: table_id, seat, player_name and position, where known.
+    """Scored action events.  ``players``: table_id, seat, player_name and position, where known and always the same;
+    ``operators.hands.feed`` finds names, positions and posts of every hand instead.
 
     A seat that has folded is not read again in its hand; with ``attention`` neither is one that is all in.
 
     Low-confidence events are included; ``sources.tables`` routes them.
     """
-    split: Column = time_split("ts", width)
     rows = observed_hands(observations, pot_label=pot_label, width=width)
+    return events_of(rows, seats=players, posted=posted, debounce_s=debounce_s, width=width, attention=attention)
+
+
+def events_of(
+    rows: DataFrame, *, seats: DataFrame | None = None, posted: int | DataFrame = 2, debounce_s: float = steps.DEBOUNCE_SECONDS,
+    width: str = D.WIDTH, attention: bool = False,
+) -> DataFrame:
+    """Scored action events of ``observed_hands``.
+
+    ``seats``: player_name and position by table_id and seat, or by hand_id and seat.  ``posted``: how many
+    posts come before a hand's events, one number or a table of hand_id and posted (none: no posts).
+    """
+    split: Column = time_split("ts", width)
     acts = _seat_actions(rows, width)
     out_of_it = F.col("text_action").isin(["fold", "all_in"] if attention else ["fold"])
     acts = running(acts, ["hand_id", "seat"], ["ts", "tick"], {"_out": ("max", out_of_it)}, split=split, inclusive=False)
@@ -74,10 +88,11 @@ def observed_events(
     judged = written(judged)
 
     seat = F.concat(F.lit("Player_"), F.col("seat").cast("string"))
-    if players is None:
+    if seats is None:
         named = judged.withColumns({"player_name": seat, "position": F.lit("UTG")})
     else:
-        named = judged.join(players, ["table_id", "seat"], "left").withColumns({
+        of = "hand_id" if "hand_id" in seats.columns else "table_id"
+        named = judged.join(seats.select(of, "seat", "player_name", "position"), [of, "seat"], "left").withColumns({
             "player_name": F.coalesce("player_name", seat), "position": F.coalesce("position", F.lit("UTG"))})
     kept = D.debounced(named, order=["ts", "tick", "seat"], seconds=debounce_s).where("accepted")
     kept = written(kept)
@@ -87,9 +102,13 @@ def observed_events(
     times = D.decision_times(clock, ["hand_id", "seat"], width=None).select(
         "hand_id", "seat", "tick", "decision_time_ms", "used_timebank")
     out = kept.join(times, ["hand_id", "seat", "tick"], "left")
+    if isinstance(posted, DataFrame):
+        out = out.join(posted, "hand_id", "left").withColumn("posted", F.coalesce("posted", F.lit(0)))
+    else:
+        out = out.withColumn("posted", F.lit(posted))
     return out.select(
         F.concat_ws("-", "hand_id", F.col("sequence_number").cast("string")).alias("id"), "hand_id", "player_name",
-        "position", "street", "action_type", (F.col("sequence_number") + posted).cast("int").alias("sequence_number"),
+        "position", "street", "action_type", (F.col("sequence_number") + F.col("posted")).cast("int").alias("sequence_number"),
         "amount", "confidence_score", F.col("ts").alias("timestamp"), F.col("ts").alias("created_at"),
         F.struct(
             "action_text", "stack_before", "stack_after", "stack_delta", "pot_before", "pot_after", "pot_delta",

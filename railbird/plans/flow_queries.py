@@ -107,10 +107,18 @@ QUERIES = {
 }
 
 
-_FLOW = f"""
-  with seg as ({dq._SEGMENT}),
+def flow_sql(named: bool = False) -> str:
+    """The observation flow in SQL.  ``named``: inside a statement that has the rows of a feed in ``r`` and who sits where in ``seats``."""
+    if named:
+        rows = "with rows0 as (select * exclude (street) from r where kind in ('action', 'stack', 'timer', 'pot', 'community')),"
+        people = "judged as (select j.*, coalesce(p.player_name, 'Player_' || j.seat) as player_name, coalesce(p.position, 'UTG') as position from scored j left join seats p using (hand_id, seat)),"
+    else:
+        rows = f"""with seg as ({dq._SEGMENT}),
   rows0 as (select o.*, o.table_id || '-' || s.hand_no as hand_id, s.pot_latest as pot_after from obs o
-    join seg s on s.table_id = o.table_id and s.tick = o.tick),
+    join seg s on s.table_id = o.table_id and s.tick = o.tick),"""
+        people = "judged as (select *, 'Player_' || seat as player_name, 'UTG' as position from scored),"
+    return f"""
+  {rows}
   rows1 as (select *, lag(pot_after) over w as pot_before, coalesce(last_value(case when kind = 'community' then
         case when value = 0 then 'preflop' when value = 3 then 'flop' when value = 4 then 'turn' when value >= 5 then 'river' end end
         ignore nulls) over (partition by hand_id order by ts, tick rows unbounded preceding), 'preflop') as street
@@ -137,8 +145,9 @@ _FLOW = f"""
       order by ts, tick, seat rows between unbounded preceding and 1 preceding), 0)::double as current_to_call from numbered),
   b as (select *, current_to_call = 0 as is_first_bet_this_street, (stack_before - stack_after)::double as stack_delta,
       pot_after - pot_before as pot_delta from faced),
-  judged as (with {dq._JUDGED[dq._JUDGED.index("  c as (select"):].strip()}),
-  lists as (select table_id, seat, street, action_type, list({{'h': hand_id, 'n': nr, 's': ts}} order by ts, tick) as xs from judged group by all),
+  scored as (with {dq._JUDGED[dq._JUDGED.index("  c as (select"):].strip()}),
+  {people}
+  lists as (select table_id, player_name, street, action_type, list({{'h': hand_id, 'n': nr, 's': ts}} order by ts, tick) as xs from judged group by all),
   kept as (select unnest(list_reduce(xs, lambda a, x: if(a.l is null or x.s - a.l >= interval 60 second,
       {{'l': x.s, 'o': list_append(a.o, {{'h': x.h, 'n': x.n}})}}, a),
       {{'l': null::timestamp, 'o': []::struct(h varchar, n bigint)[]}}).o) as k from lists),
@@ -150,7 +159,7 @@ _FLOW = f"""
   jumps as (select *, lag(value) over (partition by hand_id, seat, run, kind order by ts, tick) as pv from runs),
   times as (select hand_id, seat, min(ts) filter (kind = 'timer') as s, max(tick) filter (kind = 'action') as tick,
       max(ts) filter (kind = 'action') as e, count(*) filter (kind = 'timer' and value > pv + 2) as up from jumps group by hand_id, seat, run)
-  select hand_id || '-' || nr as id, hand_id, 'Player_' || seat as player_name, 'UTG' as position, street, action_type,
+  select hand_id || '-' || nr as id, hand_id, player_name, position, street, action_type,
     nr + 2 as sequence_number, amount, confidence_score, {ts('ts')} as timestamp, {ts('ts')} as created_at, text as action_text,
     stack_before, stack_after, stack_delta, pot_before, pot_after, pot_delta, text_action as text_derived_action,
     stack_action as stack_derived_action, override_reason, epoch_us(e - s) // 1000 as decision_time_ms, up > 0 as used_timebank,
@@ -183,7 +192,7 @@ ORACLE = {
         select id || '-' || a as id, id as hand_id, seats[pos] as player_name, pos as position, a as action_type,
           if(pos = 'SB', 1, 2) as sequence_number, amount, si[s::varchar] - amount as stack_after, true as synthetic
         from p where amount is not null and seats[pos] is not null"""),
-    "observed_events": sql(_FLOW),
+    "observed_events": sql(flow_sql()),
     "stream_action_changes": dq.ORACLE["action_changes"],
     "stream_debounced_events": dq.ORACLE["debounced_events"],
     "stream_cleaned_stacks": dq.ORACLE["cleaned_stacks"],

@@ -54,7 +54,12 @@ def targets(rnd, n):
     return [{"target": rnd.choice(["empty", "sitting_out", "active", "folded", "all_in", "leaving", "new_hand", "odd"])} for _ in range(n)]
 
 
-RULES = {"segment": (steps.Segment(), readings), "any pot": (steps.Segment(label=None), readings), "stack": (steps.StackJump(), numbers),
+def names(rnd, n):
+    pool = [None, 3, 4, 3 ^ 0xFFFF, 1 << 40, (1 << 40) ^ 0xFFFFF]
+    return [{"readable": rnd.choice([None, None, "ann", "bob", "cy"]), "phash": rnd.choice(pool)} for _ in range(n)]
+
+
+RULES = {"name": (steps.SeatName(), names), "segment": (steps.Segment(), readings), "any pot": (steps.Segment(label=None), readings), "stack": (steps.StackJump(), numbers),
          "pot": (steps.PotMonotone(), numbers), "seat": (steps.SeatLifecycle(), targets)}
 
 
@@ -69,7 +74,7 @@ def test_maps_give_the_states_of_the_fold(name):
         cuts = sorted({0, len(rows), *(rnd.randrange(len(rows)) for _ in range(rnd.randrange(8)))})
         trail = states_after(step, rows)
         known = [{} for _ in cuts]
-        for mapper in step.maps(["kind", "value", "text", "phash", "phash2", "target"]):
+        for mapper in step.maps(["kind", "value", "text", "phash", "phash2", "target", "readable"]):
             state = dict.fromkeys(mapper.fields)
             for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 assert plain(state) == plain({f: trail[a][f] for f in mapper.fields}), (seed, n)
