@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from railbird.operators import derive as d
 from railbird.operators import observed
 from railbird.plans import derive_queries as dq
-from railbird.plans.base import Tables, query, sql, ts
+from railbird.plans.base import Tables, query, rnd, sql, ts
 from railbird.session import ensure_checkpoint_dir
 from railbird.sources import derivations, tables
 from railbird.streaming import jobs, processors
@@ -59,13 +59,34 @@ def _routed(t: Tables) -> DataFrame:
     return kept.unionByName(low).groupBy("hand_id", "sink", "player_name").agg(F.count("*").alias("n"))
 
 
-def _event_alert_windows(t: Tables) -> DataFrame:
+def _alert_windows(t: Tables, alerts: DataFrame, *fields: str) -> DataFrame:
+    out = _drain(t, alerts).select("feed", "window_start", "tag", "level", *[
+        F.get_json_object("payload", f"$.{f}").cast("double").alias(f) for f in fields])
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp"))
+
+
+def _diagnostic_alerts(t: Tables) -> DataFrame:
     """Health windows over the diagnostics the events stand for, six hours each."""
     diag = _stream(t, EVENTS).select(
         F.when(F.col("event_type") == "error", "WARN").otherwise("INFO").alias("level"), F.col("ts").alias("occurred_at"))
-    alerts = jobs.diagnostic_alerts(diag, window="6 hours", at_most=20)
-    return _drain(t, alerts).select("window_start", "tag", "level", F.get_json_object("payload", "$.warn_error_count")
-                                    .cast("bigint").alias("warn_error_count"))
+    return _alert_windows(t, jobs.diagnostic_alerts(jobs.diagnostic_windows(diag, window="6 hours"), at_most=20), "warn_error_count")
+
+
+def _hand_alerts(t: Tables) -> DataFrame:
+    """A hand starts at every purchase of a few users; all other events tell that time goes on."""
+    rows = _stream(t, EVENTS).withColumn("feed_of", F.concat(F.lit("F"), F.col("user_id") % 3))
+    hands = rows.where("event_type = 'purchase' and user_id % 10 < 3").withColumnRenamed("ts", "started_at")
+    beats = rows.where("not (event_type = 'purchase' and user_id % 10 < 3)").withColumnRenamed("ts", "at")
+    windows = jobs.hand_windows(hands, beats, key="feed_of", window="1 hour")
+    return _alert_windows(t, jobs.hand_alerts(windows, at_least=2), "hands_last_30min")
+
+
+def _event_alerts(t: Tables) -> DataFrame:
+    rows = _stream(t, EVENTS).select(
+        F.col("ts").alias("timestamp"), (F.lit(0.5) + F.col("user_id") % 3 / 8).alias("confidence_score"), F.struct(
+            F.when(F.col("event_type") == "click", "x").alias("override_reason"), F.when(F.col("event_id") % 9 < 4, 1.0).alias("stack_delta")).alias("raw"))
+    return _alert_windows(t, jobs.event_alerts(jobs.event_windows(rows, window="1 hour"), baseline_conf=0.7),
+                          "drop_pct", "recent_override_count", "stack_null_count", "rate_pct")
 
 
 KEYS = dq.KEYS
@@ -103,7 +124,9 @@ QUERIES = {
     "stream_seat_lifecycle": query(lambda t: _drain(t, jobs.seat_lifecycle(_stream(t, dq.TARGETS))).drop("late")),
     "stream_hand_phases": query(lambda t: _drain(t, jobs.hand_phases(_stream(t, dq.PHASES))).drop("late")),
     "stream_parsed_actions": query(lambda t: _drain(t, jobs.parsed_actions(_stream(t, derivations.OBSERVATIONS)))),
-    "stream_diagnostic_alerts": query(_event_alert_windows),
+    "stream_diagnostic_alerts": query(_diagnostic_alerts),
+    "stream_hand_alerts": query(_hand_alerts),
+    "stream_event_alerts": query(_event_alerts),
 }
 
 
@@ -210,9 +233,25 @@ ORACLE = {
     "stream_seat_lifecycle": dq.ORACLE["seat_lifecycle"],
     "stream_hand_phases": _columns("hand_phases", "hand_id, tick, ts, phase, from_phase, legal"),
     "stream_parsed_actions": dq.ORACLE["parse_actions"],
-    "stream_diagnostic_alerts": sql("""
-        with w as (select time_bucket(interval 6 hour, ts) as b, count(*) as n, max(b) over () as newest
-                   from events where event_type = 'error' group by 1)
-        select strftime(b, '%Y-%m-%d %H:%M:%S.%f') as window_start, 'health.diag_burst' as tag, 'WARN' as level, n as warn_error_count
-        from w where n > 20 and b < newest"""),
+    # A window is told once its end lies a minute (the allowed delay) behind the newest reading.
+    "stream_diagnostic_alerts": sql(f"""
+        with w as (select time_bucket(interval 6 hour, ts) as b, count(*) filter (event_type = 'error') as n from events group by 1)
+        select 'all' as feed, {ts('b')} as window_start, 'health.diag_burst' as tag, 'WARN' as level, n::double as warn_error_count
+        from w where n > 20 and b + interval 6 hour <= (select max(ts) - interval 1 minute from events)"""),
+    "stream_hand_alerts": sql(f"""
+        with e as (select *, 'F' || user_id % 3 as feed, event_type = 'purchase' and user_id % 10 < 3 as hand from events),
+        f as (select feed, time_bucket(interval 1 hour, min(ts)) as a from e group by 1),
+        w as (select feed, unnest(generate_series(a, (select max(ts) - interval 61 minute from events), interval 1 hour)) as b from f),
+        c as (select feed, time_bucket(interval 1 hour, ts) as b, count(*) filter (hand) as n from e group by all)
+        select feed, {ts('b')} as window_start, 'health.low_hand_rate' as tag, 'WARN' as level, coalesce(n, 0)::double as hands_last_30min
+        from w left join c using (feed, b) where coalesce(n, 0) < 2"""),
+    "stream_event_alerts": sql(f"""
+        with e as (select time_bucket(interval 1 hour, ts) as b, count(*) as n, avg(0.5 + user_id % 3 / 8) as conf, count(*) filter (event_type = 'click') as o,
+            count(*) filter (event_id % 9 >= 4) as u from events group by 1),
+        w as (select *, (0.7::double - conf) * 100 / 0.7::double as d from e where b + interval 1 hour <= (select max(ts) - interval 1 minute from events)),
+        a as (select b, 'health.conf_dropped' as tag, {rnd('d', 1)} as drop_pct, null as o, null as u, null as rate from w where d > 10
+          union all select b, 'health.override_spike', null, o, null, {rnd('o * 100.0 / n', 1)} from w where n > 10 and o * 100.0 / n > 10
+          union all select b, 'health.stack_ocr_degraded', null, null, u, {rnd('u * 100.0 / n', 1)} from w where n > 10 and u * 100.0 / n > 50)
+        select 'all' as feed, {ts('b')} as window_start, tag, 'WARN' as level, drop_pct::double as drop_pct, o::double as recent_override_count,
+          u::double as stack_null_count, rate::double as rate_pct from a"""),
 }

@@ -8,12 +8,12 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from railbird.functions import actions as A
 from railbird.functions import steps
-from railbird.functions.semantics import count_if, round_half_away
+from railbird.functions.semantics import round_half_away
 from railbird.operators.decisions import live_seats
 from railbird.operators.derive import debounce_keys, read_rank
 from railbird.operators.health import HINTS
 from railbird.sources.tables import write_routed
-from railbird.streaming.processors import stateful
+from railbird.streaming.processors import stateful, windowed_sums
 
 WATERMARK = "1 minute"
 
@@ -125,48 +125,79 @@ def _alert(tag: str, failed: Column, **payload: Column) -> Column:
 
 
 def _alerts(windows: DataFrame, *alerts: Column) -> DataFrame:
-    return windows.select(
-        F.col("w.start").alias("window_start"), F.inline(F.filter(F.array(*alerts), lambda a: a.isNotNull())))
+    return windows.where("not late").select(
+        "feed", "window_start", F.inline(F.filter(F.array(*alerts), lambda a: a.isNotNull())))
 
 
-def hand_alerts(hands: DataFrame, *, window: str = "30 minutes", delay: str = WATERMARK, at_least: int = 5) -> DataFrame:
-    """Windows with too few hands.  A window without any hand has no row to report;
-    the batch check covers silence."""
-    counts = hands.withWatermark("started_at", delay).groupBy(F.window("started_at", window).alias("w")).agg(
-        F.count("*").alias("n"))
-    return _alerts(counts, _alert("health.low_hand_rate", F.col("n") < at_least, hands_last_30min=F.col("n"),
-                                  threshold=F.lit(at_least)))
+def hand_windows(hands: DataFrame, beats: DataFrame | None = None, *, key: str | None = None, window: str = "30 minutes", delay: str = WATERMARK) -> DataFrame:
+    """Hands started in every window, silent ones included, and late rows.
 
+    ``beats`` (a timestamp ``at``, and ``key``) tell that time goes on while no hand starts: any stream of the
+    pipeline will do.  Without them a silence is told once the next hand comes.  ``key`` counts apart, by table say.
+    """
+    named = lambda df: df.withColumn("feed", F.col(key) if key else F.lit("all"))
+    rows = named(hands).select("feed", F.col("started_at").alias("ts"), F.lit(1).alias("n"))
+    if beats is not None:
+        rows = rows.unionByName(named(beats).select("feed", F.col("at").alias("ts"), F.lit(0).alias("n")))
+    return windowed_sums(rows, ["feed"], ["n"], ts="ts", window=window, delay=delay)
 
-def event_alerts(
-    events: DataFrame, *, window: str = "30 minutes", delay: str = WATERMARK, baseline_conf: float | None = None,
-) -> DataFrame:
-    """Windows with many overrides, many unread stacks, or confidence well under the baseline."""
-    c = F.col
-    stats = events.withWatermark("timestamp", delay).groupBy(F.window("timestamp", window).alias("w")).agg(
-        F.count("*").alias("n"), F.avg("confidence_score").alias("conf"),
-        count_if(c("raw.override_reason").isNotNull()).alias("over"), count_if(c("raw.stack_delta").isNull()).alias("nulls"))
+
+def hand_alerts(windows: DataFrame, *, at_least: int = 5) -> DataFrame:
+    """Windows of ``hand_windows`` with too few hands, or none."""
+    n = F.col("n").cast("bigint")
+    return _alerts(windows, _alert("health.low_hand_rate", n < at_least, hands_last_30min=n, threshold=F.lit(at_least)))
+
+
+def event_windows(events: DataFrame, *, key: str | None = None, window: str = "30 minutes", delay: str = WATERMARK) -> DataFrame:
+    """What the event alerts need of every window: counts and the sum of the confidence, and late rows."""
+    c, one = F.col, lambda cond: F.when(cond, 1).otherwise(0)
+    rows = events.select(
+        (c(key) if key else F.lit("all")).alias("feed"), "timestamp", F.lit(1).alias("n"), c("confidence_score").alias("conf"),
+        one(c("confidence_score").isNotNull()).alias("n_conf"), one(c("raw.override_reason").isNotNull()).alias("over"), one(c("raw.stack_delta").isNull()).alias("nulls"))
+    return windowed_sums(rows, ["feed"], ["n", "conf", "n_conf", "over", "nulls"], ts="timestamp", window=window, delay=delay)
+
+
+def event_alerts(windows: DataFrame, *, baseline_conf: float | None = None) -> DataFrame:
+    """Windows of ``event_windows`` with many overrides, many unread stacks, or confidence well under the baseline."""
+    c, whole = F.col, lambda x: F.col(x).cast("bigint")
     rate = lambda x: F.try_divide(c(x) * 100.0, c("n"))
-    base = F.lit(baseline_conf).cast("double")
-    drop = F.try_divide((base - c("conf")) * 100, base)
+    base, mean = F.lit(baseline_conf).cast("double"), F.try_divide("conf", "n_conf")
+    drop = F.try_divide((base - mean) * 100, base)
     return _alerts(
-        stats,
-        _alert("health.conf_dropped", drop > 10, recent_avg_conf=round_half_away("conf", 3),
+        windows,
+        _alert("health.conf_dropped", drop > 10, recent_avg_conf=round_half_away(mean, 3),
                historic_avg_conf=base, drop_pct=round_half_away(drop, 1)),
-        _alert("health.override_spike", (c("n") > 10) & (rate("over") > 10), recent_override_count=c("over"),
-               recent_total=c("n"), rate_pct=round_half_away(rate("over"), 1)),
-        _alert("health.stack_ocr_degraded", (c("n") > 10) & (rate("nulls") > 50), stack_null_count=c("nulls"),
-               total=c("n"), rate_pct=round_half_away(rate("nulls"), 1)))
+        _alert("health.override_spike", (c("n") > 10) & (rate("over") > 10), recent_override_count=whole("over"),
+               recent_total=whole("n"), rate_pct=round_half_away(rate("over"), 1)),
+        _alert("health.stack_ocr_degraded", (c("n") > 10) & (rate("nulls") > 50), stack_null_count=whole("nulls"),
+               total=whole("n"), rate_pct=round_half_away(rate("nulls"), 1)))
 
 
-def diagnostic_alerts(
-    diagnostics: DataFrame, *, window: str = "30 minutes", delay: str = WATERMARK, at_most: int = 20,
-) -> DataFrame:
-    bad = diagnostics.where(F.col("level").isin("WARN", "ERROR"))
-    counts = bad.withWatermark("occurred_at", delay).groupBy(F.window("occurred_at", window).alias("w")).agg(
-        F.count("*").alias("n"))
-    return _alerts(counts, _alert("health.diag_burst", F.col("n") > at_most, warn_error_count=F.col("n"),
-                                  threshold=F.lit(at_most)))
+def diagnostic_windows(diagnostics: DataFrame, *, key: str | None = None, window: str = "30 minutes", delay: str = WATERMARK) -> DataFrame:
+    """Warnings and errors of every window, and late rows; other diagnostics only move the time on."""
+    bad = F.col("level").isin("WARN", "ERROR")
+    rows = diagnostics.select((F.col(key) if key else F.lit("all")).alias("feed"), "occurred_at", F.when(bad, 1).otherwise(0).alias("n"))
+    return windowed_sums(rows, ["feed"], ["n"], ts="occurred_at", window=window, delay=delay)
+
+
+def diagnostic_alerts(windows: DataFrame, *, at_most: int = 20) -> DataFrame:
+    n = F.col("n").cast("bigint")
+    return _alerts(windows, _alert("health.diag_burst", n > at_most, warn_error_count=n, threshold=F.lit(at_most)))
+
+
+def split_late(windows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Windows to one table and the rows that came behind their window to another, so that none is lost and counts add up.
+
+    Every batch owns a folder in each, named by its query's id and its number: a replayed batch replaces itself.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch = batch.persist()
+        for name, rows in (("windows", batch.where("not late")), ("late", batch.where("late"))):
+            rows.drop("late").write.mode("overwrite").parquet(f"{path}/{name}/batch={query}-{batch_id}")
+        batch.unpersist()
+
+    return windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 # ------------------------------------------------------------ live table

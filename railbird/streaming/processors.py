@@ -89,3 +89,76 @@ def stateful(
     return rows.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=RuleProcessor(step, order, inputs, outputs, ttl_ms), outputStructType=outputs,
         outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime").drop("at")
+
+
+class WindowProcessor(StatefulProcessor):
+    """Sums of a key's rows by window, told when event time passes a window's end, whether rows came or not.
+
+    A timer stands at the end of the oldest open window and moves on by itself, so windows in which
+    a key is silent come out with zeros.  A row of a window that has been told comes out as a late row with its own
+    values; it is in no sum.  So the sums and the late rows together hold every row once.
+    """
+
+    def __init__(self, keys: list[str], values: list[str], micros: int, outputs: T.StructType):
+        self.keys, self.values, self.micros, self.outputs = keys, values, micros, outputs
+        self.slot, self.sums, self.edge = parse_schema("start bigint"), parse_schema("sums array<double>"), parse_schema("open bigint")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.windows = handle.getMapState("windows", self.slot, self.sums)
+        self.front = handle.getValueState("front", self.edge)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        start = batch["at"] // self.micros * self.micros
+        if self.front.exists():
+            front = self.front.get()[0]
+        else:
+            front = int(start.min())
+            self.front.update((front,))
+            self._wake(front)
+        late = start < front
+        for begin, part in batch[~late].groupby(start[~late]):
+            slot = (int(begin),)
+            known = self.windows.getValue(slot)[0] if self.windows.containsKey(slot) else [0.0] * len(self.values)
+            self.windows.updateValue(slot, ([a + float(b) for a, b in zip(known, part[self.values].sum(), strict=True)],))
+        yield self._told(key, [(int(s), row, True) for s, row in zip(start[late], batch[late][self.values].fillna(0.0).values.tolist())])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, front, out = timerValues.getCurrentWatermarkInMs() * 1000, self.front.get()[0], []
+        while front + self.micros <= now:
+            slot, sums = (front,), [0.0] * len(self.values)
+            if self.windows.containsKey(slot):
+                sums = list(self.windows.getValue(slot)[0])
+                self.windows.removeKey(slot)
+            out.append((front, sums, False))
+            front += self.micros
+        self.front.update((front,))
+        self._wake(front)
+        yield self._told(key, out)
+
+    def _wake(self, front: int) -> None:
+        self.handle.registerTimer(-(-(front + self.micros) // 1000))
+
+    def _told(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        columns = [[k] * len(rows) for k in key] + [[pd.Timestamp(s, unit="us", tz="UTC") for s, _, _ in rows]]
+        columns += [[r[1][n] for r in rows] for n in range(len(self.values))] + [[r[2] for r in rows]]
+        return pd.DataFrame({name: pd.Series(c, dtype=object) for name, c in zip(self.outputs.names, columns, strict=True)})
+
+    def close(self) -> None:
+        pass
+
+
+def windowed_sums(df: DataFrame, keys: list[str], values: list[str], *, ts: str, window: str, delay: str) -> DataFrame:
+    """keys, window_start, the sums of ``values`` and ``late`` for every window of every key, silent ones included.
+
+    From a key's first row on, a window is told once event time (of all keys) has passed its end by ``delay``.
+    """
+    number, unit = window.split()
+    micros = int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    outputs = parse_schema(", ".join([kinds, "window_start timestamp", *(f"`{v}` double" for v in values), "late boolean"]))
+    # The time goes on as a number: Spark would drop rows behind the watermark by the column that bears it.
+    rows = df.withWatermark(ts, delay).select(*keys, F.unix_micros(ts).alias("at"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
+    return rows.where("at is not null").groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=WindowProcessor(keys, values, micros, outputs), outputStructType=outputs, outputMode="Append", timeMode="EventTime")

@@ -2,6 +2,7 @@
 
 import random
 import time
+import json
 from datetime import datetime, timedelta
 
 from test_literals import events
@@ -110,11 +111,43 @@ def test_event_alerts(spark, tmp_path):
                         for m in [*range(12), 300]])
     ev.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))
-    got = _drain(spark, jobs.event_alerts(stream, baseline_conf=1.0), str(tmp_path)).collect()
+    got = _drain(spark, jobs.event_alerts(jobs.event_windows(stream), baseline_conf=1.0), str(tmp_path)).collect()
     assert {r.tag for r in got} == {"health.override_spike", "health.stack_ocr_degraded"}
     assert all(r.window_start == T0 for r in got)
 
 
+def test_silence_is_told(spark, tmp_path):
+    """Windows without a hand come out as soon as anything else moves the time on."""
+    minute = lambda m: T0 + timedelta(minutes=m)
+    hands = _as_stream(spark, [(f"h{m}", "t", minute(m)) for m in (0, 5, 9, 12, 20, 21, 95)] + [("u", "u", minute(2))], "id string, table_name string, started_at timestamp", str(tmp_path / "h"), parts=1)
+    beats = _as_stream(spark, [("t", minute(m)) for m in range(0, 200, 7)], "table_name string, at timestamp", str(tmp_path / "b"), parts=1)
+    windows = jobs.hand_windows(hands, beats, key="table_name")
+    got = _drain(spark, jobs.hand_alerts(windows), str(tmp_path)).collect()
+    # T0 lies on a window's border; the newest reading is at minute 196, so windows up to 180 are over.
+    assert {(r.feed, r.window_start) for r in got} == {("t", minute(m)) for m in (30, 60, 90, 120, 150)} | {("u", minute(m)) for m in range(0, 180, 30)}
+    assert {json.loads(r.payload)["hands_last_30min"] for r in got if r.feed == "t"} == {0, 1}
+
+
+def test_late_rows_go_to_a_side_table(spark, tmp_path):
+    """Each part is a batch of its own; what comes behind its window is kept beside the sums, and all adds up."""
+    minute = lambda m: T0 + timedelta(minutes=m)
+    rows = [(m, "WARN", minute(m)) for m in range(40)] + [(100, "WARN", minute(100)), (3, "ERROR", minute(3)), (101, "INFO", minute(101)), (150, "WARN", minute(150)),
+                                                          (88, "WARN", minute(88)), (95, "ERROR", minute(95)), (260, "WARN", minute(260))]
+    schema = "id int, level string, occurred_at timestamp"
+    folder = tmp_path / "in"
+    for n, part in enumerate((rows[:40], rows[40:41], rows[41:44], rows[44:46], rows[46:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder / f"p{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "p*"))
+    job = jobs.split_late(jobs.diagnostic_windows(stream), str(tmp_path / "o"), str(tmp_path / "c"))
+    job.trigger(availableNow=True).start().awaitTermination()
+    windows, late = (spark.read.parquet(str(tmp_path / "o" / k)).drop("batch").collect() for k in ("windows", "late"))
+    starts = [r.window_start for r in windows]
+    assert len(starts) == len(set(starts)) and set(starts) == {minute(m) for m in range(0, 240, 30)}
+    told = sum(r.n for r in windows)
+    assert late and told + sum(r.n for r in late) == sum(level != "INFO" for _, level, at in rows if at < minute(240))
+    assert {r.window_start for r in late} <= {minute(0), minute(60), minute(90)}
+
+
 def test_live_table(spark, tmp_path):
     schema = "id bigint, table_name string, started_at timestamp, seats map<string,string>"
     rows = [(1, "t", T0, {"BB": "A"}), (2, "t", T0 + timedelta(minutes=1), {"BB": "B"}), (3, "u", T0, {"SB": "A"})]
