@@ -12,13 +12,13 @@ from railbird.functions.semantics import count_if, minutes, round_half_away
 
 WINDOW_MINUTES = 30
 
-# fixed values: the hint stored with each warning
+#: What may be behind each warning; stored with it for whoever reads it.
 HINTS = {
-    "health.low_hand_rate": "pipeline 挂了 / WePoker 桌空 / 录制结束未通知",
-    "health.conf_dropped": "OCR 退化 / 桌型变化 / WePoker UI 改",
-    "health.override_spike": "P3 stack 物理校验异常触发频繁,可能 OCR bug / 桌型变化",
-    "health.diag_burst": "异常累积,查 diagnostic_events WHERE level IN (WARN, ERROR)",
-    "health.stack_ocr_degraded": "stack OCR 抓不到数字,可能 ROI 框漂 / 字体渲染变 / 桌型变",
+    "health.low_hand_rate": "feed stopped, or no table is playing",
+    "health.conf_dropped": "readings got worse: check regions, fonts and the kind of table",
+    "health.override_spike": "stacks contradict action texts unusually often: check both readers",
+    "health.diag_burst": "many warnings and errors at once: look at the diagnostics of this window",
+    "health.stack_ocr_degraded": "stacks are mostly unread: check the stack regions",
 }
 
 

@@ -86,6 +86,10 @@ def _recognised(t: Tables):
         F.concat("rank", "suit").alias("expected"), F.when(F.col("pred_is_card"), label).alias("recognised")))
 
 
+#: What the warnings' payloads hold.
+WARNED = ["hands_last_30min", "threshold", "recent_avg_conf", "historic_avg_conf", "drop_pct", "recent_override_count", "recent_total", "rate_pct",
+          "warn_error_count", "stack_null_count", "total"]
+
 QUERIES = {
     "alias_pairs": query(lambda t: ident.alias_pairs(t.events, cutoff=NAME_CUTOFF)),
     "alias_clusters": query(lambda t: ident.alias_clusters(t.events, cutoff=NAME_CUTOFF)),
@@ -100,7 +104,8 @@ QUERIES = {
     "health_metrics": query(lambda t: h.health_metrics(
         t.hands, t.events, t.diagnostics, as_of=AS_OF, window_minutes=WINDOW)),
     "health_warnings": query(lambda t: h.health_warnings(
-        t.hands, t.events, t.diagnostics, as_of=AS_OF, window_minutes=WINDOW).select("hand_id", "tag", "level", "occurred_at")),
+        t.hands, t.events, t.diagnostics, as_of=AS_OF, window_minutes=WINDOW).select(
+            "hand_id", "tag", "level", "occurred_at", *[F.get_json_object("payload", f"$.{f}").cast("double").alias(f) for f in WARNED])),
     "tick_stats": query(lambda t: h.tick_stats(_ticks(t), width=WIDE)),
     "phase_stats": query(lambda t: h.phase_stats(_ticks(t), width=WIDE)),
     "top_phases": query(lambda t: h.phase_stats(_ticks(t), top=3, width=WIDE)),
@@ -211,13 +216,20 @@ ORACLE = {
     "health_metrics": sql(_METRICS),
     "health_warnings": sql(f"""
         with m as ({_METRICS}),
-        w as (select unnest([
-            if(hands_recent < 5, 'health.low_hand_rate', null),
-            if(historic_conf > 0 and (historic_conf - recent_conf) / historic_conf > 0.1, 'health.conf_dropped', null),
-            if(events_recent > 10 and overridden_recent * 10 > events_recent, 'health.override_spike', null),
-            if(warnings_recent > 20, 'health.diag_burst', null),
-            if(events_recent > 10 and no_delta_recent * 2 > events_recent, 'health.stack_ocr_degraded', null)]) as tag from m)
-        select null::bigint as hand_id, tag, 'WARN' as level, '1998-06-01 00:00:00.000000' as occurred_at from w where tag is not null"""),
+        d as (select *, (historic_conf - recent_conf) * 100 / historic_conf as drop from m),
+        w as (
+          select 'health.low_hand_rate' as tag, hands_recent as h, 5 as t, null as rc, null as hc, null as dp, null as o, null as rt, null as r, null as w, null as z, null as n
+            from d where hands_recent < 5
+          union all select 'health.conf_dropped', null, null, {rnd('recent_conf', 3)}, {rnd('historic_conf', 3)}, {rnd('drop', 1)}, null, null, null, null, null, null
+            from d where historic_conf > 0 and drop > 10
+          union all select 'health.override_spike', null, null, null, null, null, overridden_recent, events_recent, {rnd('overridden_recent * 100.0 / events_recent', 1)}, null, null, null
+            from d where events_recent > 10 and overridden_recent * 10 > events_recent
+          union all select 'health.diag_burst', null, 20, null, null, null, null, null, null, warnings_recent, null, null from d where warnings_recent > 20
+          union all select 'health.stack_ocr_degraded', null, null, null, null, null, null, null, {rnd('no_delta_recent * 100.0 / events_recent', 1)}, null, no_delta_recent, events_recent
+            from d where events_recent > 10 and no_delta_recent * 2 > events_recent)
+        select null::bigint as hand_id, tag, 'WARN' as level, '1998-06-01 00:00:00.000000' as occurred_at, h::double as hands_last_30min, t::double as threshold,
+          rc::double as recent_avg_conf, hc::double as historic_avg_conf, dp::double as drop_pct, o::double as recent_override_count, rt::double as recent_total,
+          r::double as rate_pct, w::double as warn_error_count, z::double as stack_null_count, n::double as total from w"""),
     "tick_stats": sql(f"""
         with g as (select session, batch, count(*) as n, list(tick_ms order by tick_ms) as t, list(db_ms order by db_ms) as d,
               avg(tick_ms) as a, avg(db_ms) as b from ({_BATCH}) group by 1, 2 having count(*) = 20)
