@@ -23,6 +23,7 @@ POT_DROP = 0.9
 NEW_HAND_POT_DROP = 0.5
 POT_LABEL = "总底池"
 HERO_HASH_THRESHOLD = 10
+STREETS = {0: "preflop", 3: "flop", 4: "turn", 5: "river"}
 SEAT_SWAP = 12
 PLACEHOLDER = "TempUser_"
 TIMEBANK_JUMP = 2
@@ -516,6 +517,82 @@ class Numbering:
         return [{**row, "sequence_number": st["n"]}]
 
 
+# ---------------------------------------------------------------- the flow as a stream
+
+class Passing:
+    """A rule among rows of other kinds, which pass with nothing added."""
+
+    def __init__(self, step, *kinds: str):
+        self.step, self.kinds, self.state, self.extra = step, kinds, step.state, step.extra
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        return self.step(st, row) if row["kind"] in self.kinds else [row]
+
+
+class HandTicks:
+    """Hand, street and the pot before and after the tick of every reading (key: table)."""
+
+    extra = "hand_no int, street string, pot_after double, pot_before double"
+
+    def __init__(self, segment: Segment):
+        self.segment = segment
+        self.state = f"{segment.state}, hand_no int, street string, tick bigint, tick_at bigint, tick_pot double, before double"
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        (out,) = self.segment(st, row)
+        new_tick = (st["tick"], st["tick_at"]) != (row["tick"], row["at"])
+        if out["boundary"] or st["hand_no"] is None:
+            st["hand_no"] = (st["hand_no"] or 0) + (1 if out["boundary"] else 0)
+            st["street"], st["before"] = "preflop", None
+        elif new_tick:
+            st["before"] = st["tick_pot"]
+        st["tick"], st["tick_at"], st["tick_pot"] = row["tick"], row["at"], out["pot_latest"]
+        if row["kind"] == "community" and row["value"] is not None:
+            st["street"] = STREETS.get(min(int(row["value"]), 5), st["street"])
+        return [{**row, "hand_no": st["hand_no"], "street": st["street"], "pot_after": out["pot_latest"], "pot_before": st["before"]}]
+
+
+class SeatActions:
+    """Changed, readable actions with the seat's stack before and at their tick (key: hand, seat).
+
+    A tick's stack has to come before its action.  After a fold a seat is not read again in its hand.
+    """
+
+    state = "text string, prev double, stack double, before double, tick bigint, tick_at bigint, gone boolean"
+    extra = "stack_before double, stack_after double"
+
+    def __init__(self, out: tuple[str, ...] = ("fold",)):
+        self.out, self.jump, self.changed = out, StackJump(), Changed()
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        if (st["tick"], st["tick_at"]) != (row["tick"], row["at"]):
+            st["tick"], st["tick_at"] = row["tick"], row["at"]
+            st["before"], st["stack"] = st["stack"] if st["stack"] is not None else st["before"], None
+        if row["kind"] == "stack":
+            (clean,) = self.jump(st, row)
+            if clean["stack"] is not None:
+                st["stack"] = clean["stack"] if st["stack"] is None else max(st["stack"], clean["stack"])
+            return []
+        if not self.changed(st, row) or row["text_action"] is None or st["gone"]:
+            return []
+        st["gone"] = row["text_action"] in self.out
+        return [{**row, "stack_before": st["before"], "stack_after": st["stack"]}]
+
+
+class Facing:
+    """Numbers a hand's actions and says what each faces on its street (key: hand)."""
+
+    state = "n int, preflop double, flop double, turn double, river double"
+    extra = "sequence_number int, current_to_call double, is_first_bet_this_street boolean"
+
+    def __call__(self, st: dict, row: dict) -> list[dict]:
+        top, delta = st[row["street"]], row["moved"]
+        st["n"] = (st["n"] or 0) + 1
+        if delta is not None and delta > 2:
+            st[row["street"]] = delta if top is None else max(top, delta)
+        return [{**row, "sequence_number": st["n"], "current_to_call": top or 0.0, "is_first_bet_this_street": top is None}]
+
+
 STEPS = {"changed": Changed, "betting": Betting, "pointer": Pointer, "phase": Phase, "board": Board,
          "numbering": Numbering, "segment": Segment, "debounce": Debounce, "stack_jump": StackJump, "pot_monotone": PotMonotone,
          "timer": Timer, "seat_lifecycle": SeatLifecycle, "showdown_gate": ShowdownGate}

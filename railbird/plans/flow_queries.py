@@ -18,7 +18,7 @@ from railbird.plans import derive_queries as dq
 from railbird.plans.base import Tables, query, rnd, sql, ts
 from railbird.session import ensure_checkpoint_dir
 from railbird.sources import derivations, tables
-from railbird.streaming import jobs, processors
+from railbird.streaming import flow, jobs, processors
 
 SIX_HOURS = dq.SIX_HOURS
 VERSIONS = """select o_orderkey as id, cast(s.i as int) as version, o_orderpriority as table_name, o_orderdate as started_at,
@@ -125,6 +125,8 @@ QUERIES = {
     "stream_hand_phases": query(lambda t: _drain(t, jobs.hand_phases(_stream(t, dq.PHASES))).drop("late")),
     "stream_parsed_actions": query(lambda t: _drain(t, jobs.parsed_actions(_stream(t, derivations.OBSERVATIONS)))),
     "stream_diagnostic_alerts": query(_diagnostic_alerts),
+    "stream_observed_events": query(lambda t: _drain(t, flow.observed_events(
+        _stream(t, derivations.OBSERVATIONS), pot_label=None, debounce_s=60.0)).where("not late").select("*", "raw.*").drop("raw", "late")),
     "stream_hand_alerts": query(_hand_alerts),
     "stream_event_alerts": query(_event_alerts),
 }
@@ -216,6 +218,7 @@ ORACLE = {
           if(pos = 'SB', 1, 2) as sequence_number, amount, si[s::varchar] - amount as stack_after, true as synthetic
         from p where amount is not null and seats[pos] is not null"""),
     "observed_events": sql(flow_sql()),
+    "stream_observed_events": sql(flow_sql()),
     "stream_action_changes": dq.ORACLE["action_changes"],
     "stream_debounced_events": dq.ORACLE["debounced_events"],
     "stream_cleaned_stacks": dq.ORACLE["cleaned_stacks"],
