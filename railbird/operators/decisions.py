@@ -176,15 +176,19 @@ def insurance_full(hands: DataFrame, confirmed: DataFrame | None = None) -> Data
         pct(guess, F.col("a1")).alias("insurance_buy_rate_inferred_pct"), (yes == guess).alias("signals_agree"))
 
 
-def showdown_rates(hands: DataFrame, events: DataFrame) -> DataFrame:
-    """Went to showdown after seeing a flop, and won there where the winner is known."""
+def seen_showdowns(hands: DataFrame, events: DataFrame) -> DataFrame:
+    """hand_id, player_name, shown (1 where the player showed) and winner of everyone who saw a flop."""
     saw = events.where(F.col("street").isin("flop", "turn", "river")).select("hand_id", "player_name").distinct()
     shown = showdown_by_seat(hands).select("hand_id", "player_name", F.lit(1).alias("shown")).distinct()
     winners = hands.where(F.col("winner_player_name").isNotNull()).select(
         F.col("id").alias("hand_id"), F.col("winner_player_name").alias("winner"))
+    return saw.join(shown, ["hand_id", "player_name"], "left").join(winners, "hand_id", "left")
+
+
+def showdown_rates(hands: DataFrame, events: DataFrame) -> DataFrame:
+    """Went to showdown after seeing a flop, and won there where the winner is known."""
     went = F.col("shown").isNotNull()
-    rows = saw.join(shown, ["hand_id", "player_name"], "left").join(winners, "hand_id", "left")
-    return rows.groupBy("player_name").agg(
+    return seen_showdowns(hands, events).groupBy("player_name").agg(
         F.count("*").alias("n_saw_flop"), count_if(went).alias("n_showdowns"),
         count_if(went & F.col("winner").isNotNull()).alias("n_decided"),
         count_if(went & (F.col("winner") == F.col("player_name"))).alias("n_won"),

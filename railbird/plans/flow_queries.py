@@ -16,8 +16,8 @@ from railbird.operators import derive as d
 from railbird.operators import observed
 from railbird.plans import derive_queries as dq
 from railbird.plans.base import Tables, query, rnd, sql, ts
-from railbird.session import ensure_checkpoint_dir
-from railbird.sources import derivations, tables
+from railbird.session import ensure_checkpoint_dir, new_folder
+from railbird.sources import derivations, tables, upsert
 from railbird.streaming import flow, jobs, processors
 
 SIX_HOURS = dq.SIX_HOURS
@@ -89,12 +89,29 @@ def _event_alerts(t: Tables) -> DataFrame:
                           "drop_pct", "recent_override_count", "stack_null_count", "rate_pct")
 
 
+def _upserted(t: Tables, text: str, keys: list[str], reduce) -> DataFrame:
+    """A table after three batches of upserts and the replay of the second."""
+    rows, path = dq.run(t, text), new_folder(t.spark, "upserted")
+    parts = [rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(3)) == n) for n in range(3)]
+    for n in (0, 1, 2, 1):
+        upsert.upsert(parts[n], path, keys, reduce, buckets=8)
+    return upsert.read_upserted(t.spark, path, rows.schema)
+
+
+def _upserted_hands(t: Tables) -> DataFrame:
+    out = _upserted(t, VERSIONS.replace("as started_at", "as begun"), ["id"], upsert.first_and_last_version)
+    return tables.current_hands(out.withColumn("started_at", F.col("begun").cast("timestamp")).drop("begun"))
+
+
 KEYS = dq.KEYS
 EVENTS = "select event_id, ts, user_id, event_type from events"
 
 QUERIES = {
     "current_hands": query(lambda t: tables.current_hands(dq.run(t, VERSIONS))),
     "player_registry": query(lambda t: tables.merged_registry(dq.run(t, SIGHTINGS))),
+    "upserted_registry": query(lambda t: _upserted(t, SIGHTINGS.replace("ts as seen_at", "cast(ts as timestamp) as seen_at"), ["phash"], tables.merged_registry)
+                               .withColumn("seen_at", F.col("seen_at").cast("timestamp"))),
+    "upserted_hands": query(_upserted_hands),
     "replay_corrections": query(_corrections),
     "routed_events": query(_routed),
     "post_events": query(lambda t: d.post_events(d.blind_posts(t.hands)).select(
@@ -196,13 +213,18 @@ def _columns(name: str, columns: str) -> str:
     return f"select {columns} from ({dq.ORACLE[name]})"
 
 
-ORACLE = {
-    "current_hands": sql(f"""
+_CURRENT = sql(f"""
         select id, any_value(table_name) as table_name, {ts('any_value(started_at)')} as started_at,
           list(result order by version desc)[1] as result, list(pot_size_final order by version desc)[1] as pot_size_final
-        from versions group by id""", versions=VERSIONS),
-    "player_registry": sql(f"""select phash, arg_max(name, seen_at) as name, {ts('max(seen_at)')} as seen_at
-        from sightings group by 1""", sightings=SIGHTINGS),
+        from versions group by id""", versions=VERSIONS)
+_REGISTRY = sql(f"""select phash, arg_max(name, seen_at) as name, {ts('max(seen_at)')} as seen_at
+        from sightings group by 1""", sightings=SIGHTINGS)
+
+ORACLE = {
+    "current_hands": _CURRENT,
+    "upserted_hands": _CURRENT,
+    "player_registry": _REGISTRY,
+    "upserted_registry": _REGISTRY,
     "replay_corrections": sql(f"""
         select hand_id, id as event_id, 'reviewer override; original conf=' || confidence_score as notes,
           {ts('timestamp')} as corrected_at, if(sequence_number = 1, 'action_type', 'amount') as correction_type,

@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railbird.operators import cache
 from railbird.operators import decisions as d
-from railbird.plans.base import query, rnd, sql, ts
+from railbird.plans.base import Tables, query, rnd, sql, ts
 from railbird.plans.report_queries import OVERALL
+from railbird.session import new_folder, written
 
 LOOKBACK = 20
+AS_OF, CUT = datetime(2002, 1, 1), datetime(2000, 6, 1)
+
+
+def _refreshed(t: Tables) -> DataFrame:
+    """The cache after a first fill and two refreshes, of which one is a replay."""
+    path = new_folder(t.spark, "cache")
+    hands, events = written(t.hands), written(t.events)
+    old = hands.where(F.col("started_at") < F.lit(CUT))
+    cache.write_states(cache.period_states(old, events.join(old.select(F.col("id").alias("hand_id")), "hand_id", "left_semi"), unit="month"), path)
+    for _ in range(2):
+        cache.refresh(hands, events, path, since=CUT, until=AS_OF, unit="month")
+    return cache.merged_cache(t.spark.read.parquet(path), as_of=AS_OF)
 
 QUERIES = {
     "decision_table": query(lambda t: d.decision_table(t.events).drop("timestamp")),
@@ -20,6 +37,9 @@ QUERIES = {
     "situation_rates": query(lambda t: d.situation_rates(t.events)),
     "showdown_rates": query(lambda t: d.showdown_rates(t.hands, t.events)),
     "player_stats_cache": query(lambda t: d.stats_cache(t.hands, t.events)),
+    "refreshed_stats_cache": query(lambda t: _refreshed(t).select(
+        "*", F.get_json_object("stats_json", "$.n_saw_flop").cast("bigint").alias("n_saw_flop"),
+        F.get_json_object("stats_json", "$.three_bet_opp").cast("bigint").alias("three_bet_opp")).drop("stats_json")),
     "player_situational_stats": query(lambda t: d.situational_stats(t.hands, t.events).select(
         "player_name", "stat_type", *[F.try_element_at("dimensions", F.lit(k)).alias(k) for k in d.DIMENSIONS],
         "value", "sample_size")),
@@ -161,6 +181,12 @@ ORACLE = {
           {', '.join(d.STATS.values())}, wtsd_pct, wsd_pct
         from ({OVERALL}) o left join (select player_name, {_RATES} from ({SITUATIONS})) s on s.player_name = o.player_name
         left join ({SHOWDOWN}) w on w.player_name = o.player_name"""),
+    "refreshed_stats_cache": sql(f"""
+        select o.player_name, hands as total_hands, vpip::double as vpip, pfr::double as pfr, af,
+          {', '.join(d.STATS.values())}, wtsd_pct, wsd_pct, '{AS_OF} 00:00:00.000000' as last_updated, coalesce(n_saw_flop, 0) as n_saw_flop,
+          coalesce(three_bet_opp, 0) as three_bet_opp
+        from ({OVERALL}) o left join (select player_name, three_bet_opp, {_RATES} from ({SITUATIONS})) s on s.player_name = o.player_name
+        left join ({SHOWDOWN}) w on w.player_name = o.player_name""".replace(" 00:00:00 00:", " 00:")),
     "player_situational_stats": sql(_SIT),
     "lookback_vpip_pfr_af": sql(
         f"""select o.player_name, hands as n_hands, vpip as vpip_pct, pfr as pfr_pct, af, n_actions, last_seen
