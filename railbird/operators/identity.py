@@ -162,36 +162,74 @@ def rename_report(events: DataFrame, mapping: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ fingerprints
 
-def _band_keys(c: str, max_distance: int) -> Column:
-    """Keys of a 64-bit hash: all pairs of its bands.
+#: Registered hashes that share a key before that key counts as crowded.
+CROWDED = 1_000
+#: Bits to flip when a hash of crowded keys is looked up directly.
+FLIPS = 2
 
-    Two hashes at most d bits apart agree in at least two of d + 2 bands.
+
+def bit_order(hashes: DataFrame, c: str) -> list[int]:
+    """The 64 bits, those that split the hashes most evenly first (64 sums are all that leaves Spark)."""
+    bits = [F.shiftrightunsigned(F.col(c), i).bitwiseAND(F.lit(1)) for i in range(64)]
+    row = hashes.agg(F.count(c).alias("n"), *[F.sum(b).alias(f"b{i}") for i, b in enumerate(bits)]).first()
+    return sorted(range(64), key=lambda i: (abs((row[f"b{i}"] or 0) * 2 - row["n"]), i))
+
+
+def _band_keys(c: str, max_distance: int, order: list[int]) -> Column:
+    """Keys of a 64-bit hash: all pairs of its bands, to which bits are dealt in ``order``.
+
+    Two hashes at most d bits apart agree in at least two of d + 2 bands, whatever bits a band has.
+    Dealt this way, every band has its share of the bits that tell hashes apart.
     """
     n = max_distance + 2
-    edges = [round(i * 64 / n) for i in range(n + 1)]
-    bands = [
-        F.shiftrightunsigned(F.col(c), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-        for lo, hi in zip(edges, edges[1:])
-    ]
+    bands = []
+    for k in range(n):
+        value = F.lit(0).cast("bigint")
+        for place, bit in enumerate(order[k::n]):
+            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(c), bit).bitwiseAND(F.lit(1)), place))
+        bands.append(value)
     return F.array(*[
         F.struct(F.lit(i * n + j).alias("pair"), x.alias("x"), y.alias("y"))
         for (i, x), (j, y) in combinations(enumerate(bands), 2)
     ])
 
 
-def nearest_fingerprints(readings: DataFrame, registry: DataFrame, *, max_distance: int = 6) -> DataFrame:
+def _flipped(c: str, flips: int) -> Column:
+    """A hash and all hashes up to ``flips`` bits from it, with the distance."""
+    masks = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(64), n)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    near = F.transform(F.array(*[F.lit(m) for m in signed]), lambda m: F.struct(F.col(c).bitwiseXOR(m).alias("k"), F.bit_count(m).alias("distance")))
+    return F.explode(near)
+
+
+def nearest_fingerprints(
+    readings: DataFrame, registry: DataFrame, *, max_distance: int = 6, crowded: int = CROWDED, flips: int = FLIPS,
+) -> DataFrame:
     """Best registered player for every avatar hash, within ``max_distance`` bits.
 
     ``registry``: phash, name.  Only distinct hashes are matched, and readings
     take the answer back by hash, so repeated avatars cost nothing.  A best
     match that is only a placeholder counts as none.
+
+    Where more than ``crowded`` registered hashes share a key (dark avatars, say), hashes with that key first look up all
+    hashes within ``flips`` bits of them, one by one; among so many neighbours nearly all find theirs, and only
+    the others are compared with the whole bucket.
     """
-    wanted = readings.select(F.col("phash").alias("h")).where(F.col("phash").isNotNull()).distinct()
-    known = registry.select(F.col("phash").alias("k"), "name").where(F.col("phash").isNotNull()).distinct()
-    left = wanted.select("h", F.explode(_band_keys("h", max_distance)).alias("key"))
-    right = known.select("k", "name", F.explode(_band_keys("k", max_distance)).alias("key"))
-    near = left.join(right, "key").withColumn("distance", hash_distance("h", "k")).where(
-        F.col("distance") <= max_distance)
+    wanted = written(readings.select(F.col("phash").alias("h")).where(F.col("phash").isNotNull()).distinct())
+    known = written(registry.select(F.col("phash").alias("k"), "name").where(F.col("phash").isNotNull()).distinct())
+    order = bit_order(known, "k")
+    left = wanted.select("h", F.explode(_band_keys("h", max_distance, order)).alias("key"))
+    right = known.select("k", "name", F.explode(_band_keys("k", max_distance, order)).alias("key"))
+    hot = written(right.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"))
+    if hot.isEmpty():
+        near = _close(left, right, max_distance)
+    else:
+        pressed = left.join(hot, "key", "left_semi").select("h").distinct()
+        looked = pressed.select("h", _flipped("h", min(flips, max_distance)).alias("f")).select("h", "f.*")
+        found = written(looked.join(known, "k").select("h", "name", "distance"))
+        # A hash found within these flips has all its nearest there.
+        left = left.join(found.select("h").distinct(), "h", "left_anti")
+        near = _close(left, right, max_distance).unionByName(found)
     best = near.groupBy("h").agg(F.min(F.struct("distance", "name")).alias("best"))
     match = best.select("h", F.col("best.distance").alias("distance"), F.col("best.name").alias("matched_name"))
     out = readings.join(match, readings["phash"] == match["h"], "left").drop("h")
@@ -200,6 +238,12 @@ def nearest_fingerprints(readings: DataFrame, registry: DataFrame, *, max_distan
         "matched_name": F.when(real, F.col("matched_name")), "distance": F.when(real, F.col("distance"))})
 
 
+def _close(left: DataFrame, right: DataFrame, max_distance: int) -> DataFrame:
+    """h, name and distance of the pairs that share a key and are close."""
+    distance = hash_distance("h", "k")
+    return left.join(right, "key").select("h", "name", distance.alias("distance")).where(F.col("distance") <= max_distance)
+
+
 def seat_swaps(readings: DataFrame, seated: DataFrame, registry: DataFrame, *, max_distance: int = 12) -> DataFrame:
     """Seats whose avatar no longer fits the player cached for them.
 

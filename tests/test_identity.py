@@ -58,3 +58,28 @@ def test_fingerprints_up_to_the_last_bit(spark):
     for r in out:
         want = f"p{r.i}" if r.flips <= 6 and r.i % 5 else None
         assert (r.matched_name, r.distance) == (want, r.flips if want else None)
+
+
+def test_dark_avatars_find_their_nearest(spark):
+    """Half the avatars have a few bits in one corner only; with crowded keys the result equals comparing all with all."""
+    rnd = random.Random(8)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    dark = lambda: sum(1 << b for b in rnd.sample(range(20), rnd.randrange(5)))
+    known = list({dark() for _ in range(400)}) + [rnd.getrandbits(64) for _ in range(300)]
+    registry = [(signed(h), f"p{i}" if i % 9 else f"TempUser_{i}") for i, h in enumerate(known)]
+    asked = [dark() ^ rnd.choice([0, 1 << 63, 3 << 40, 0x7F << 50]) for _ in range(150)] + [rnd.choice(known) ^ (1 << rnd.randrange(64)) for _ in range(100)]
+    readings = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(asked)] + [(999, None)], "i int, phash long")
+    names = spark.createDataFrame(registry, "phash long, name string")
+    want = {999: (None, None)}
+    for i, h in enumerate(asked):
+        d, name = min(((h ^ k).bit_count(), n) for k, (_, n) in zip(known, registry, strict=True))
+        want[i] = (name, d) if d <= 6 and not name.startswith("TempUser_") else (None, None)
+    for crowded in (5, 10**6):
+        got = identity.nearest_fingerprints(readings, names, crowded=crowded).collect()
+        assert {r.i: (r.matched_name, r.distance) for r in got} == want
+    assert sum(n is not None for n, _ in want.values()) > 150
+
+
+def test_bits_are_dealt_by_how_they_split(spark):
+    df = spark.createDataFrame([(v,) for v in (1, 3, 5, 5, 7, 7, 0, 0)], "k long")
+    assert identity.bit_order(df, "k")[:3] == [2, 1, 0]
