@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from railbird.plans import derive_queries, flow_queries, hand_queries, people_queries, report_queries, stat_queries, view_queries
+from railbird.plans import (
+    derive_queries,
+    flow_queries,
+    hand_queries,
+    people_queries,
+    report_queries,
+    source_queries,
+    stat_queries,
+    view_queries,
+)
 
-MODULES = [view_queries, report_queries, stat_queries, derive_queries, people_queries, flow_queries, hand_queries]
+MODULES = [view_queries, report_queries, stat_queries, derive_queries, people_queries, flow_queries, hand_queries, source_queries]
 
 
 def queries() -> dict:
