@@ -88,6 +88,13 @@ def judged_actions(readings: DataFrame) -> DataFrame:
         F.col("v.confidence_score").alias("confidence_score"), F.col("v.text_preserved").alias("text_preserved"))
 
 
+def preserved_diagnostics(judged: DataFrame, *, occurred_at: Column) -> DataFrame:
+    """A note for every action whose text was kept although the stack said otherwise (``judged_actions`` with a ``seat``)."""
+    payload = F.to_json(F.struct("seat", "text_action", "stack_action", "stack_delta", "stack_after", "current_to_call"))
+    return judged.where("text_preserved").select(
+        "hand_id", F.lit("p3.text_priority_preserved").alias("tag"), F.lit("INFO").alias("level"), payload.alias("payload"), occurred_at.alias("occurred_at"))
+
+
 def seat_positions(hands: DataFrame, seats: DataFrame) -> DataFrame:
     """Position of every seat (``hand_id, seat``) from the hand's button and size."""
     facts = hands.select(F.col("id").alias("hand_id"), "button_seat_index", "num_seats")

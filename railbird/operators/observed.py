@@ -64,14 +64,12 @@ def observed_events(
     return events_of(rows, seats=players, posted=posted, debounce_s=debounce_s, width=width, attention=attention)
 
 
-def events_of(
-    rows: DataFrame, *, seats: DataFrame | None = None, posted: int | DataFrame = 2, debounce_s: float = steps.DEBOUNCE_SECONDS,
-    width: str = D.WIDTH, attention: bool = False,
+def scored_actions(
+    rows: DataFrame, *, seats: DataFrame | None = None, debounce_s: float = steps.DEBOUNCE_SECONDS, width: str = D.WIDTH, attention: bool = False,
 ) -> DataFrame:
-    """Scored action events of ``observed_hands``.
+    """The judged and named actions of ``observed_hands``, those that the debounce drops included (``accepted``), as a written table.
 
-    ``seats``: player_name and position by table_id and seat, or by hand_id and seat.  ``posted``: how many
-    posts come before a hand's events, one number or a table of hand_id and posted (none: no posts).
+    ``seats``: player_name and position by table_id and seat, or by hand_id and seat.
     """
     split: Column = time_split("ts", width)
     acts = _seat_actions(rows, width)
@@ -94,8 +92,44 @@ def events_of(
         of = "hand_id" if "hand_id" in seats.columns else "table_id"
         named = judged.join(seats.select(of, "seat", "player_name", "position"), [of, "seat"], "left").withColumns({
             "player_name": F.coalesce("player_name", seat), "position": F.coalesce("position", F.lit("UTG"))})
-    kept = D.debounced(named, order=["ts", "tick", "seat"], seconds=debounce_s).where("accepted")
-    kept = written(kept)
+    return written(D.debounced(named, order=["ts", "tick", "seat"], seconds=debounce_s))
+
+
+def action_diagnostics(scored: DataFrame) -> DataFrame:
+    """What the flow notes about its actions: text that was kept against the stack, all-ins and texts that only
+    sound like one, repeats that were dropped.  Rows as in ``schemas.DIAGNOSTICS``."""
+    c = F.col
+    sounds = F.lower("action_text").rlike("all in|all-in|allin|全押")
+    note = lambda when, tag, level, *fields: F.when(when, F.struct(
+        F.lit(tag).alias("tag"), F.lit(level).alias("level"), F.to_json(F.struct(*fields)).alias("payload")))
+    stacks = ["stack_before", "stack_after", "stack_delta", "action_text"]
+    all_in = ["seat", c("player_name").alias("player"), c("action_type").alias("final_action"), *stacks]
+    found = F.array(
+        note(c("text_preserved"), "p3.text_priority_preserved", "INFO", *_PRESERVED),
+        note(c("action_type") == "all_in", "all_in.detected", "INFO", *all_in),
+        note((c("action_type") != "all_in") & sounds, "all_in.text_only_candidate", "WARN", *all_in),
+        note(~c("accepted"), "action.dedup_skip", "INFO", c("player_name").alias("player"), "street", c("action_type").alias("action"),
+             F.round("since_s", 2).alias("ts_delta_sec")))
+    return scored.select("hand_id", F.inline(F.filter(found, lambda x: x.isNotNull())), c("ts").alias("occurred_at"))
+
+
+#: What a note about a text that was kept against the stack says.
+_PRESERVED = ["seat", "text_action", "stack_action", "stack_delta", "stack_after", "current_to_call"]
+
+
+def events_of(
+    rows: DataFrame, *, seats: DataFrame | None = None, posted: int | DataFrame = 2, debounce_s: float = steps.DEBOUNCE_SECONDS,
+    width: str = D.WIDTH, attention: bool = False, scored: DataFrame | None = None,
+) -> DataFrame:
+    """Scored action events of ``observed_hands``.
+
+    ``seats``: player_name and position by table_id and seat, or by hand_id and seat.  ``posted``: how many
+    posts come before a hand's events, one number or a table of hand_id and posted (none: no posts).
+    ``scored``: the actions, where they have been made already.
+    """
+    if scored is None:
+        scored = scored_actions(rows, seats=seats, debounce_s=debounce_s, width=width, attention=attention)
+    kept = scored.where("accepted")
 
     clock = rows.where(F.col("kind") == "timer").select("hand_id", "seat", "ts", "tick", "kind", "value").unionByName(
         kept.select("hand_id", "seat", "ts", "tick", F.lit("action").alias("kind"), F.lit(None).cast("double").alias("value")))

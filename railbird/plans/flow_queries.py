@@ -89,6 +89,29 @@ def _event_alerts(t: Tables) -> DataFrame:
                           "drop_pct", "recent_override_count", "stack_null_count", "rate_pct")
 
 
+def _flow_notes(t: Tables) -> DataFrame:
+    rows = observed.observed_hands(t.observations, pot_label=None, width=dq.DAY)
+    notes = observed.action_diagnostics(observed.scored_actions(rows, debounce_s=7200.0, width=dq.DAY))
+    text = lambda f: F.get_json_object("payload", f"$.{f}").alias(f)
+    return notes.select("hand_id", "tag", "level", "occurred_at", text("player"), text("final_action"), text("action"), text("street"),
+                        *[text(f).cast("double").alias(f) for f in ("seat", "stack_before", "stack_after", "ts_delta_sec")])
+
+
+def _preserved(t: Tables) -> DataFrame:
+    judged = dq._judged(t).withColumn("seat", F.col("sequence_number") % 9)
+    notes = d.preserved_diagnostics(judged, occurred_at=F.lit(None).cast("timestamp"))
+    text = lambda f: F.get_json_object("payload", f"$.{f}").alias(f)
+    return notes.select("hand_id", "tag", "level", text("text_action"), text("stack_action"), *[
+        text(f).cast("double").alias(f) for f in ("seat", "stack_delta", "stack_after", "current_to_call")])
+
+
+def _evidence(t: Tables) -> DataFrame:
+    """What is kept of events that are not trusted."""
+    text = lambda f: F.get_json_object("payload", f"$.{f}").alias(f)
+    return tables.skipped(t.events).select("hand_id", "tag", "level", "occurred_at", *map(text, ("player", "position", "street", "action", "override_reason")), *[
+        text(f).cast("double").alias(f) for f in ("amount", "confidence", "stack_before", "stack_after", "stack_delta")])
+
+
 def _upserted(t: Tables, text: str, keys: list[str], reduce) -> DataFrame:
     """A table after three batches of upserts and the replay of the second."""
     rows, path = dq.run(t, text), new_folder(t.spark, "upserted")
@@ -114,6 +137,9 @@ QUERIES = {
     "upserted_hands": query(_upserted_hands),
     "replay_corrections": query(_corrections),
     "routed_events": query(_routed),
+    "skipped_evidence": query(_evidence),
+    "flow_diagnostics": query(_flow_notes),
+    "preserved_diagnostics": query(_preserved),
     "post_events": query(lambda t: d.post_events(d.blind_posts(t.hands)).select(
         "id", "hand_id", "player_name", "position", "action_type", "sequence_number", "amount",
         F.col("raw.stack_after").alias("stack_after"), F.col("raw.synthetic").alias("synthetic"))),
@@ -149,8 +175,8 @@ QUERIES = {
 }
 
 
-def flow_sql(named: bool = False) -> str:
-    """The observation flow in SQL.  ``named``: inside a statement that has the rows of a feed in ``r`` and who sits where in ``seats``."""
+def flow_sql(named: bool = False, told: str | None = None) -> str:
+    """The observation flow in SQL.  ``told``: what to select of its steps instead of the events.  ``named``: inside a statement that has the rows of a feed in ``r`` and who sits where in ``seats``."""
     if named:
         rows = "with rows0 as (select * exclude (street) from r where kind in ('action', 'stack', 'timer', 'pot', 'community')),"
         people = "judged as (select j.*, coalesce(p.player_name, 'Player_' || j.seat) as player_name, coalesce(p.position, 'UTG') as position from scored j left join seats p using (hand_id, seat)),"
@@ -159,6 +185,12 @@ def flow_sql(named: bool = False) -> str:
   rows0 as (select o.*, o.table_id || '-' || s.hand_no as hand_id, s.pot_latest as pot_after from obs o
     join seg s on s.table_id = o.table_id and s.tick = o.tick),"""
         people = "judged as (select *, 'Player_' || seat as player_name, 'UTG' as position from scored),"
+    events = f"""select hand_id || '-' || nr as id, hand_id, player_name, position, street, action_type,
+    nr + 2 as sequence_number, amount, confidence_score, {ts('ts')} as timestamp, {ts('ts')} as created_at, text as action_text,
+    stack_before, stack_after, stack_delta, pot_before, pot_after, pot_delta, text_action as text_derived_action,
+    stack_action as stack_derived_action, override_reason, epoch_us(e - s) // 1000 as decision_time_ms, up > 0 as used_timebank,
+    false as synthetic, current_to_call, is_first_bet_this_street
+  from taken left join times using (hand_id, seat, tick)"""
     return f"""
   {rows}
   rows1 as (select *, lag(pot_after) over w as pot_before, coalesce(last_value(case when kind = 'community' then
@@ -201,12 +233,20 @@ def flow_sql(named: bool = False) -> str:
   jumps as (select *, lag(value) over (partition by hand_id, seat, run, kind order by ts, tick) as pv from runs),
   times as (select hand_id, seat, min(ts) filter (kind = 'timer') as s, max(tick) filter (kind = 'action') as tick,
       max(ts) filter (kind = 'action') as e, count(*) filter (kind = 'timer' and value > pv + 2) as up from jumps group by hand_id, seat, run)
-  select hand_id || '-' || nr as id, hand_id, player_name, position, street, action_type,
-    nr + 2 as sequence_number, amount, confidence_score, {ts('ts')} as timestamp, {ts('ts')} as created_at, text as action_text,
-    stack_before, stack_after, stack_delta, pot_before, pot_after, pot_delta, text_action as text_derived_action,
-    stack_action as stack_derived_action, override_reason, epoch_us(e - s) // 1000 as decision_time_ms, up > 0 as used_timebank,
-    false as synthetic, current_to_call, is_first_bet_this_street
-  from taken left join times using (hand_id, seat, tick)"""
+  {told or events}"""
+
+
+_NOTES = f"""select x.* from (
+    select hand_id, ts, seat, player_name, street, action_type, text, stack_before, stack_after, text_preserved, k.k is not null as accepted,
+      max(case when k.k is not null then ts end) over (partition by table_id, player_name, street, action_type order by ts, tick rows between unbounded preceding and 1 preceding) as taken_at
+    from judged j left join kept k on k.k.h = j.hand_id and k.k.n = j.nr) n,
+  lateral (
+    select n.hand_id as hand_id, 'all_in.detected' as tag, 'INFO' as level, {ts('n.ts')} as occurred_at, n.player_name as player, n.action_type as final_action, null as action, cast(null as varchar) as street,
+      n.seat::double as seat, n.stack_before, n.stack_after, null as ts_delta_sec where n.action_type = 'all_in'
+    union all select n.hand_id as hand_id, 'all_in.text_only_candidate', 'WARN', {ts('n.ts')}, n.player_name, n.action_type, null, null, n.seat::double, n.stack_before, n.stack_after, null
+      where n.action_type <> 'all_in' and regexp_matches(lower(n.text), 'all in|all-in|allin|全押')
+    union all select n.hand_id as hand_id, 'action.dedup_skip', 'INFO', {ts('n.ts')}, n.player_name, null, n.action_type, n.street, null, null, null, {rnd('epoch_us(ts - taken_at) / 1e6', 2)} where not n.accepted
+  ) x"""
 
 
 def _columns(name: str, columns: str) -> str:
@@ -239,6 +279,12 @@ ORACLE = {
         select id || '-' || a as id, id as hand_id, seats[pos] as player_name, pos as position, a as action_type,
           if(pos = 'SB', 1, 2) as sequence_number, amount, si[s::varchar] - amount as stack_after, true as synthetic
         from p where amount is not null and seats[pos] is not null"""),
+    "skipped_evidence": sql(f"""select hand_id::varchar as hand_id, 'action.low_tier_skip' as tag, 'INFO' as level, {ts('timestamp')} as occurred_at, player_name as player,
+        position, street, action_type as action, override_reason, amount::double as amount, confidence_score::double as confidence, stack_before::double as stack_before,
+        stack_after::double as stack_after, stack_delta::double as stack_delta from ev where confidence_score < 0.7"""),
+    "flow_diagnostics": sql(flow_sql(told=_NOTES).replace("interval 60 second", "interval 7200 second")),
+    "preserved_diagnostics": sql(f"""select hand_id, 'p3.text_priority_preserved' as tag, 'INFO' as level, text_action, stack_action, (sequence_number % 9)::double as seat,
+        stack_delta, stack_after, current_to_call from ({dq._JUDGED}) where text_preserved"""),
     "observed_events": sql(flow_sql()),
     "stream_observed_events": sql(flow_sql()),
     "stream_action_changes": dq.ORACLE["action_changes"],
