@@ -19,9 +19,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from railbird.session import written
+
 #: (verdict, rule) as the query fixes them.
 RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
@@ -87,11 +89,16 @@ def judged(pages: DataFrame, model: PipelineModel | None, rules: Sequence[tuple[
 
 
 def labelled_by_rules(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, most: int = LABELLED) -> DataFrame:
-    """A small labelled table for training: different URLs that a rule decides, at most ``most``, by lowest hash."""
+    """A small labelled table for training, written once: different URLs that a rule decides, as many of each rule as there
+    are, up to its share of ``most``, by lowest hash.
+
+    So no rule drowns another one; Spark applies the limit before the shuffle too.
+    """
     url = F.col("url")
-    found = pages.select("url", ruled(host_of(url), path_of(url), rules)["verdict"].alias("verdict")).where("verdict is not null").distinct()
-    found = found.select("url", (F.col("verdict") == "block").cast("int").alias("label"))
-    return found.orderBy(F.xxhash64("url"), "url").limit(most)
+    found = pages.select("url", ruled(host_of(url), path_of(url), rules).alias("ruling")).where("ruling is not null").select("url", "ruling.*").distinct()
+    first = F.row_number().over(Window.partitionBy("rule").orderBy(F.xxhash64("url"), "url"))
+    found = found.withColumn("nth", first).where(F.col("nth") <= max(1, most // max(1, len(rules))))
+    return written(found.select("url", (F.col("verdict") == "block").cast("int").alias("label")))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

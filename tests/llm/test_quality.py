@@ -45,3 +45,22 @@ def test_one_kind_of_label(spark, labels, predicted):
     kept = Q.good_documents(docs, known)
     assert kept.columns == docs.columns and kept.count() == (4 if predicted else 0)
     assert Q.scored(docs.limit(0), ranker).count() == 0
+
+
+def test_fit_equals_a_plain_one():
+    """The weights against gradient descent on the penalised logistic loss of the same pairs, the scores against the formula."""
+    rnd = np.random.default_rng(4)
+    good = rnd.random(120) < 0.6
+    x = rnd.normal(0, 1, (120, Q.N_FEATURES)) + good[:, None] * np.linspace(0, 1, Q.N_FEATURES)
+    got = Q.fit(x, good, seed=7)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9), -4, 4)
+    pick, better, worse = np.random.default_rng(7), np.flatnonzero(good), np.flatnonzero(~good)
+    n = min(Q.MAX_PAIRS, len(better) * len(worse))
+    d = z[pick.choice(better, n)] - z[pick.choice(worse, n)]
+    w = np.zeros(Q.N_FEATURES)
+    for _ in range(20_000):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / n - 1e-2 * w)
+    assert np.allclose(got.weights, w, atol=1e-4)
+    s = z @ w
+    plain = 1 / (1 + np.exp(-(4 / s.std() * (s - Q.best_quantile(s, good)) + np.log(Q.CUT / (1 - Q.CUT)))))
+    assert np.allclose(got.score(x), plain, atol=1e-3)

@@ -59,3 +59,34 @@ def test_labels_of_one_kind(spark, labels, verdict):
     labelled = spark.createDataFrame([(f"http://a{i}.org/", x) for i, x in enumerate(labels)], "url string, label int")
     pages = spark.createDataFrame([(1, "http://z.org/q"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in U.judged(pages, U.train(labelled), ()).collect()} == {verdict}
+
+
+def test_registered_query(spark):
+    """Rules decide where they fit, the model elsewhere."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r.page_id: r for r in U.op9(spark, DATA).collect()}
+    verdicts, urls = dict((r, v) for v, r in U.RULES), {r.page_id: r.url for r in pages.collect()}
+    assert set(got) == set(urls)
+    for i, u in urls.items():
+        r, rule = got[i], plain_rule(*plain(u))
+        assert (r.host, r.path, r.rule) == (*plain(u), rule)
+        assert r.verdict == (verdicts[rule] if rule else "block" if r.block_score >= 0.5 else "allow")
+
+
+def test_held_out_urls(spark):
+    """On URLs that a rule decides but that the model hasn't seen, it agrees with the rule."""
+    known = U.labelled_by_rules(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    rows = known.collect()
+    assert len({r.url for r in rows}) == len(rows) and {r.label for r in rows} == {0, 1}
+    model = U.train(known.where("xxhash64(url) % 2 = 0"))
+    judged = U.judged(known.where("xxhash64(url) % 2 != 0").selectExpr("label as page_id", "url"), model, ()).collect()
+    right = sum((r.verdict == "block") == (r.page_id == 1) for r in judged)
+    print(right, len(judged))
+    assert right >= 0.95 * len(judged) > 200
+
+
+def test_labels_are_shared_among_rules(spark):
+    rows = [(i, f"http://a{i}.org/x/") for i in range(50)] + [(100 + i, f"http://b{i}.net/fr/") for i in range(3)] + [(200, None)]
+    pages = spark.createDataFrame(rows + rows, "page_id long, url string")
+    got = U.labelled_by_rules(pages, (("allow", "org/"), ("block", "net/fr/")), most=20).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in got} == {0: 10, 1: 3}
