@@ -167,16 +167,19 @@ def neighbour_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     dealt = rows.repartitionByRange(tasks, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     found = written(dealt.mapInArrow(make, f"{ddl}, {_EDGES}"))
 
+    # Only the numbers of the tasks are put in one order, a number each; texts then find each other by them.
     edges = found.where("last is not null").select("doc_id", "task", "last", "text")
-    order = Window.orderBy("task", "last")
-    edges = edges.withColumn("following", F.coalesce(
-        F.lead("text").over(order), F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    order = Window.orderBy("task")
+    after = edges.where("last").select("task").withColumn("next", F.coalesce(
+        F.lead("task").over(order), F.first("task").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    firsts = edges.where("not last").select(F.col("task").alias("next"), F.col("text").alias("following"))
+    edges = edges.where("last").join(after, "task").join(firsts, "next")
 
     def join_up(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = (_compared(i, a, signature(a), b, signature(b)) for i, a, b in _rows(source))
         yield from batches(pairs, pa.schema(list(schema)[:7]), 512)
 
-    borders = edges.where("last").select("doc_id", "text", "following").mapInArrow(join_up, ddl)
+    borders = edges.select("doc_id", "text", "following").mapInArrow(join_up, ddl)
     names = [f.name for f in borders.schema]
     out = found.where("last is null").select(*names).unionByName(borders)
     digits = {n: F.lower(F.hex(n)) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")}
