@@ -12,7 +12,7 @@ documents with the fewest errors lies at ``CUT``.  Offending offsets are the run
 least a half.  Ids, sources, languages and labels are no features.
 
 Of near copies among the training documents of a kind one is used.  Training reads at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents (the lowest hashes of their ids) of at most
-``MAX_WORDS`` words and ``MAX_BYTES`` bytes, and keeps at most ``MAX_FEATURES`` features: bounds of the model's training alone.  Every
+``MAX_BYTES`` bytes, and keeps at most ``MAX_FEATURES`` features: bounds of the model's training alone.  Every
 document is scored, whole, in one pass without a shuffle.
 
 Defined results.  A missing text is scored as the empty text, which scores below the cut, whatever the model.  A document
@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 from railbird.llm.common import mixed64, text_of
 from railbird.llm.crf import STEPS, Tagger, Vocabulary, fit
 from railbird.llm.quality import best_quantile
+from railbird.session import written
 
 CUT = 0.7
 #: Bounds of the training sample.
-MAX_TOXIC, MAX_CLEAN, MAX_WORDS, MAX_BYTES, MAX_FEATURES = 1_500, 3_000, 1_500, 16_000, 60_000
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES, MAX_FEATURES = 1_500, 3_000, 10_000, 60_000
 #: A feature speaks for a tag if its share among toxic documents is this many times that among clean ones.
 RATIO = 10.0
 #: Words scored at a time, and evidence remembered by word.
@@ -136,17 +137,17 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max
     """The judge of the labelled rows that are not held out."""
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").where(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("toxic"))
-    rows = docs.select("doc_id", text_of(docs).alias("text"))
-    # A cheap bound first: a text of at most so many bytes, then of so many words.
-    rows = rows.where(F.octet_length("text") <= MAX_BYTES).where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) <= MAX_WORDS)
-    rows = rows.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = docs.select("doc_id", text_of(docs).alias("text")).where(F.octet_length("text") <= MAX_BYTES)
+    # Ids are chosen before any text moves.
+    known = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
-    parts = [rows.where(F.col("toxic") == kind).orderBy(*order).limit(most) for kind, most in ((True, max_toxic), (False, max_clean))]
-    # At most max_toxic + max_clean rows of MAX_BYTES each.
-    got = parts[0].unionByName(parts[1]).select("doc_id", "toxic", "text").toArrow()
+    toxic, clean = (known.where(F.col("toxic") == kind).orderBy(*order).limit(most) for kind, most in ((True, max_toxic), (False, max_clean)))
+    chosen = written(toxic.unionByName(clean))
+    # At most max_toxic + max_clean ids: a proven bound for the broadcast, and of MAX_BYTES each for what the driver gets.
+    got = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "toxic", "text").toArrow()
     by_id = np.argsort(got.column(0).to_numpy(), kind="stable")
-    texts, toxic = got.column(2).to_pylist(), got.column(1).to_numpy().astype(bool)
-    return learned([texts[k] for k in by_id.tolist()], toxic[by_id])
+    texts, marks = got.column(2).to_pylist(), got.column(1).to_numpy().astype(bool)
+    return learned([texts[k] for k in by_id.tolist()], marks[by_id])
 
 
 class _Evidence(dict):
