@@ -89,6 +89,12 @@ def _event_alerts(t: Tables) -> DataFrame:
                           "drop_pct", "recent_override_count", "stack_null_count", "rate_pct")
 
 
+def _streamed_boards(t: Tables) -> DataFrame:
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(F.col("shown"), i * 2 + 1, F.lit(2)))
+    readings = _stream(t, dq.CARD_READINGS).withColumn("board", F.array_join(F.filter(pairs, lambda c: c != ""), ",")).drop("shown")
+    return _drain(t, jobs.boards_by_street(readings, ["table_id", "hand_id"])).select("table_id", "hand_id", "street", F.col("board").alias("cards"))
+
+
 def _flow_notes(t: Tables) -> DataFrame:
     rows = observed.observed_hands(t.observations, pot_label=None, width=dq.DAY)
     notes = observed.action_diagnostics(observed.scored_actions(rows, debounce_s=7200.0, width=dq.DAY))
@@ -128,6 +134,9 @@ def _upserted_hands(t: Tables) -> DataFrame:
 
 KEYS = dq.KEYS
 EVENTS = "select event_id, ts, user_id, event_type from events"
+MOVES = """select user_id as hand_id, cast(event_id as string) as id, event_id as sequence_number, ts,
+  case event_type when 'click' then 'preflop' when 'view' then 'flop' when 'purchase' then 'turn' else 'river' end as street,
+  case when event_id % 4 = 0 then null else cast(event_id % 37 as double) end as stack_delta from events"""
 
 QUERIES = {
     "current_hands": query(lambda t: tables.current_hands(dq.run(t, VERSIONS))),
@@ -168,6 +177,11 @@ QUERIES = {
     "stream_hand_phases": query(lambda t: _drain(t, jobs.hand_phases(_stream(t, dq.PHASES))).drop("late")),
     "stream_parsed_actions": query(lambda t: _drain(t, jobs.parsed_actions(_stream(t, derivations.OBSERVATIONS)))),
     "stream_diagnostic_alerts": query(_diagnostic_alerts),
+    "stream_betting_state": query(lambda t: _drain(t, jobs.betting_state(_stream(t, MOVES))).select(
+        "hand_id", "street", "sequence_number", "current_to_call", "is_first_bet_this_street")),
+    "stream_board_by_street": query(_streamed_boards),
+    "stream_sequence_numbers": query(lambda t: _drain(t, jobs.sequence_numbers(
+        _stream(t, MOVES).drop("sequence_number"))).select("id", "hand_id", "sequence_number")),
     "stream_observed_events": query(lambda t: _drain(t, flow.observed_events(
         _stream(t, derivations.OBSERVATIONS), pot_label=None, debounce_s=60.0)).where("not late").select("*", "raw.*").drop("raw", "late")),
     "stream_hand_alerts": query(_hand_alerts),
@@ -286,6 +300,12 @@ ORACLE = {
     "preserved_diagnostics": sql(f"""select hand_id, 'p3.text_priority_preserved' as tag, 'INFO' as level, text_action, stack_action, (sequence_number % 9)::double as seat,
         stack_delta, stack_after, current_to_call from ({dq._JUDGED}) where text_preserved"""),
     "observed_events": sql(flow_sql()),
+    "stream_betting_state": sql("""select hand_id, street, sequence_number,
+        coalesce(max(case when stack_delta > 2 then stack_delta end) over w, 0)::double as current_to_call,
+        max(case when stack_delta > 2 then stack_delta end) over w is null as is_first_bet_this_street
+        from moves window w as (partition by hand_id, street order by ts, sequence_number rows between unbounded preceding and 1 preceding)""", moves=MOVES),
+    "stream_board_by_street": dq.ORACLE["board_by_street"],
+    "stream_sequence_numbers": sql("""select id, hand_id, (row_number() over (partition by hand_id order by ts, id) + 2)::int as sequence_number from moves""", moves=MOVES),
     "stream_observed_events": sql(flow_sql()),
     "stream_action_changes": dq.ORACLE["action_changes"],
     "stream_debounced_events": dq.ORACLE["debounced_events"],

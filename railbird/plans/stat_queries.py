@@ -27,6 +27,14 @@ def _refreshed(t: Tables) -> DataFrame:
         cache.refresh(hands, events, path, since=CUT, until=AS_OF, unit="month")
     return cache.merged_cache(t.spark.read.parquet(path), as_of=AS_OF)
 
+def _confirmed(t: Tables) -> DataFrame:
+    """Insurance confirmed by another source, for some of the players and for some others."""
+    return t.read("customer").select(
+        F.concat(F.lit("P"), F.col("c_custkey") % 70).alias("player_name"), (F.col("c_custkey") % 5 + 1).alias("all_in_hands"),
+        (F.col("c_custkey") % 5).alias("bought_insurance")).groupBy("player_name").agg(
+        F.sum("all_in_hands").alias("all_in_hands"), F.sum("bought_insurance").alias("bought_insurance"))
+
+
 QUERIES = {
     "decision_table": query(lambda t: d.decision_table(t.events).drop("timestamp")),
     "v_player_vpip_pfr_af": query(lambda t: d.vpip_pfr_af(t.events)),
@@ -34,6 +42,7 @@ QUERIES = {
     "v_player_position_stats": query(lambda t: d.position_stats(t.events)),
     "player_winnings_summary": query(lambda t: d.winnings_summary(t.hands, t.events)),
     "v_player_insurance_full": query(lambda t: d.insurance_full(t.hands)),
+    "confirmed_insurance": query(lambda t: d.insurance_full(t.hands, _confirmed(t))),
     "situation_rates": query(lambda t: d.situation_rates(t.events)),
     "showdown_rates": query(lambda t: d.showdown_rates(t.hands, t.events)),
     "player_stats_cache": query(lambda t: d.stats_cache(t.hands, t.events)),
@@ -174,6 +183,14 @@ ORACLE = {
           {rnd("100.0 * count(*) filter (x.classification = 'insurance_payout') / count(*)", 1)} as insurance_buy_rate_inferred_pct,
           null::boolean as signals_agree
         from i where x.player_name not like 'TempUser_%' group by 1"""),
+    "confirmed_insurance": sql(f"""
+        with i as (select unnest(cast(json(insurance_json) as struct(player_name varchar, classification varchar)[])) as x from hand),
+        a as (select x.player_name as player_name, count(*) as n, count(*) filter (x.classification = 'insurance_payout') as b from i
+          where x.player_name not like 'TempUser_%' group by 1),
+        k as (select 'P' || c_custkey % 70 as player_name, sum(c_custkey % 5 + 1)::bigint as n, sum(c_custkey % 5)::bigint as b from customer group by 1)
+        select player_name, coalesce(k.n, a.n) as all_in_hands, k.b as bought_insurance_confirmed, a.b as bought_insurance_inferred,
+          {rnd('100.0 * k.b / k.n', 1)} as insurance_buy_rate_confirmed_pct, {rnd('100.0 * a.b / a.n', 1)} as insurance_buy_rate_inferred_pct, k.b = a.b as signals_agree
+        from a full join k using (player_name)"""),
     "situation_rates": sql(f"select *, {_RATES} from ({SITUATIONS})"),
     "showdown_rates": sql(SHOWDOWN),
     "player_stats_cache": sql(f"""

@@ -68,6 +68,21 @@ def hand_phases(phases: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return stateful(phases, keys or ["hand_id"], ["ts", "tick"], steps.Phase())
 
 
+def betting_state(events: DataFrame) -> DataFrame:
+    """What every action faces on its street; events carry ``stack_delta``."""
+    return stateful(events, ["hand_id", "street"], ["ts", "sequence_number"], steps.Betting())
+
+
+def boards_by_street(readings: DataFrame, keys: list[str]) -> DataFrame:
+    """The first clean board of every street; ``board`` is comma separated."""
+    return stateful(readings, keys, ["ts", "tick"], steps.Board())
+
+
+def sequence_numbers(events: DataFrame, *, posted: int = 2) -> DataFrame:
+    """A hand's events numbered as they come, after its posts."""
+    return stateful(events, ["hand_id"], ["ts", "id"], steps.Numbering(posted))
+
+
 def parsed_actions(observations: DataFrame) -> DataFrame:
     """Stateless: the batch expression as it is."""
     return observations.where(F.col("kind") == "action").withColumn("p", A.parse_action("text")).select(
