@@ -252,6 +252,34 @@ def empty_seats(readings: DataFrame) -> DataFrame:
     return rows.select("hand_id", "seat", reason.alias("reason"), "occurrences").where(F.col("reason").isNotNull())
 
 
+SEAT_TEXTS = ["action", "fold", "amount"]
+
+
+def seat_readings(observations: DataFrame) -> DataFrame:
+    """Observations whose ``fold`` and ``amount`` readings have become what the flow knows: actions and timers.
+
+    A seat's fold area shows a countdown (two digits up to 60 and no action word: a timer reading, and no action at that tick), a
+    fold or all-in (the tick's action, whatever else was read) or nothing; the last two end a countdown.  Chips read beside
+    an action are put behind its text.  ``amount`` readings stay besides, for the blinds.
+    """
+    at = ["table_id", "seat", "ts", "tick"]
+    text = lambda kind: F.max(F.when(F.col("kind") == kind, A.clean("text")))
+    own = observations.where(F.col("kind").isin(SEAT_TEXTS)).groupBy(*at).agg(*[text(k).alias(k) for k in SEAT_TEXTS])
+    digits = F.regexp_extract("fold", r"\b(\d{1,2})\b", 1)
+    word = A.action_of("fold")
+    counts = F.coalesce((digits != "") & (digits.try_cast("int") <= 60) & word.isNull(), F.lit(False))
+    takes = F.coalesce(word.isin("fold", "all_in"), F.lit(False))
+    ends = F.coalesce(takes | (F.col("fold") == ""), F.lit(False))
+    said = F.when(takes, F.col("fold")).when((F.col("action") != "") & (F.coalesce("amount", F.lit("")) != ""), F.concat_ws(" ", "action", "amount")).otherwise(F.col("action"))
+    new = lambda when, kind, words, value: F.when(when, F.struct(
+        F.lit(kind).alias("kind"), words.cast("string").alias("text"), value.cast("double").alias("value")))
+    rows = F.array(
+        new(counts, "timer", F.lit(None), digits.try_cast("double")), new(ends, "timer", F.lit(None), F.lit(None)),
+        new(~counts & said.isNotNull(), "action", said, F.lit(None)))
+    made = own.select(*at, F.inline(F.filter(rows, lambda r: r.isNotNull())))
+    return observations.where(~F.col("kind").isin("action", "fold")).unionByName(made, allowMissingColumns=True).select(*observations.columns)
+
+
 # ------------------------------------------------------------ along the order
 
 def segment_hands(

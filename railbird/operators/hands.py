@@ -150,9 +150,14 @@ class Hands:
 
 
 def feed_hands(
-    observations: DataFrame, *, num_seats: int = NUM_SEATS, pot_label: str | None = steps.POT_LABEL, width: str = D.WIDTH,
+    observations: DataFrame, *, num_seats: int = NUM_SEATS, pot_label: str | None = steps.POT_LABEL, width: str = D.WIDTH, merge: bool = False,
 ) -> Hands:
-    """The hands of a feed, with names and positions as of every hand's start."""
+    """The hands of a feed, with names and positions as of every hand's start.
+
+    ``merge``: the feed has ``fold`` and ``amount`` readings to be merged first (``derive.seat_readings``).
+    """
+    if merge:
+        observations = D.seat_readings(observations)
     rows = observed.observed_hands(observations, pot_label=pot_label, width=width)
     starts = written(hand_starts(rows))
     buttons = written(hand_buttons(rows, starts))

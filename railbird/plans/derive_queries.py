@@ -66,6 +66,15 @@ CARD_READINGS = """select 'T' || cast(user_id % 10 as string) as table_id, cast(
   substr('2c3d4h5s9c', 1, cast(2 * (event_id % 6) as int)) || case when event_id % 7 = 0 then '2c' else '' end as shown from events"""
 
 
+SEAT_TEXTS = """select 'T' || cast(user_id % 10 as string) as table_id, event_id as tick, ts, cast(user_id % 9 as int) as seat,
+  case s.i when 0 then 'action' when 1 then 'fold' when 2 then 'amount' else 'stack' end as kind,
+  case s.i when 0 then case event_id % 5 when 0 then 'CALL' when 1 then 'RAISE TO $20' when 2 then '' when 3 then 'CHECK' else 'ALL-IN' end
+    when 1 then case event_id % 7 when 0 then 'FOLD' when 1 then ' 15 sec' when 2 then '' when 3 then 'ALL IN' when 4 then '99' when 5 then 'CALL 30' else 'hm' end
+    when 2 then case event_id % 3 when 0 then '' when 1 then '12.5' else '7' end end as text,
+  case when s.i = 3 then cast(event_id % 400 as double) end as value
+from events EACH_OF_4 where (event_id + s.i * 3) % 4 <> 0"""
+
+
 def run(t: Tables, text: str):
     out = run_derivation(t.spark, t.sf_dir, text)
     return out.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in out.columns else out
@@ -108,6 +117,7 @@ def _insurance(t: Tables):
 
 
 QUERIES = {
+    "seat_readings": query(lambda t: d.seat_readings(run(t, SEAT_TEXTS))),
     "parse_actions": query(lambda t: d.parse_actions(t.observations)),
     "judged_actions": query(_judged),
     "seat_positions": query(lambda t: d.seat_positions(run(t, SIZED), run(t, SEATS))),
@@ -275,6 +285,17 @@ _GATE = f"""
   from candidates c join f on f.table_id = c.table_id and f.r.i = c.tick"""
 
 ORACLE = {
+    "seat_readings": sql(f"""
+        with g as (select table_id, seat, ts, tick, max(trim(text)) filter (kind = 'action') as a, max(trim(text)) filter (kind = 'fold') as f,
+            max(trim(text)) filter (kind = 'amount') as m from readings where kind <> 'stack' group by all),
+        w as (select *, {_ACT} as word, regexp_extract(f, '\\b(\\d{{1,2}})\\b', 1) as n from (select *, upper(f) as u from g)),
+        s as (select *, coalesce(n <> '' and try_cast(nullif(n, '') as int) <= 60 and word is null, false) as counts, coalesce(word in ('fold', 'all_in'), false) as takes from w),
+        r as (select table_id, seat, ts, tick, 'timer' as kind, null as text, n::double as value from s where counts
+          union all select table_id, seat, ts, tick, 'timer', null, null from s where takes or f = ''
+          union all select table_id, seat, ts, tick, 'action', case when takes then f when a <> '' and coalesce(m, '') <> '' then a || ' ' || m else a end, null
+            from s where not counts and (takes or a is not null)
+          union all select table_id, seat, ts, tick, kind, text, value from readings where kind in ('amount', 'stack'))
+        select table_id, tick, {ts('ts')} as ts, seat, kind, text, value from r""", readings=SEAT_TEXTS),
     "parse_actions": sql(f"""
         with a as (select *, upper(trim(text)) as u from obs where kind = 'action'), p as (select *, {_ACT} as act from a)
         select table_id, tick, {ts('ts')} as ts, seat, kind, text, value, act as action_type,
