@@ -26,32 +26,33 @@ def health_metrics(
     hands: DataFrame, events: DataFrame, diagnostics: DataFrame, *, as_of: datetime,
     window_minutes: float = WINDOW_MINUTES,
 ) -> DataFrame:
-    """All measures in one row: hands and diagnostics are read once each, and
-    events once, summed per hand before they meet their hand."""
+    """All measures in one row, in one aggregation by hand and one over all.
+
+    Hands, events and diagnostics are laid in one table of narrow rows, each with its own measures; those of
+    a hand and its events meet under its id, already summed by every task, and diagnostics under none.
+    """
     now = F.lit(as_of).cast("timestamp")
     since = now - minutes(window_minutes)
-    recent = lambda ts: F.col(ts) > since
-    per_hand = events.groupBy("hand_id").agg(
-        F.count("*").alias("n"), F.sum("confidence_score").alias("conf"), F.count("confidence_score").alias("n_conf"),
-        count_if(F.col("raw.override_reason").isNotNull()).alias("overridden"),
-        count_if(F.col("raw.stack_delta").isNull()).alias("no_delta"))
-    starts = hands.select(F.col("id").alias("hand_id"), "started_at")
-    inside, older = recent("started_at"), F.col("started_at") < since
-    add = lambda c, cond: F.sum(F.when(cond, F.col(c)))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    # A hand without events still counts as a hand.
-    of_events = starts.join(per_hand, "hand_id", "left").agg(
-        count_if(inside).alias("hands_recent"),
-        F.try_divide(add("conf", inside), add("n_conf", inside)).alias("recent_conf"),
-        F.try_divide(add("conf", older), add("n_conf", older)).alias("historic_conf"),
-        zero(add("n", inside)).alias("events_recent"), zero(add("overridden", inside)).alias("overridden_recent"),
-        zero(add("no_delta", inside)).alias("no_delta_recent"))
-    bursts = diagnostics.where(F.col("level").isin("WARN", "ERROR") & recent("occurred_at")).agg(
-        F.count("*").alias("warnings_recent"))
-    # Two rows of totals, each with its own columns, folded into one.
-    both = of_events.unionByName(bursts, allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn(
-        "hands_recent", F.coalesce("hands_recent", F.lit(0)))
+    c, zero = F.col, F.lit(0)
+    id_type = hands.schema["id"].dataType
+    bad = diagnostics.where(c("level").isin("WARN", "ERROR") & (c("occurred_at") > since))
+    flags = lambda cond: F.when(cond, 1).otherwise(0)
+    rows = hands.select(c("id").alias("hand_id"), c("started_at").alias("at"), F.lit(1).alias("hand"))
+    rows = rows.unionByName(events.select(
+        c("hand_id").cast(id_type).alias("hand_id"), F.lit(1).alias("n"), c("confidence_score").alias("conf"),
+        flags(c("raw.override_reason").isNotNull()).alias("over"), flags(c("raw.stack_delta").isNull()).alias("no_delta")), allowMissingColumns=True)
+    rows = rows.unionByName(bad.select(F.lit(1).alias("warned")), allowMissingColumns=True)
+    per = rows.groupBy("hand_id").agg(
+        F.max("at").alias("at"), F.sum("conf").alias("conf"), F.count("conf").alias("n_conf"),
+        *[F.coalesce(F.sum(x), zero).alias(x) for x in ("hand", "n", "over", "no_delta", "warned")])
+    # A hand without events still counts as a hand; events without a hand have no time.
+    inside, older = c("at") > since, c("at") < since
+    add = lambda x, cond: F.sum(F.when(cond, c(x)))
+    count = lambda x: F.coalesce(add(x, inside), zero)
+    return per.agg(
+        count("hand").alias("hands_recent"), F.try_divide(add("conf", inside), add("n_conf", inside)).alias("recent_conf"),
+        F.try_divide(add("conf", older), add("n_conf", older)).alias("historic_conf"), count("n").alias("events_recent"),
+        count("over").alias("overridden_recent"), count("no_delta").alias("no_delta_recent"), F.coalesce(F.sum("warned"), zero).alias("warnings_recent"))
 
 
 def health_warnings(
