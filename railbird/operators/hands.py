@@ -139,6 +139,16 @@ def hands_of(versions: DataFrame) -> DataFrame:
         blank("string", "winner_player_name"), blank(insurance, "insurance_inferred"))
 
 
+def hand_empty_seats(rows: DataFrame) -> DataFrame:
+    """hand_id, seat and reason of the seats nobody sits at, by each hand's first avatar and stack readings (``derive.empty_seats``)."""
+    at = F.struct("ts", "tick")
+    first = lambda kind, c: F.min_by(F.when(F.col("kind") == kind, c), F.when((F.col("kind") == kind) & c.isNotNull(), at))
+    shown = F.coalesce(F.col("text"), F.col("value").cast("string"))
+    readings = rows.where(F.col("kind").isin("id", "stack") & F.col("seat").isNotNull()).groupBy("hand_id", "seat").agg(
+        first("id", F.col("phash")).alias("phash"), first("stack", shown).alias("stack_text"))
+    return D.empty_seats(readings).select("hand_id", "seat", "reason")
+
+
 @dataclass(frozen=True)
 class Hands:
     """The hands of a feed and what they were made from."""
@@ -146,6 +156,7 @@ class Hands:
     rows: DataFrame
     names: DataFrame
     seats: DataFrame
+    empty: DataFrame
     hands: DataFrame
 
 
@@ -163,20 +174,27 @@ def feed_hands(
     buttons = written(hand_buttons(rows, starts))
     names = written(name_intervals(rows, width=width))
     seats = written(hand_seats(starts, buttons, names, num_seats=num_seats, width=width))
-    return Hands(rows, names, seats, hands_of(hand_versions(rows, starts, buttons, seats, num_seats=num_seats)))
+    empty = written(hand_empty_seats(rows))
+    return Hands(rows, names, seats, empty, hands_of(hand_versions(rows, starts, buttons, seats, num_seats=num_seats)))
 
 
 def feed_posts(made: Hands) -> DataFrame:
-    """The forced posts of a feed's hands.  A post needs a name that was read; ``hands.seats`` also lists stand-ins."""
+    """The forced posts of a feed's hands.  A post needs a seat that is taken and a name that was read; ``hands.seats`` also lists stand-ins."""
     read = made.seats.where("player_name is not null and position is not null").groupBy("hand_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("position").alias("k"), F.col("player_name").alias("v"))))).alias("read"))
     hands = made.hands.join(read, made.hands["id"] == read["hand_id"], "left").withColumn("seats", F.col("read"))
-    return D.blind_posts(hands.drop("read", "hand_id"))
+    empty = made.empty.groupBy("hand_id").agg(F.collect_list("seat").alias("empty_seats"))
+    hands = hands.drop("read", "hand_id").join(empty, F.col("id") == empty["hand_id"], "left").drop("hand_id")
+    return D.blind_posts(hands)
 
 
 def feed_events(made: Hands, *, debounce_s: float = steps.DEBOUNCE_SECONDS, width: str = D.WIDTH) -> DataFrame:
-    """The posts and the scored events of a feed; events are numbered behind the posts that their hand really has."""
+    """The posts and the scored events of a feed; events are numbered behind the posts that their hand really has.
+
+    Empty seats are not read: neither posts nor events come from them.
+    """
     posts = written(feed_posts(made))
     posted = posts.where("skip_reason is null").groupBy("hand_id").agg(F.count("*").cast("int").alias("posted"))
-    events = observed.events_of(made.rows, seats=made.seats, posted=posted, debounce_s=debounce_s, width=width)
+    taken = made.rows.join(made.empty.select("hand_id", "seat"), ["hand_id", "seat"], "left_anti").select(*made.rows.columns)
+    events = observed.events_of(taken, seats=made.seats, posted=posted, debounce_s=debounce_s, width=width)
     return D.post_events(posts).unionByName(events, allowMissingColumns=True)

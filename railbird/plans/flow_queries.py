@@ -190,14 +190,16 @@ QUERIES = {
 
 
 def flow_sql(named: bool = False, told: str | None = None) -> str:
-    """The observation flow in SQL.  ``told``: what to select of its steps instead of the events.  ``named``: inside a statement that has the rows of a feed in ``r`` and who sits where in ``seats``."""
+    """The observation flow in SQL.  ``told``: what to select of its steps instead of the events.  ``named``: inside a statement that has the rows of a feed in ``r`` who sits where in ``seats`` and where nobody sits in ``empty_``."""
     if named:
         rows = "with rows0 as (select * exclude (street) from r where kind in ('action', 'stack', 'timer', 'pot', 'community')),"
+        taken = "where kind in ('pot', 'community') or not exists (select 1 from empty_ e where e.hand_id = w.hand_id and e.seat = w.seat)"
         people = "judged as (select j.*, coalesce(p.player_name, 'Player_' || j.seat) as player_name, coalesce(p.position, 'UTG') as position from scored j left join seats p using (hand_id, seat)),"
     else:
         rows = f"""with seg as ({dq._SEGMENT}),
   rows0 as (select o.*, o.table_id || '-' || s.hand_no as hand_id, s.pot_latest as pot_after from obs o
     join seg s on s.table_id = o.table_id and s.tick = o.tick),"""
+        taken = ""
         people = "judged as (select *, 'Player_' || seat as player_name, 'UTG' as position from scored),"
     events = f"""select hand_id || '-' || nr as id, hand_id, player_name, position, street, action_type,
     nr + 2 as sequence_number, amount, confidence_score, {ts('ts')} as timestamp, {ts('ts')} as created_at, text as action_text,
@@ -207,10 +209,11 @@ def flow_sql(named: bool = False, told: str | None = None) -> str:
   from taken left join times using (hand_id, seat, tick)"""
     return f"""
   {rows}
-  rows1 as (select *, lag(pot_after) over w as pot_before, coalesce(last_value(case when kind = 'community' then
+  rows1w as (select *, lag(pot_after) over w as pot_before, coalesce(last_value(case when kind = 'community' then
         case when value = 0 then 'preflop' when value = 3 then 'flop' when value = 4 then 'turn' when value >= 5 then 'river' end end
         ignore nulls) over (partition by hand_id order by ts, tick rows unbounded preceding), 'preflop') as street
     from rows0 window w as (partition by hand_id order by ts, tick)),
+  rows1 as (select * from rows1w w {taken}),
   texts as (select *, lag(trim(text)) over (partition by hand_id, seat order by ts, tick) as prev, upper(trim(text)) as u
     from rows1 where kind = 'action' and trim(coalesce(text, '')) <> ''),
   named as (select *, {dq._ACT} as text_action from texts where prev is distinct from trim(text)),

@@ -73,6 +73,7 @@ def _audits(t: Tables) -> DataFrame:
 QUERIES = {
     "feed_names": query(lambda t: _made(t).names.drop("since_tick")),
     "feed_seats": query(lambda t: _made(t).seats),
+    "feed_empty_seats": query(lambda t: _made(t).empty),
     "feed_hands": query(_hands),
     "feed_audits": query(_audits),
     "feed_events": query(lambda t: H.feed_events(_made(t), debounce_s=60.0, width=dq.DAY).select(
@@ -126,6 +127,9 @@ _FEED_HANDS = _SEATS + """,
   chip as (select hand_id, seat, nullif(regexp_extract(t, '(\\d+\\.?\\d*)', 1), '')::double as v from chips),
   blinds as (select b.hand_id, max(v) filter (seat = (button + 1) % 9 and v > 0 and v < 100000) as sb, max(v) filter (seat = (button + 2) % 9 and v > 0 and v < 100000) as bb
     from buttons b join starts s on s.hand_id = b.hand_id and s.first_street = 'preflop' join chip c on c.hand_id = b.hand_id group by 1),
+  avatars as (select hand_id, seat, arg_min(phash, ts) filter (kind = 'id' and phash is not null) as p, count(*) filter (kind = 'stack' and value is not null) as n
+    from r where kind in ('id', 'stack') group by all),
+  empty_ as (select hand_id, seat from (select *, count(*) over (partition by hand_id, p) as same from avatars) where p is not null and ((p = 0 and n = 0) or same >= 2)),
   people as (select hand_id, map(list(position order by position), list(coalesce(player_name, 'Player_' || seat) order by position)) as seats,
       map(list(position) filter (player_name is not null), list(player_name) filter (player_name is not null)) as known from seats group by 1),
   fhand as (select s.hand_id as id, s.table_id as table_name, s.started_at, if(s.over_, s.last_at, null) as ended_at, if(s.over_, s.pot, null) as pot_size_final,
@@ -150,13 +154,17 @@ ORACLE = {
         select id, table_name, {ts('started_at')} as started_at, {ts('ended_at')} as ended_at, pot_size_final, hero as hero_cards, button_seat_index, 9 as num_seats,
           blind_sb, blind_bb, {_LIST.format('seats', 'x.value')} as seats, {_LIST.format('si', 'x.value::bigint')} as stacks_initial,
           {_LIST.format('sf', 'x.value::bigint')} as stacks_final, {_LIST.format('shown', "array_to_string(x.value, '')")} as showdown_cards from fhand""", feed=FEED),
+    "feed_empty_seats": sql(f"""with {_FEED_HANDS}
+        select e.*, if(a.p = 0 and a.n = 0, 'avatar_zero_hash + stack_no_digit', 'duplicate_phash_minimum_guard') as reason
+        from empty_ e join avatars a using (hand_id, seat)""", feed=FEED),
     "feed_audits": sql(f"with {_FEED_HANDS}\n" + " union all ".join([
         _audit("V01", vq.CONSERVATION, "null", "status"), _audit("V04", vq.CONTINUITY, "seat", "status"),
         _audit("V23", vq.SHOWDOWN_BY_SEAT, "seat_idx::varchar", "player_name"), _audit("V32", vq.CROSS_HAND, "seat_idx", "status")]), feed=FEED),
     "feed_events": sql(f"""with {_FEED_HANDS},
         post as (select id as hand_id, started_at, 'SB' as pos, 1 as off, blind_sb as amount, known, si, button_seat_index as b from fhand where blind_sb is not null and blind_bb is not null
           union all select id, started_at, 'BB', 2, blind_bb, known, si, button_seat_index from fhand where blind_sb is not null and blind_bb is not null),
-        posts as (select *, row_number() over (partition by hand_id order by off) as nr, count(*) over (partition by hand_id) as posted from post where known[pos] is not null),
+        posts as (select *, row_number() over (partition by hand_id order by off) as nr, count(*) over (partition by hand_id) as posted from post where known[pos] is not null
+            and not exists (select 1 from empty_ e where e.hand_id = post.hand_id and e.seat = (post.b + post.off) % 9)),
         flow as ({_EVENTS}),
         told as (select f.*, coalesce(p.posted, 0) as posted from flow f left join (select distinct hand_id, posted from posts) p using (hand_id))
         select hand_id || '-post_' || lower(pos) as id, hand_id, known[pos] as player_name, pos as position, 'preflop' as street, 'post_' || lower(pos) as action_type,

@@ -67,6 +67,14 @@ def test_events_are_numbered_behind_real_posts(spark):
                    "T-2": [(1, "Player_2", "SB", "fold", False)]}
 
 
+def test_empty_seats_are_not_read(spark):
+    rows = [*FEED, row(10, "id", 4, "", phash=0), row(11, "action", 4, "RAISE 9"), row(10, "id", 3, "eve", phash=99), row(10, "id", 5, "", phash=99), row(12, "action", 3, "FOLD")]
+    feed = made(spark, rows)
+    assert sorted((r.hand_id, r.seat, r.reason[:9]) for r in feed.empty.collect()) == [("T-1", 3, "duplicate"), ("T-1", 4, "avatar_ze"), ("T-1", 5, "duplicate")]
+    got = [(r.player_name, r.action_type) for r in H.feed_events(feed, width="10 seconds").where("hand_id = 'T-1'").orderBy("sequence_number").collect()]
+    assert got == [("ann", "post_sb"), ("ann", "call")]
+
+
 def test_no_readings(spark):
     feed = made(spark, [])
     assert feed.hands.count() == feed.seats.count() == feed.names.count() == H.feed_events(feed).count() == 0
