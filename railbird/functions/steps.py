@@ -154,6 +154,13 @@ class Debounce:
             st["last"] = now
         return [{**row, "accepted": ok, "since_s": None if gap is None else gap / 1e6}]
 
+    def maps(self, columns: list[str]) -> list[Mapper]:
+        """What was accepted before a split lies before its first row, so a window later everything forgets it."""
+        def see(memory: dict, row: dict, _) -> int:
+            return 2 if row["at"] - memory.setdefault("first", row["at"]) >= self.micros else 1
+
+        return [Digest(self, ["last"], ["at"], look=see, resets=lambda outs: outs[0]["accepted"], after=lambda row: {"last": row["at"]})]
+
 
 class StackJump:
     """Replaces a reading that is a digit off the previous one (key: hand, seat)."""

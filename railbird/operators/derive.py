@@ -320,23 +320,10 @@ def debounced(
 ) -> DataFrame:
     """Accepts an action unless the same one was accepted less than ``seconds`` ago.
 
-    One shuffle and one pass.  With ``width`` long keys are cut first: an action that far from the
-    one before is accepted whatever came earlier.  The cuts are found over splits of that
-    width, so no task orders a whole key; give it where a key may hold a large share of the rows.
+    One shuffle and one pass.  With ``width`` (much more than ``seconds``) a key's splits are folded side by side; give it where a
+    key may hold a large share of the rows.
     """
-    keys, order = keys or debounce_keys(events), order or [ts, "id"]
-    if width is None:
-        return apply_step(events, keys, order, steps.Debounce(seconds), ts=ts)
-    rows = events.where(F.col(ts).isNotNull())
-    split = time_split(ts, width)
-    rows = shifted(rows, keys, order, {"_before": F.col(ts)}, split=split)
-    gap = F.unix_micros(ts) - F.unix_micros("_before")
-    out = apply_step(rows, keys, order, steps.Debounce(seconds), ts=ts, forgets=gap >= int(seconds * 1_000_000), split=split)
-    # Across a cut the last accepted action is no longer known to the fold; it is the latest one before.
-    taken = F.when(F.col("accepted"), F.col(ts))
-    out = running(out, keys, order, {"_last": ("last", taken)}, split=split, inclusive=False)
-    since = (F.unix_micros(ts) - F.unix_micros("_last")) / 1e6
-    return out.select(*events.columns, "accepted", since.alias("since_s"))
+    return apply_step(events, keys or debounce_keys(events), order or [ts, "id"], steps.Debounce(seconds), ts=ts, width=width)
 
 
 def cleaned_stacks(

@@ -169,21 +169,23 @@ FLIPS = 2
 
 
 def bit_order(hashes: DataFrame, c: str) -> list[int]:
-    """The 64 bits, those that split the hashes most evenly first (64 sums are all that leaves Spark)."""
+    """The 64 bits, those that split the hashes most evenly first (65 numbers are all that leaves Spark)."""
     bits = [F.shiftrightunsigned(F.col(c), i).bitwiseAND(F.lit(1)) for i in range(64)]
     row = hashes.agg(F.count(c).alias("n"), *[F.sum(b).alias(f"b{i}") for i, b in enumerate(bits)]).first()
     return sorted(range(64), key=lambda i: (abs((row[f"b{i}"] or 0) * 2 - row["n"]), i))
 
 
-def _band_keys(c: str, max_distance: int, order: list[int]) -> Column:
-    """Keys of a 64-bit hash: all pairs of its bands, to which bits are dealt in ``order``.
+def _band_keys(c: str, max_distance: int, order: list[int] | None = None) -> Column:
+    """Keys of a 64-bit hash: all pairs of its bands, to which bits are dealt in ``order`` (none: neighbours make a band).
 
     Two hashes at most d bits apart agree in at least two of d + 2 bands, whatever bits a band has.
     Dealt this way, every band has its share of the bits that tell hashes apart.
     """
     n = max_distance + 2
-    bands = []
-    for k in range(n):
+    edges = [round(i * 64 / n) for i in range(n + 1)]
+    bands = [] if order else [
+        F.shiftrightunsigned(F.col(c), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    for k in range(n if order else 0):
         value = F.lit(0).cast("bigint")
         for place, bit in enumerate(order[k::n]):
             value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(c), bit).bitwiseAND(F.lit(1)), place))
@@ -215,15 +217,16 @@ def nearest_fingerprints(
     hashes within ``flips`` bits of them, one by one; among so many neighbours nearly all find theirs, and only
     the others are compared with the whole bucket.
     """
-    wanted = written(readings.select(F.col("phash").alias("h")).where(F.col("phash").isNotNull()).distinct())
-    known = written(registry.select(F.col("phash").alias("k"), "name").where(F.col("phash").isNotNull()).distinct())
-    order = bit_order(known, "k")
+    wanted = readings.select(F.col("phash").alias("h")).where(F.col("phash").isNotNull()).distinct()
+    known = registry.select(F.col("phash").alias("k"), "name").where(F.col("phash").isNotNull()).distinct()
+    # So few hashes crowd no key, however they lie.
+    order = bit_order(known, "k") if known.limit(crowded + 1).count() > crowded else None
     left = wanted.select("h", F.explode(_band_keys("h", max_distance, order)).alias("key"))
     right = known.select("k", "name", F.explode(_band_keys("k", max_distance, order)).alias("key"))
-    hot = written(right.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"))
-    if hot.isEmpty():
+    if order is None:
         near = _close(left, right, max_distance)
     else:
+        hot = written(right.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"))
         pressed = left.join(hot, "key", "left_semi").select("h").distinct()
         looked = pressed.select("h", _flipped("h", min(flips, max_distance)).alias("f")).select("h", "f.*")
         found = written(looked.join(known, "k").select("h", "name", "distance"))

@@ -59,7 +59,12 @@ def names(rnd, n):
     return [{"readable": rnd.choice([None, None, "ann", "bob", "cy"]), "phash": rnd.choice(pool)} for _ in range(n)]
 
 
-RULES = {"name": (steps.SeatName(), names), "segment": (steps.Segment(), readings), "any pot": (steps.Segment(label=None), readings), "stack": (steps.StackJump(), numbers),
+def times(rnd, n):
+    at = 0
+    return [{"at": (at := at + rnd.choice([0, 1, 1, 2, 3, 9]) * 1_000_000)} for _ in range(n)]
+
+
+RULES = {"debounce": (steps.Debounce(5.0), times), "name": (steps.SeatName(), names), "segment": (steps.Segment(), readings), "any pot": (steps.Segment(label=None), readings), "stack": (steps.StackJump(), numbers),
          "pot": (steps.PotMonotone(), numbers), "seat": (steps.SeatLifecycle(), targets)}
 
 
